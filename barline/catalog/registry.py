@@ -63,11 +63,11 @@ def shape(df: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
 
 def wrap_sql(sql: str, spec: list[tuple[str, str]]) -> str:
     kinds = {
-        "s": "CAST({0} AS VARCHAR) AS {0}",
-        "i": "CAST({0} AS BIGINT) AS {0}",
-        "f": "round(CAST({0} AS DOUBLE) + 3e-10, 6) + 0.0 AS {0}",
-        "t": "CAST({0} AS TIMESTAMP) AS {0}",
-        "b": "CAST({0} AS BOOLEAN) AS {0}",
+        's': 'CAST("{0}" AS VARCHAR) AS "{0}"',
+        'i': 'CAST("{0}" AS BIGINT) AS "{0}"',
+        'f': 'round(CAST("{0}" AS DOUBLE) + 3e-10, 6) + 0.0 AS "{0}"',
+        't': 'CAST("{0}" AS TIMESTAMP) AS "{0}"',
+        'b': 'CAST("{0}" AS BOOLEAN) AS "{0}"',
     }
     cols = ", ".join(kinds[k].format(n) for n, k in spec)
     return f"SELECT {cols} FROM (\n{sql.strip()}\n) AS q"
