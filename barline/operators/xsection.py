@@ -205,7 +205,7 @@ def granger(df: DataFrame, key: str | Sequence[str] | None, order: Sequence[str]
     r, u = ssr(len(own)), ssr(len(allv))
     dof = n - len(allv)
     f = (r - u) / lags / (u / dof) if u > 0 and dof > 0 else float("nan")
-    return df.sparkSession.createDataFrame([(cause, effect, int(n), f, r, u)], "cause string, effect string, n long, f_stat double, ssr_restricted double, ssr_full double")
+    return df.sparkSession.createDataFrame([(cause, effect, int(n), float(f), float(r), float(u))], "cause string, effect string, n long, f_stat double, ssr_restricted double, ssr_full double")
 
 
 def transfer_entropy(series: Series, src: str, dst: str, lag: int = 1) -> DataFrame:

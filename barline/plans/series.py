@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 
 BLOCK_ROWS_CONF = "spark.barline.blockRows"
 BROADCAST_ROWS_CONF = "spark.barline.broadcastRows"
+MEASURE_BYTES_CONF = "spark.barline.measureBytes"
 DEFAULT_BLOCK_ROWS = 1_000_000
 DEFAULT_BROADCAST_ROWS = 500_000
+DEFAULT_MEASURE_BYTES = 64 << 20
 
 _BLK = "__blk"
 _OWN = "__own"
@@ -51,6 +53,16 @@ def position(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files and relations a plan reads, as known to Catalyst without running it.
+
+    Below the threshold even one task holding everything is cheap, so the
+    counting pass is not worth its job.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 @dataclass
 class Frame:
     """Window specs inside one block (or one key when nothing is split)."""
@@ -126,7 +138,10 @@ class Series:
     def is_split(self) -> bool:
         if not self._checked:
             self._checked = True
-            if self.bounded_rows is None or self.bounded_rows > self.block_rows:
+            unbounded = self.bounded_rows is None or self.bounded_rows > self.block_rows
+            conf = self.df.sparkSession.conf
+            worth = int(conf.get(MEASURE_BYTES_CONF, str(DEFAULT_MEASURE_BYTES)))
+            if unbounded and input_bytes(self.df) >= worth:
                 self._measure()
         return self._layout is not None
 
