@@ -12,6 +12,7 @@ from barline.operators import stats as T
 from barline.operators.indicators import with_indicators
 from barline.operators.outcomes import first_passage, forward_return
 from barline.plans.quantiles import group_quantiles
+from barline.sources.sinks import materialize
 
 SIG_SQL = """
 sig AS (SELECT series_id, ts, rn, close - lag(close, 3) OVER w AS s, lead(close, 2) OVER w - close AS y FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
@@ -63,7 +64,7 @@ def pairs_panel(spark, sf):
     """Monthly pair panel with next month's change as outcome."""
     from barline.plans.series import Series
 
-    p = nation_pairs(spark, sf)
+    p = materialize(nation_pairs(spark, sf), "nation-pairs")
     return Series(p, "pair", ["ts"]).columns(lambda fr: {"y": F.lead("x").over(fr.w()) - F.col("x")}, fwd_rows=1).filter("y IS NOT NULL")
 
 

@@ -13,6 +13,7 @@ from barline.operators.joins import pair_bridge, panel
 from barline.operators.ordering import top_bottom
 from barline.plans.series import Series
 from barline.sources.readers import read_table
+from barline.sources.sinks import materialize
 
 KEYS = ["click", "view", "error", "signup"]
 PANEL_SQL = "pn AS (SELECT ts, " + ", ".join(f"max(close) FILTER (WHERE series_id = '{k}') AS p_{k}" for k in KEYS) + f" FROM bars WHERE series_id IN ({', '.join(repr(k) for k in KEYS)}) GROUP BY ts HAVING count(*) = 4)"
@@ -27,7 +28,7 @@ def wide(spark, sf):
          z AS (SELECT entity, ts, CASE WHEN stddev_pop(st) OVER w > 0 THEN (st - avg(st) OVER w) / stddev_pop(st) OVER w END AS z FROM st WINDOW w AS (PARTITION BY ts))""",
        body="SELECT c * 100 + s AS pair, d.ts, a.z - b.z AS spread, (a.z IS NOT NULL)::INT + (b.z IS NOT NULL)::INT AS n_legs FROM d JOIN z a ON a.entity = c AND a.ts = d.ts JOIN z b ON b.entity = s AND b.ts = d.ts"))
 def x01(spark, sf):
-    p = nation_pairs(spark, sf).filter("c <> s")
+    p = materialize(nation_pairs(spark, sf).filter("c <> s"), "nation-pairs")
     return X.strength_spread(p, pair_bridge(p.select("pair", "c", "s").distinct(), "pair", "c", "s"), "pair", "ts", "x")
 
 
@@ -60,10 +61,11 @@ comp AS (SELECT entity, date, momentum, "value", (coalesce(rm, 0) + coalesce(rv,
 def factor_table(spark, sf):
     o, c = read_table(spark, sf, "orders"), read_table(spark, sf, "customer")
     px = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("entity"), F.date_trunc("month", "o_orderdate").alias("ts")).agg(F.avg("o_totalprice").alias("price"))
+    px = materialize(px, "monthly-price")
     # quarter-end months of the shared calendar, for each entity (calendar-bounded)
     months = px.filter(F.month("ts").isin(3, 6, 9, 12)).select(F.col("ts").alias("date")).distinct().agg(F.collect_set("date").alias("__d"))
     dates = px.select("entity").distinct().join(F.broadcast(months)).select("entity", F.explode("__d").alias("date"))
-    return X.rank_composite(X.factor_scores(px, dates, "entity"), "date", ["momentum", "value"], "entity")
+    return X.rank_composite(materialize(X.factor_scores(px, dates, "entity"), "factor-scores"), "date", ["momentum", "value"], "entity")
 
 
 @query("x04_factor_scores", "entity:s date:t momentum:f value:f composite:f", with_sql(FACTOR_SQL, body="SELECT * FROM comp"))

@@ -137,14 +137,26 @@ def peak_concurrency(intervals: DataFrame, by, start: str, end: str) -> DataFram
 
 
 def occupancy(intervals: DataFrame, by, start: str, end: str, width_us: int = DAY_US) -> DataFrame:
-    """Slots with at least one open interval, mean stacking, share of trades opened while flat."""
+    """Slots with at least one open interval, mean and highest stacking, share of trades opened while flat.
+
+    A sweep over opening and closing slots: nothing is expanded per slot held.
+    """
     keys = as_list(by)
-    slots = F.sequence(F.floor(F.unix_micros(start) / width_us), F.floor(F.unix_micros(end) / width_us))
-    per = intervals.select(*keys, F.explode(slots).alias("__s")).groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n"))
-    occ = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("slots_used"), F.avg("__n").alias("mean_stack"), F.max("__n").alias("max_stack"))
+
+    def slot(c: str) -> Column:
+        return F.floor(F.unix_micros(c) / width_us)
+
+    moves = F.array(F.struct(slot(start).alias("s"), F.lit(1).alias("d")), F.struct((slot(end) + 1).alias("s"), F.lit(-1).alias("d")))
+    net = intervals.select(*keys, F.explode(moves).alias("m")).groupBy(*keys, "m.s").agg(F.sum("m.d").alias("d"))
+    s = Series(net, keys, ["s"])
+    s = s.with_df(s.running({"__open": ("sum", F.col("d"))}))
+    run = s.columns(lambda fr: {"__len": F.lead("s").over(fr.w()) - F.col("s")}, fwd_rows=1).filter("__open > 0")
+    occ = run.groupBy(*keys).agg(
+        F.sum("__len").alias("slots_used"), (F.sum(F.col("__open") * F.col("__len")) / F.sum("__len")).alias("mean_stack"), F.max("__open").alias("max_stack"))
     day = intervals.groupBy(*keys, F.col(start).alias("__t")).agg(F.max(end).alias("__e"), F.count(F.lit(1)).alias("__n"))
-    prior = Series(day, keys, ["__t"]).running({"__open_until": ("max", F.col("__e"))}, exclusive=True)
-    novel = prior.groupBy(*keys).agg((F.sum(F.when(F.col("__open_until").isNull() | (F.col("__open_until") < F.col("__t")), 1).otherwise(0)) / F.sum("__n")).alias("novel_share"))
+    prior = Series(day, keys, ["__t"]).running({"__until": ("max", F.col("__e"))}, exclusive=True)
+    flat = F.col("__until").isNull() | (F.col("__until") < F.col("__t"))
+    novel = prior.groupBy(*keys).agg((F.sum(F.when(flat, 1).otherwise(0)) / F.sum("__n")).alias("novel_share"))
     return occ.join(novel, keys)
 
 
@@ -186,18 +198,32 @@ def floating_equity(ledger: DataFrame, bars: DataFrame, key: str, entry: str, ex
 ROLLOVER_DAYS = (1, 1, 3, 1, 1, 0, 0)
 
 
+CALENDAR_DAYS = 366 * 300
+
+
 def financing(ledger: DataFrame, rates: DataFrame, ids: Sequence[str], entry: str, exit_: str, units: str, tz: str = "America/New_York", hour: int = 17) -> DataFrame:
-    """Sum over rollovers in (entry, exit] of units x as-of daily rate x weekday multiplier."""
-    days = F.sequence(F.to_date(F.from_utc_timestamp(entry, tz)), F.to_date(F.from_utc_timestamp(exit_, tz)))
-    ex = ledger.withColumn("__d", F.explode(days)).withColumn("__roll", local_instant("__d", tz, hour))
-    ex = ex.filter((F.col("__roll") > F.col(entry)) & (F.col("__roll") <= F.col(exit_)))
+    """Units times the daily charges of all rollovers in (entry, exit].
+
+    Charges are summed once along the calendar; a trade takes the difference of
+    the running total at its two ends, so holding time costs nothing.
+    """
+
+    def last_rollover(c: str) -> Column:
+        return F.to_date(F.from_utc_timestamp(F.col(c), tz) - F.expr(f"INTERVAL {hour} HOURS"))
+
+    led = ledger.select(*dict.fromkeys([*ids, units]), last_rollover(entry).alias("__d0"), last_rollover(exit_).alias("__d1"))
+    span = led.agg(F.min("__d0").alias("a"), F.max("__d1").alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b")).alias("__d")).withColumn("__roll", local_instant("__d", tz, hour))
     table = F.array(*[F.lit(x) for x in ROLLOVER_DAYS])
-    # many trades share a rollover instant: look the rate up once per instant
-    rolls = ex.select("__roll", "__d").distinct()
-    priced = asof(rolls, rates, None, left_ts="__roll").withColumn("__cost", F.col("rate") / 365.0 * F.get(table, F.weekday("__d")))
-    j = ex.select(*ids, units, "__roll").join(priced.select("__roll", "__cost"), "__roll")
-    g = j.groupBy(*ids).agg(F.sum(F.col(units) * F.col("__cost")).alias("financing"), F.count(F.lit(1)).alias("n_rollovers"))
-    return ledger.select(*ids).join(g, list(ids), "left").select(*ids, F.coalesce("financing", F.lit(0.0)).alias("financing"), F.coalesce("n_rollovers", F.lit(0)).alias("n_rollovers"))
+    priced = asof(days, rates, None, left_ts="__roll").withColumn(
+        "__c", F.coalesce(F.col("rate") / 365.0 * F.get(table, F.weekday("__d")), F.lit(0.0)))
+    cum = Series(priced, None, ["__d"], bounded_rows=CALENDAR_DAYS).running({"__cum": ("sum", F.col("__c"))})
+
+    def at(day: str, name: str) -> DataFrame:
+        return cum.select(F.col("__d").alias(day), F.col("__cum").alias(name))
+
+    j = led.join(at("__d0", "__a"), "__d0").join(at("__d1", "__z"), "__d1")
+    return j.select(*ids, (F.col(units) * (F.col("__z") - F.col("__a"))).alias("financing"), F.date_diff("__d1", "__d0").alias("n_rollovers"))
 
 
 def reprice(ledger: DataFrame, scenarios: Sequence[dict[str, float]], cost_base: Column, by) -> DataFrame:

@@ -54,6 +54,15 @@ def same_state(a: Sequence[float], b: Sequence[float]) -> bool:
     return True
 
 
+def walk(kernel: SequentialKernel, state: list[float], columns: list[list[float]]):
+    """Advance a state over sorted rows; returns it with the (row index, emitted tuple) list."""
+    emitted = []
+    for i, values in enumerate(zip(*columns)):
+        state, rows = kernel.step(state, *values)
+        emitted += [(i, r) for r in rows]
+    return state, emitted
+
+
 def runs(kernel: SequentialKernel, parts: Sequence[str], keep: Sequence[str], names: Sequence[str], start_column: str | None):
     """Partition function: walk sorted rows, restarting where ``parts`` changes.
 

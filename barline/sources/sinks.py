@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.plans.series import as_list
+from barline.session import shared_dir
 from barline.sources.readers import with_utc_timestamps
 
 
@@ -19,6 +21,17 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where one expensive table feeds several branches of a plan; unlike a
+    cache it survives lost executors.
+    """
+    path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Append-only history."""
     writer = df.write.mode("append")
