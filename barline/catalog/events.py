@@ -18,7 +18,10 @@ from barline.plans.quantiles import group_quantiles
 from barline.plans.series import Series
 
 KEY = "series_id:s ts:t "
-C = F.col("close")
+
+def C():
+    return F.col("close")
+
 WW = "WINDOW w AS (PARTITION BY series_id ORDER BY ts)"
 PREV = """
 pv AS (SELECT *, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
@@ -32,8 +35,8 @@ ev AS (SELECT series_id, ts, available_at AS event_ts, close AS entry, CASE WHEN
 def wide_events(spark, sf):
     h = hourly(spark, sf)
     ev = h.filter(F.col("high") - F.col("low") > 150).select(
-        "series_id", F.col("ts").alias("event_bar"), F.col("available_at").alias("event_ts"), C.alias("entry"),
-        F.when(C >= F.col("open"), 1).otherwise(-1).alias("side"))
+        "series_id", F.col("ts").alias("event_bar"), F.col("available_at").alias("event_ts"), C().alias("entry"),
+        F.when(C() >= F.col("open"), 1).otherwise(-1).alias("side"))
     return ev, h
 
 
@@ -66,7 +69,7 @@ def e02(spark, sf):
        with_sql(HOURLY_SQL, f"f AS (SELECT *, coalesce(abs(close - lag(close) OVER w) > 60, false) AS f FROM bars {WW})", body=f"SELECT series_id, ts, f AND NOT coalesce(lag(f) OVER w, false) AS spike FROM f {WW}"))
 def e03(spark, sf):
     def stage(d, fr):
-        d = d.withColumn("__m", F.abs(W.diff(fr, C)) > 60)
+        d = d.withColumn("__m", F.abs(W.diff(fr, C())) > 60)
         return E.edge(fr, F.col("__m"), "spike", d)
     return hourly_series(spark, sf).map(stage, back_rows=2)
 
@@ -91,8 +94,8 @@ def e04s(spark, sf):
          CASE WHEN close > hh THEN 1 WHEN close < ll THEN -1 ELSE 0 END AS broke FROM m {WW}"""))
 def e05(spark, sf):
     def stage(d, fr):
-        sd = W.roll(fr, C, 20, "std_pop")
-        d = d.select("*", W.roll(fr, C, 5, "mean").alias("f"), W.roll(fr, C, 20, "mean").alias("s"))
+        sd = W.roll(fr, C(), 20, "std_pop")
+        d = d.select("*", W.roll(fr, C(), 5, "mean").alias("f"), W.roll(fr, C(), 20, "mean").alias("s"))
         d = d.withColumn("up", F.col("s") + sd).withColumn("dn", F.col("s") - sd)
         return d.select("*", E.cross(fr, F.col("f"), F.col("s")).alias("crossed"), E.reentry(fr, "up", "dn").alias("reenter"), E.breakout(fr, 10).alias("broke"))
     return hourly_series(spark, sf).map(stage, back_rows=22)
@@ -102,7 +105,7 @@ def e05(spark, sf):
        with_sql(HOURLY_SQL, f"d AS (SELECT series_id, ts, close - open AS x FROM bars)", body=f"SELECT series_id, ts, CASE WHEN x > 20 AND lag(x, 1) OVER w < 0 AND lag(x, 3) OVER w < 0 THEN 1 WHEN x < -20 AND lag(x, 1) OVER w > 0 AND lag(x, 3) OVER w > 0 THEN -1 ELSE 0 END AS armed FROM d {WW}"))
 def e06(spark, sf):
     s = hourly_series(spark, sf)
-    s = s.with_df(s.df.withColumn("x", C - F.col("open")))
+    s = s.with_df(s.df.withColumn("x", C() - F.col("open")))
     return s.columns(lambda fr: {"armed": E.lag_pattern(fr, "x", (1, 3), 20.0)}, back_rows=3)
 
 
@@ -118,8 +121,8 @@ def e07(spark, sf):
          FROM m WINDOW a AS (PARTITION BY series_id ORDER BY ts ROWS 19 PRECEDING), l AS (PARTITION BY series_id ORDER BY ts ROWS 9 PRECEDING), e AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING)"""))
 def e08(spark, sf):
     def stage(d, fr):
-        d = d.withColumn("x", W.diff(fr, C, 5))
-        return d.withColumn("div", divergence_of(fr, C, "x", 20))
+        d = d.withColumn("x", W.diff(fr, C(), 5))
+        return d.withColumn("div", divergence_of(fr, C(), "x", 20))
     return hourly_series(spark, sf).map(stage, back_rows=26)
 
 
@@ -205,7 +208,7 @@ def e17(spark, sf):
                 body=f"SELECT series_id, ts, CASE sign(m - lag(m, 1) OVER w) + sign(m - lag(m, 2) OVER w) + sign(m - lag(m, 4) OVER w) WHEN 3 THEN 1 WHEN -3 THEN -1 WHEN NULL THEN NULL ELSE CASE WHEN lag(m, 4) OVER w IS NOT NULL THEN 0 END END AS agree FROM m {WW}"))
 def e18(spark, sf):
     def stage(d, fr):
-        d = d.withColumn("m", F.round(W.roll(fr, C, 5, "mean"), 12))
+        d = d.withColumn("m", F.round(W.roll(fr, C(), 5, "mean"), 12))
         return d.withColumn("agree", E.lag_agreement(fr, "m", (1, 2, 4)))
     return hourly_series(spark, sf).map(stage, back_rows=10)
 
@@ -230,7 +233,7 @@ def e20(spark, sf):
 @query("e21_hysteresis", KEY + "raw_state:i held_state:i")
 def e21(spark, sf):
     s = hourly_series(spark, sf)
-    d = s.df.withColumn("raw_state", F.signum(C - F.col("open")).cast("int"))
+    d = s.df.withColumn("raw_state", F.signum(C() - F.col("open")).cast("int"))
     return E.hysteresis(s.with_df(d), "raw_state", 2)
 
 
@@ -275,7 +278,7 @@ def e25(spark, sf):
 
 
 def masks():
-    return {"wide": F.col("high") - F.col("low") > 120, "busy": F.col("volume") > 200, "up": C > F.col("open")}
+    return {"wide": F.col("high") - F.col("low") > 120, "busy": F.col("volume") > 200, "up": C() > F.col("open")}
 
 
 MASK_SQL = "mk AS (SELECT series_id, ts, rn, high - low > 120 AS wide, volume > 200 AS busy, close > open AS up FROM bars)"
@@ -327,7 +330,7 @@ def e29(spark, sf):
          g AS (SELECT *, rn - row_number() OVER (PARTITION BY series_id ORDER BY rn) AS grp FROM f WHERE o), h AS (SELECT *, max(rn) OVER (PARTITION BY series_id, grp) - rn AS rem FROM g)""",
        body="SELECT series_id, count(*) AS n, avg(rem) AS mean_left, quantile_cont(rem, 0.25) AS p25, quantile_cont(rem, 0.5) AS p50, avg(r1) AS ret_1, avg(r5) AS ret_5 FROM h GROUP BY 1"))
 def e30(spark, sf):
-    rows = E.persistence_rows(hourly_series(spark, sf), C > F.col("open"), F.lit(1.0))
+    rows = E.persistence_rows(hourly_series(spark, sf), C() > F.col("open"), F.lit(1.0))
     qs = group_quantiles(rows, "series_id", "remaining", {"p25": 0.25, "p50": 0.5}, "n")
     means = rows.groupBy("series_id").agg(F.avg("remaining").alias("mean_left"), F.avg("ret_1").alias("ret_1"), F.avg("ret_5").alias("ret_5"))
     return qs.join(means, "series_id")

@@ -14,7 +14,10 @@ from barline.operators.joins import panel
 from barline.plans import scan as S
 from barline.plans.series import Series
 
-C = F.col("close")
+
+def C():
+    return F.col("close")
+
 
 
 def tick_series(spark, sf):
@@ -82,9 +85,9 @@ def w05(spark, sf):
        body="SELECT series_id, ts, CASE WHEN rn >= 10 THEN ema END AS ema, CASE WHEN rn >= 14 THEN wild END AS wild, first FROM c"))
 def w05e(spark, sf):
     def stage(d, fr):
-        d = S.ema_seeded(d, fr, "ema", C, 10)
-        d = S.wilder(d, fr, "wild", C, 14)
-        return S.ema_first(d, fr, "first", C, 0.2)
+        d = S.ema_seeded(d, fr, "ema", C(), 10)
+        d = S.wilder(d, fr, "wild", C(), 14)
+        return S.ema_first(d, fr, "first", C(), 0.2)
     return hourly_series(spark, sf).map(stage, back_rows=S.ema_rows(14, 1 / 14))
 
 
@@ -92,7 +95,7 @@ def w05e(spark, sf):
        with_sql(HOURLY_SQL, body="""SELECT t.series_id, t.ts, CASE WHEN t.rn >= 20 THEN sum(CASE WHEN i.rn = t.rn - 19 THEN pow(0.7, 19) * 0.3 * i.close ELSE pow(0.7, t.rn - i.rn) * 0.3 * i.close END) END AS y
          FROM bars t JOIN bars i ON t.series_id = i.series_id AND i.rn BETWEEN t.rn - 19 AND t.rn GROUP BY 1, 2, t.rn"""))
 def w06(spark, sf):
-    return hourly_series(spark, sf).columns(lambda fr: {"y": W.ewm_fir(fr, C, 0.3, 20)}, back_rows=20)
+    return hourly_series(spark, sf).columns(lambda fr: {"y": W.ewm_fir(fr, C(), 0.3, 20)}, back_rows=20)
 
 
 @query("w07_array_frames", "series_id:s ts:t wma:f mad:f since_hi:i",
@@ -102,27 +105,27 @@ def w06(spark, sf):
 def w07(spark, sf):
     def stage(d, fr):
         d = d.withColumn("pos", F.row_number().over(fr.w()))
-        return d.withColumn("wma", W.wma(fr, C, 10)).withColumn("mad", W.mean_abs_dev(fr, C, 10)).withColumn("since_hi", W.bars_since(fr, "high", 10, "pos"))
+        return d.withColumn("wma", W.wma(fr, C(), 10)).withColumn("mad", W.mean_abs_dev(fr, C(), 10)).withColumn("since_hi", W.bars_since(fr, "high", 10, "pos"))
     return hourly_series(spark, sf).map(stage, back_rows=12)
 
 
 @query("w08_rolling_quantile", "series_id:s ts:t med:f p90:f",
        sqlw("SELECT series_id, ts, CASE WHEN count(*) OVER w = 15 THEN quantile_cont(close, 0.5) OVER w END AS med, CASE WHEN count(*) OVER w = 15 THEN quantile_cont(close, 0.9) OVER w END AS p90 FROM bars WINDOW w AS $W", 15))
 def w08(spark, sf):
-    return hourly_series(spark, sf).columns(lambda fr: {"med": W.percentile(fr, C, 15, 0.5), "p90": W.percentile(fr, C, 15, 0.9)}, back_rows=15)
+    return hourly_series(spark, sf).columns(lambda fr: {"med": W.percentile(fr, C(), 15, 0.5), "p90": W.percentile(fr, C(), 15, 0.9)}, back_rows=15)
 
 
 @query("w09_percent_rank", "series_id:s ts:t pr:f",
        with_sql(HOURLY_SQL, body="""SELECT t.series_id, t.ts, CASE WHEN t.rn >= 20 THEN (count(*) FILTER (WHERE i.close < t.close) + (count(*) FILTER (WHERE i.close = t.close) + 1) / 2.0) / 20 END AS pr
          FROM bars t JOIN bars i ON t.series_id = i.series_id AND i.rn BETWEEN t.rn - 19 AND t.rn GROUP BY 1, 2, t.rn"""))
 def w09(spark, sf):
-    return hourly_series(spark, sf).columns(lambda fr: {"pr": W.percent_rank(fr, C, 20)}, back_rows=20)
+    return hourly_series(spark, sf).columns(lambda fr: {"pr": W.percent_rank(fr, C(), 20)}, back_rows=20)
 
 
 @query("w10_zscore", "series_id:s ts:t z0:f z1:f",
        sqlw("SELECT series_id, ts, CASE WHEN count(*) OVER w = 20 THEN (close - avg(close) OVER w) / stddev_pop(close) OVER w END AS z0, CASE WHEN count(*) OVER w = 20 THEN (close - avg(close) OVER w) / stddev_samp(close) OVER w END AS z1 FROM bars WINDOW w AS $W", 20))
 def w10(spark, sf):
-    return hourly_series(spark, sf).columns(lambda fr: {"z0": W.zscore(fr, C, 20, 0), "z1": W.zscore(fr, C, 20, 1)}, back_rows=20)
+    return hourly_series(spark, sf).columns(lambda fr: {"z0": W.zscore(fr, C(), 20, 0), "z1": W.zscore(fr, C(), 20, 1)}, back_rows=20)
 
 
 @query("w11_mad_zscore", "series_id:s ts:t z:f",
@@ -138,7 +141,7 @@ def w11(spark, sf):
 def w12(spark, sf):
     def stage(d, fr):
         d = d.withColumn("pos", F.row_number().over(fr.w()))
-        return d.withColumn("slope", W.slope(fr, C, F.col("pos"), 14)).withColumn("forecast", W.forecast(fr, C, F.col("pos"), 14))
+        return d.withColumn("slope", W.slope(fr, C(), F.col("pos"), 14)).withColumn("forecast", W.forecast(fr, C(), F.col("pos"), 14))
     return hourly_series(spark, sf).map(stage, back_rows=14)
 
 
@@ -147,7 +150,7 @@ def w12(spark, sf):
             "r0 AS (SELECT series_id, ts, close - lag(close) OVER (PARTITION BY series_id ORDER BY ts) AS r FROM bars), r AS (SELECT *, lag(r) OVER (PARTITION BY series_id ORDER BY ts) AS p FROM r0)"))
 def w13(spark, sf):
     def stage(d, fr):
-        d = d.withColumn("r", W.diff(fr, C))
+        d = d.withColumn("r", W.diff(fr, C()))
         d = d.withColumn("p", F.lag("r").over(fr.w()))
         return d.withColumn("ac", W.corr(fr, F.col("r"), F.col("p"), 30))
     return hourly_series(spark, sf).map(stage, back_rows=33)
@@ -249,7 +252,7 @@ def w22(spark, sf):
          CASE WHEN rn >= 8 THEN (avg(close) OVER (w ROWS 3 PRECEDING) - avg(close) OVER (w ROWS BETWEEN 7 PRECEDING AND 4 PRECEDING)) / sqrt(2) * 2 END AS d3
          FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY ts)"""))
 def w23(spark, sf):
-    return hourly_series(spark, sf).columns(lambda fr: {f"d{i}": W.haar(fr, C, i) for i in (1, 2, 3)}, back_rows=8)
+    return hourly_series(spark, sf).columns(lambda fr: {f"d{i}": W.haar(fr, C(), i) for i in (1, 2, 3)}, back_rows=8)
 
 
 @query("w24_complexity", "series_id:s ts:t perm_entropy:f higuchi:f rescaled:f")
@@ -262,7 +265,7 @@ def w24(spark, sf):
        body="SELECT series_id, ts, CASE WHEN count(d4) OVER w = 40 AND var_pop(d1) OVER w > 0 THEN var_pop(d4) OVER w / (4 * var_pop(d1) OVER w) END AS vr FROM d WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS 39 PRECEDING)"))
 def w25(spark, sf):
     def stage(d, fr):
-        d = d.withColumn("__close_d1", W.diff(fr, C)).withColumn("__close_d4", W.diff(fr, C, 4))
+        d = d.withColumn("__close_d1", W.diff(fr, C())).withColumn("__close_d4", W.diff(fr, C(), 4))
         return d.withColumn("vr", W.variance_ratio(fr, "close", 4, 40)).drop("__close_d1", "__close_d4")
     return hourly_series(spark, sf).map(stage, back_rows=45)
 

@@ -12,7 +12,25 @@ from barline.operators import windows as W
 from barline.operators.indicators.registry import indicator
 from barline.plans.series import Frame
 
-o, h, l, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
+
+def o() -> Column:
+    return F.col("open")
+
+
+def h() -> Column:
+    return F.col("high")
+
+
+def l() -> Column:  # noqa: E743
+    return F.col("low")
+
+
+def c() -> Column:
+    return F.col("close")
+
+
+def v() -> Column:
+    return F.col("volume")
 
 
 def span(n: int = 0, **kw) -> int:
@@ -41,49 +59,49 @@ def with_pos(d: DataFrame, fr: Frame) -> DataFrame:
 
 @indicator(span)
 def sma(d, fr, n=20):
-    return d.withColumn("sma", W.roll(fr, c, n, "mean"))
+    return d.withColumn("sma", W.roll(fr, c(), n, "mean"))
 
 
 @indicator(span)
 def wma(d, fr, n=20):
-    return d.withColumn("wma", W.wma(fr, c, n))
+    return d.withColumn("wma", W.wma(fr, c(), n))
 
 
 @indicator(span)
 def std_dev(d, fr, n=20):
-    return d.withColumn("std_dev", W.roll(fr, c, n, "std_pop"))
+    return d.withColumn("std_dev", W.roll(fr, c(), n, "std_pop"))
 
 
 @indicator(span)
 def bollinger(d, fr, n=20, k=2.0):
-    m, s = W.roll(fr, c, n, "mean"), W.roll(fr, c, n, "std_pop")
+    m, s = W.roll(fr, c(), n, "mean"), W.roll(fr, c(), n, "std_pop")
     return d.select("*", m.alias("bb_mid"), (m + k * s).alias("bb_upper"), (m - k * s).alias("bb_lower"))
 
 
 @indicator(span)
 def zscore(d, fr, n=20):
-    return d.withColumn("zscore", F.coalesce(W.zscore(fr, c, n, 0), W.full(fr, c, n, F.lit(0.0))))
+    return d.withColumn("zscore", F.coalesce(W.zscore(fr, c(), n, 0), W.full(fr, c(), n, F.lit(0.0))))
 
 
 @indicator(lambda n=20: n + 1)
 def kaufman_er(d, fr, n=20):
-    d = d.withColumn("__dc", F.abs(W.diff(fr, c)))
+    d = d.withColumn("__dc", F.abs(W.diff(fr, c())))
     path = F.sum("__dc").over(fr.last_n(n))
-    er = F.when(path > 0, F.abs(c - F.lag("close", n).over(fr.w())) / path).otherwise(0.0)
+    er = F.when(path > 0, F.abs(c() - F.lag("close", n).over(fr.w())) / path).otherwise(0.0)
     return d.withColumn("kaufman_er", F.when(F.lag("close", n).over(fr.w()).isNotNull(), er)).drop("__dc")
 
 
 @indicator(span)
 def linreg_slope(d, fr, n=20):
     d = with_pos(d, fr)
-    s = W.slope(fr, c, F.col("__pos"), n)
+    s = W.slope(fr, c(), F.col("__pos"), n)
     return d.select("*", s.alias("linreg_slope"), F.signum(s).alias("linreg_regime")).drop("__pos")
 
 
 @indicator(total)
 def stochastic(d, fr, k=14, dk=3):
     lo, hi = ll(fr, k), hh(fr, k)
-    d = d.withColumn("stoch_k", ready(fr, k, F.when(hi > lo, 100.0 * (c - lo) / (hi - lo)).otherwise(50.0)))
+    d = d.withColumn("stoch_k", ready(fr, k, F.when(hi > lo, 100.0 * (c() - lo) / (hi - lo)).otherwise(50.0)))
     return d.withColumn("stoch_d", W.roll(fr, F.col("stoch_k"), dk, "mean"))
 
 
@@ -123,14 +141,14 @@ def ichimoku(d, fr, tenkan=9, kijun=26, senkou=52):
 @indicator(span)
 def williams_r(d, fr, n=14):
     hi, lo = hh(fr, n), ll(fr, n)
-    return d.withColumn("williams_r", ready(fr, n, F.when(hi > lo, -100.0 * (hi - c) / (hi - lo)).otherwise(0.0)))
+    return d.withColumn("williams_r", ready(fr, n, F.when(hi > lo, -100.0 * (hi - c()) / (hi - lo)).otherwise(0.0)))
 
 
 @indicator(lambda n=14: n + 1)
 def mfi(d, fr, n=14):
     d = d.withColumn("__tp", typical())
     d = d.withColumn("__p", F.lag("__tp").over(fr.w()))
-    flow = F.col("__tp") * v
+    flow = F.col("__tp") * v()
     pos = F.sum(F.when(F.col("__tp") > F.col("__p"), flow).otherwise(0.0)).over(fr.last_n(n))
     neg = F.sum(F.when(F.col("__tp") < F.col("__p"), flow).otherwise(0.0)).over(fr.last_n(n))
     val = F.when(neg == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + pos / neg))
@@ -139,24 +157,24 @@ def mfi(d, fr, n=14):
 
 @indicator(lambda n=10: n + 1)
 def roc(d, fr, n=10):
-    return d.withColumn("roc", 100.0 * W.pct_change(fr, c, n))
+    return d.withColumn("roc", 100.0 * W.pct_change(fr, c(), n))
 
 
 @indicator(lambda n=10: n + 1)
 def momentum(d, fr, n=10):
-    return d.withColumn("momentum", W.diff(fr, c, n))
+    return d.withColumn("momentum", W.diff(fr, c(), n))
 
 
 @indicator(span)
 def dto(d, fr, n=20):
-    m = W.roll(fr, c, n, "mean")
-    return d.withColumn("dto", F.when(m != 0, (c - m) / m * 100.0))
+    m = W.roll(fr, c(), n, "mean")
+    return d.withColumn("dto", F.when(m != 0, (c() - m) / m * 100.0))
 
 
 @indicator(lambda n=14: n + 1)
 def vortex(d, fr, n=14):
     pl, ph = F.lag("low").over(fr.w()), F.lag("high").over(fr.w())
-    d = d.select("*", F.abs(h - pl).alias("__vp"), F.abs(l - ph).alias("__vm"),
+    d = d.select("*", F.abs(h() - pl).alias("__vp"), F.abs(l() - ph).alias("__vm"),
                  F.when(pl.isNotNull(), true_range(fr)).alias("__tr"))
     tr = F.sum("__tr").over(fr.last_n(n))
 
@@ -168,7 +186,7 @@ def vortex(d, fr, n=14):
 
 @indicator(span)
 def bb_width(d, fr, n=20, k=2.0):
-    m, s = W.roll(fr, c, n, "mean"), W.roll(fr, c, n, "std_pop")
+    m, s = W.roll(fr, c(), n, "mean"), W.roll(fr, c(), n, "std_pop")
     return d.withColumn("bb_width", F.when(m != 0, 2 * k * s / m))
 
 
@@ -177,7 +195,7 @@ def retracement(d, fr, n=10):
     d = with_pos(d, fr)
     hi, lo = hh(fr, n), ll(fr, n)
     peak, trough = W.bars_since(fr, "high", n, "__pos"), W.bars_since(fr, "low", n, "__pos", "min")
-    raw = F.when(peak <= trough, (hi - c) / (hi - lo)).otherwise((c - lo) / (hi - lo))
+    raw = F.when(peak <= trough, (hi - c()) / (hi - lo)).otherwise((c() - lo) / (hi - lo))
     return d.withColumn("retracement", ready(fr, n, F.when(hi > lo, clip(raw, 0.0, 1.0)).otherwise(0.0))).drop("__pos")
 
 
@@ -185,37 +203,37 @@ def retracement(d, fr, n=10):
 def breakout_channel(d, fr, n=20):
     ch = W.channel(fr, n)
     hi, lo = ch["chan_high"], ch["chan_low"]
-    val = F.when(c > hi, 1.0).when(c < lo, -1.0).when(hi == lo, 0.0).otherwise((c - lo) / (hi - lo) * 2 - 1)
+    val = F.when(c() > hi, 1.0).when(c() < lo, -1.0).when(hi == lo, 0.0).otherwise((c() - lo) / (hi - lo) * 2 - 1)
     return d.withColumn("breakout_channel", F.when(hi.isNotNull(), val))
 
 
 @indicator(span)
 def range_position(d, fr, n=240):
     hi, lo = hh(fr, n), ll(fr, n)
-    return d.withColumn("range_position", ready(fr, n, F.when(hi > lo, F.tanh((c - lo) / (hi - lo) * 20.0 - 10.0)).otherwise(0.0)))
+    return d.withColumn("range_position", ready(fr, n, F.when(hi > lo, F.tanh((c() - lo) / (hi - lo) * 20.0 - 10.0)).otherwise(0.0)))
 
 
 @indicator(span)
 def bb_position(d, fr, n=20):
-    m, s = W.roll(fr, c, n, "mean"), W.roll(fr, c, n, "std_pop")
-    return d.withColumn("bb_position", F.when(s > 0, clip((c - m) / (4.0 * s), -1.0, 1.0)).otherwise(F.when(s.isNotNull(), 0.0)))
+    m, s = W.roll(fr, c(), n, "mean"), W.roll(fr, c(), n, "std_pop")
+    return d.withColumn("bb_position", F.when(s > 0, clip((c() - m) / (4.0 * s), -1.0, 1.0)).otherwise(F.when(s.isNotNull(), 0.0)))
 
 
 @indicator(total)
 def mom_strength(d, fr, m=5, n=10):
-    d = d.withColumn("__up", F.when(W.diff(fr, c, m).isNotNull(), (W.diff(fr, c, m) > 0).cast("double")))
+    d = d.withColumn("__up", F.when(W.diff(fr, c(), m).isNotNull(), (W.diff(fr, c(), m) > 0).cast("double")))
     share = F.sum("__up").over(fr.last_n(n)) / n
-    val = (share - 0.5) * 2.0 * F.abs(W.diff(fr, c, n))
+    val = (share - 0.5) * 2.0 * F.abs(W.diff(fr, c(), n))
     return d.withColumn("mom_strength", W.full(fr, F.col("__up"), n, val)).drop("__up")
 
 
 def swing_index(fr: Frame) -> Column:
     """Wilder's one-bar swing index; null on the first bar, 0 where degenerate."""
     po, pc = F.lag("open").over(fr.w()), F.lag("close").over(fr.w())
-    up, dn, body = F.abs(h - pc), F.abs(l - pc), 0.25 * F.abs(pc - po)
-    r = F.greatest(up - 0.5 * dn + body, dn - 0.5 * up + body, (h - l) + body)
-    tr = F.greatest(h - l, up, dn)
-    move = (c - pc) + 0.5 * (c - o) + 0.25 * (pc - po)
+    up, dn, body = F.abs(h() - pc), F.abs(l() - pc), 0.25 * F.abs(pc - po)
+    r = F.greatest(up - 0.5 * dn + body, dn - 0.5 * up + body, (h() - l()) + body)
+    tr = F.greatest(h() - l(), up, dn)
+    move = (c() - pc) + 0.5 * (c() - o()) + 0.25 * (pc - po)
     return F.when(pc.isNotNull(), F.when((tr == 0) | (r == 0), 0.0).otherwise(50.0 * move / r * F.greatest(up, dn) / tr))
 
 
@@ -235,16 +253,16 @@ def chaikin_money_flow(d, fr, n=21):
     d = d.withColumn("__mf", money_flow())
     vol = F.sum("volume").over(fr.last_n(n))
     val = F.when(vol > 0, F.sum("__mf").over(fr.last_n(n)) / vol).otherwise(0.0)
-    return d.withColumn("cmf", W.full(fr, c, n, val)).drop("__mf")
+    return d.withColumn("cmf", W.full(fr, c(), n, val)).drop("__mf")
 
 
 def money_flow() -> Column:
-    return F.when(h > l, ((c - l) - (h - c)) / (h - l)).otherwise(0.0) * v
+    return F.when(h() > l(), ((c() - l()) - (h() - c())) / (h() - l())).otherwise(0.0) * v()
 
 
 @indicator(lambda r1=14, r2=11, n=10: max(r1, r2) + n + 1)
 def coppock(d, fr, r1=14, r2=11, n=10):
-    d = d.withColumn("__r", 100.0 * (W.pct_change(fr, c, r1) + W.pct_change(fr, c, r2)))
+    d = d.withColumn("__r", 100.0 * (W.pct_change(fr, c(), r1) + W.pct_change(fr, c(), r2)))
     return d.withColumn("coppock", W.wma(fr, F.col("__r"), n)).drop("__r")
 
 
@@ -259,7 +277,7 @@ def dpo(d, fr, n=20):
 @indicator(total)
 def dynamic_zone_stochastic(d, fr, n=14, k=3, bb=20, coeff=0.8):
     lo, hi = ll(fr, n), hh(fr, n)
-    d = d.withColumn("__raw", ready(fr, n, F.when(hi > lo, 100.0 * (c - lo) / (hi - lo)).otherwise(50.0)))
+    d = d.withColumn("__raw", ready(fr, n, F.when(hi > lo, 100.0 * (c() - lo) / (hi - lo)).otherwise(50.0)))
     d = d.withColumn("dz_stoch", F.when(F.col("__raw").isNotNull(), F.avg("__raw").over(fr.last_n(k)))).drop("__raw")
     m, s = W.roll(fr, F.col("dz_stoch"), bb, "mean"), W.roll(fr, F.col("dz_stoch"), bb, "std_pop")
     return d.select("*", (m + coeff * s).alias("dz_stoch_upper"), (m - coeff * s).alias("dz_stoch_lower"))
@@ -267,19 +285,19 @@ def dynamic_zone_stochastic(d, fr, n=14, k=3, bb=20, coeff=0.8):
 
 @indicator(span)
 def envelopes(d, fr, n=20, pct=2.5):
-    m = W.roll(fr, c, n, "mean")
+    m = W.roll(fr, c(), n, "mean")
     return d.select("*", m.alias("env_mid"), (m * (1 + pct / 100)).alias("env_upper"), (m * (1 - pct / 100)).alias("env_lower"))
 
 
 @indicator(lambda n=14: n + 1)
 def vroc(d, fr, n=14):
-    return d.withColumn("vroc", 100.0 * W.pct_change(fr, v, n))
+    return d.withColumn("vroc", 100.0 * W.pct_change(fr, v(), n))
 
 
 @indicator(span)
 def vwma(d, fr, n=20):
     vol = F.sum("volume").over(fr.last_n(n))
-    return d.withColumn("vwma", W.full(fr, c, n, F.when(vol > 0, F.sum(c * v).over(fr.last_n(n)) / vol)))
+    return d.withColumn("vwma", W.full(fr, c(), n, F.when(vol > 0, F.sum(c() * v()).over(fr.last_n(n)) / vol)))
 
 
 @indicator(span)
@@ -303,7 +321,7 @@ def cci_divergence(d, fr, n=20, lookback=20):
     had = "cci" in d.columns
     base = d.withColumnRenamed("cci", "__keep") if had else d
     d = cci(base, fr, n)
-    d = d.withColumn("cci_divergence", divergence_of(fr, c, "cci", lookback)).drop("cci")
+    d = d.withColumn("cci_divergence", divergence_of(fr, c(), "cci", lookback)).drop("cci")
     return d.withColumnRenamed("__keep", "cci") if had else d
 
 
@@ -323,4 +341,4 @@ def day_of_week(d, fr):
 
 @indicator(span)
 def range_pos(d, fr, n=30):
-    return d.withColumn("range_pos", ready(fr, n, position_in_range(c, ll(fr, n), hh(fr, n))))
+    return d.withColumn("range_pos", ready(fr, n, position_in_range(c(), ll(fr, n), hh(fr, n))))

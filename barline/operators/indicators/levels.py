@@ -27,7 +27,7 @@ def cumulative(series: Series, out: str, contribution) -> DataFrame:
 
 
 def obv(series: Series) -> DataFrame:
-    return cumulative(series, "obv", lambda fr: F.coalesce(F.signum(c - F.lag("close").over(fr.w())) * v, F.lit(0.0)))
+    return cumulative(series, "obv", lambda fr: F.coalesce(F.signum(c() - F.lag("close").over(fr.w())) * v(), F.lit(0.0)))
 
 
 def accumulation_distribution(series: Series) -> DataFrame:
@@ -53,7 +53,7 @@ def vwap(series: Series) -> DataFrame:
     """Volume-weighted typical price since the start of the UTC day."""
     d = series.df.withColumn("__day", F.date_trunc("day", series.order[0]))
     s = Series(d, [*series.key, "__day"], series.order)
-    run = s.running({"__pv": ("sum", typical() * v), "__vv": ("sum", v)})
+    run = s.running({"__pv": ("sum", typical() * v()), "__vv": ("sum", v())})
     return run.withColumn("vwap", F.when(F.col("__vv") > 0, F.col("__pv") / F.col("__vv"))).drop("__day", "__pv", "__vv")
 
 
@@ -98,13 +98,13 @@ def session_strength(series: Series) -> DataFrame:
     sess = F.when(hour < SESSION_CUTS[0], 0).when(hour < SESSION_CUTS[1], 1).otherwise(2)
     d = series.df.withColumn("session", sess).withColumn("day", F.date_trunc("day", ts))
     run = Series(d, [*series.key, "day", "session"], series.order).running(
-        {"__hi": ("max", h), "__lo": ("min", l)}
+        {"__hi": ("max", h()), "__lo": ("min", l())}
     )
-    value = F.when(F.col("__hi") > F.col("__lo"), (c - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 2 - 1)
+    value = F.when(F.col("__hi") > F.col("__lo"), (c() - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 2 - 1)
     done = d.groupBy(*series.key, "day").agg(
-        (F.max(F.when(F.col("session") == 0, h)) - F.min(F.when(F.col("session") == 0, l))).alias("asian_range"),
-        F.min_by(F.when(F.col("session") == 1, c), F.when(F.col("session") == 1, F.col(ts))).alias("__lopen"),
-        F.min_by(F.when(F.col("session") == 2, c), F.when(F.col("session") == 2, F.col(ts))).alias("__nyfirst"),
+        (F.max(F.when(F.col("session") == 0, h())) - F.min(F.when(F.col("session") == 0, l()))).alias("asian_range"),
+        F.min_by(F.when(F.col("session") == 1, c()), F.when(F.col("session") == 1, F.col(ts))).alias("__lopen"),
+        F.min_by(F.when(F.col("session") == 2, c()), F.when(F.col("session") == 2, F.col(ts))).alias("__nyfirst"),
     )
     j = run.withColumn("session_value", value).join(done, [*series.key, "day"])
     later = F.col("session") >= 1

@@ -56,7 +56,7 @@ def atr(d, fr, n=14):
 
 def add_adx(d, fr: Frame, n: int):
     ph, pl = F.lag("high").over(fr.w()), F.lag("low").over(fr.w())
-    up, dn = h - ph, pl - l
+    up, dn = h() - ph, pl - l()
     d = d.select(
         "*", F.when(ph.isNotNull(), true_range(fr)).alias("__t"),
         F.when(ph.isNotNull(), F.when((up > dn) & (up > 0), up).otherwise(0.0)).alias("__p"),
@@ -96,7 +96,7 @@ def _hidden_adx(d, fr, n):
 
 @indicator(lambda n=14, window=200: wrows(n) + window)
 def vol_regime(d, fr, n=14, window=200):
-    d = add_atr(d, fr, "__atr", n).withColumn("__pct", F.when(c > 0, F.col("__atr") / c * 100.0))
+    d = add_atr(d, fr, "__atr", n).withColumn("__pct", F.when(c() > 0, F.col("__atr") / c() * 100.0))
     w = fr.last_n(window)
     lo, hi = F.percentile("__pct", F.lit(0.33)).over(w), F.percentile("__pct", F.lit(0.67)).over(w)
     val = F.when(F.col("__pct") < lo, -1).when(F.col("__pct") > hi, 1).otherwise(0)
@@ -113,8 +113,8 @@ def chandelier(d, fr, n=14, k=3.0):
 
 @indicator(lambda fast=12, slow=26, signal=9: ema_rows(slow) + ema_rows(signal))
 def macd(d, fr, fast=12, slow=26, signal=9):
-    d = add_ema(d, fr, "__f", c, fast)
-    d = add_ema(d, fr, "__s", c, slow)
+    d = add_ema(d, fr, "__f", c(), fast)
+    d = add_ema(d, fr, "__s", c(), slow)
     d = d.withColumn("macd", F.col("__f") - F.col("__s")).drop("__f", "__s")
     d = add_ema(d, fr, "macd_signal", F.col("macd"), signal)
     return d.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
@@ -122,16 +122,16 @@ def macd(d, fr, fast=12, slow=26, signal=9):
 
 @indicator(lambda n=20, k=1.5: max(ema_rows(n), wrows(n)))
 def keltner(d, fr, n=20, k=1.5):
-    d = add_atr(add_ema(d, fr, "kc_mid", c, n), fr, "__atr", n)
+    d = add_atr(add_ema(d, fr, "kc_mid", c(), n), fr, "__atr", n)
     return d.select("*", (F.col("kc_mid") + k * F.col("__atr")).alias("kc_upper"), (F.col("kc_mid") - k * F.col("__atr")).alias("kc_lower")).drop("__atr")
 
 
 @indicator(lambda n=20, bb=2.0, kc=1.5: wrows(n))
 def squeeze(d, fr, n=20, bb=2.0, kc=1.5):
     d = add_atr(d, fr, "__atr", n)
-    m, s = W.roll(fr, c, n, "mean"), W.roll(fr, c, n, "std_pop")
+    m, s = W.roll(fr, c(), n, "mean"), W.roll(fr, c(), n, "std_pop")
     # same middle line, so the bands nest when their half-widths do
-    return d.select("*", (bb * s < kc * F.col("__atr")).cast("int").alias("squeeze_on"), (c - m).alias("squeeze_momentum")).drop("__atr")
+    return d.select("*", (bb * s < kc * F.col("__atr")).cast("int").alias("squeeze_on"), (c() - m).alias("squeeze_momentum")).drop("__atr")
 
 
 @indicator(lambda short=5, long=200: wrows(long))
@@ -162,8 +162,8 @@ def rsi_extreme(d, fr, n=14):
 @indicator(lambda n=14, fast=50, slow=200: adx_rows(n) + slow)
 def trend_quality(d, fr, n=14, fast=50, slow=200):
     d = _hidden_adx(d, fr, n)
-    f, s = W.roll(fr, c, fast, "mean"), W.roll(fr, c, slow, "mean")
-    lined = ((c > f) & (f > s)) | ((c < f) & (f < s))
+    f, s = W.roll(fr, c(), fast, "mean"), W.roll(fr, c(), slow, "mean")
+    lined = ((c() > f) & (f > s)) | ((c() < f) & (f < s))
     return d.withColumn("trend_quality", lined.cast("double") * F.when(F.col("__adx").isNotNull(), F.least(F.col("__adx") / 50.0, F.lit(1.0)))).drop("__adx", "__plus_di", "__minus_di")
 
 
@@ -177,7 +177,7 @@ def dmi_signal(d, fr, n=14):
 @indicator(lambda n=14: wrows(n))
 def delta_price(d, fr, n=14):
     d = add_atr(d, fr, "__a", n)
-    return d.withColumn("delta_price", F.when(F.col("__a") > 0, F.tanh(W.diff(fr, c) / F.col("__a")))).drop("__a")
+    return d.withColumn("delta_price", F.when(F.col("__a") > 0, F.tanh(W.diff(fr, c()) / F.col("__a")))).drop("__a")
 
 
 def _stochastic_of(fr, x: str, n: int):
@@ -199,8 +199,8 @@ def _held_ema(d, fr, out, x: str, factor: float, start: float):
 @indicator(lambda fast=23, slow=50, n=10, factor=0.5: ema_rows(slow) + 2 * (n + lookback(0.5)) + 512)
 def schaff(d, fr, fast=23, slow=50, n=10, factor=0.5):
     """Double stochastic of the MACD; on a flat range the smoothed value is held."""
-    d = add_ema(d, fr, "__f", c, fast)
-    d = add_ema(d, fr, "__s", c, slow)
+    d = add_ema(d, fr, "__f", c(), fast)
+    d = add_ema(d, fr, "__s", c(), slow)
     d = d.withColumn("__x", F.col("__f") - F.col("__s"))
     lo, hi = _stochastic_of(fr, "__x", n)
     full1 = F.count("__x").over(fr.last_n(n)) == n
@@ -218,8 +218,8 @@ def schaff(d, fr, fast=23, slow=50, n=10, factor=0.5):
 @indicator(lambda n=5: n + ema_rows(5 * n))
 def repulse(d, fr, n=5):
     first_open = F.lag("open", n - 1).over(fr.w())
-    bull = F.when(c != 0, 100.0 * (3.0 * c - 2.0 * ll(fr, n) - first_open) / c).otherwise(0.0)
-    bear = F.when(c != 0, 100.0 * (first_open + 2.0 * hh(fr, n) - 3.0 * c) / c).otherwise(0.0)
+    bull = F.when(c() != 0, 100.0 * (3.0 * c() - 2.0 * ll(fr, n) - first_open) / c()).otherwise(0.0)
+    bear = F.when(c() != 0, 100.0 * (first_open + 2.0 * hh(fr, n) - 3.0 * c()) / c()).otherwise(0.0)
     d = d.select("*", ready(fr, n, bull).alias("__bu"), ready(fr, n, bear).alias("__be"))
     d = add_ema(d, fr, "__b1", F.col("__bu"), 5 * n)
     d = add_ema(d, fr, "__b2", F.col("__be"), 5 * n)
@@ -239,7 +239,7 @@ def stoch_rsi(d, fr, n=14, m=14, k=3):
 def smi(d, fr, n=10, m=3, signal=10):
     a = 2.0 / (m + 1)
     hi, lo = hh(fr, n), ll(fr, n)
-    d = d.select("*", ready(fr, n, c - (hi + lo) / 2).alias("__rel"), ready(fr, n, hi - lo).alias("__rng"))
+    d = d.select("*", ready(fr, n, c() - (hi + lo) / 2).alias("__rel"), ready(fr, n, hi - lo).alias("__rng"))
     for x in ("__rel", "__rng"):
         d = ema_first(d, fr, f"{x}1", F.col(x), a)
         d = ema_first(d, fr, f"{x}2", F.col(f"{x}1"), a)
@@ -252,25 +252,25 @@ def smi(d, fr, n=10, m=3, signal=10):
 
 @indicator(lambda n=10: ema_rows(n) + n)
 def chaikin_volatility(d, fr, n=10):
-    d = add_ema(d, fr, "__e", h - l, n)
+    d = add_ema(d, fr, "__e", h() - l(), n)
     return d.withColumn("chaikin_volatility", 100.0 * W.pct_change(fr, F.col("__e"), n)).drop("__e")
 
 
 @indicator(lambda n=20: 2 * ema_rows(n))
 def dema(d, fr, n=20):
-    d = chain(d, fr, "__e", c, n, 2)
+    d = chain(d, fr, "__e", c(), n, 2)
     return d.withColumn("dema", 2 * F.col("__e1") - F.col("__e2")).drop("__e1", "__e2")
 
 
 @indicator(lambda n=20: 3 * ema_rows(n))
 def tema(d, fr, n=20):
-    d = chain(d, fr, "__e", c, n, 3)
+    d = chain(d, fr, "__e", c(), n, 3)
     return d.withColumn("tema", 3 * F.col("__e1") - 3 * F.col("__e2") + F.col("__e3")).drop("__e1", "__e2", "__e3")
 
 
 @indicator(lambda fast=12, slow=26, signal=9: 2 * ema_rows(slow) + 2 * ema_rows(signal))
 def macd_zero_lag(d, fr, fast=12, slow=26, signal=9):
-    d = chain(chain(d, fr, "__f", c, fast, 2), fr, "__s", c, slow, 2)
+    d = chain(chain(d, fr, "__f", c(), fast, 2), fr, "__s", c(), slow, 2)
     line = (2 * F.col("__f1") - F.col("__f2")) - (2 * F.col("__s1") - F.col("__s2"))
     d = chain(d.withColumn("zl_macd", line), fr, "__g", F.col("zl_macd"), signal, 2)
     d = d.withColumn("zl_signal", 2 * F.col("__g1") - F.col("__g2"))
@@ -286,23 +286,23 @@ def dynamic_zone_rsi(d, fr, n=14, bb=20, coeff=1.3185):
 
 @indicator(lambda n=20: ema_rows(n))
 def ema(d, fr, n=20):
-    return add_ema(d, fr, "ema", c, n)
+    return add_ema(d, fr, "ema", c(), n)
 
 
 @indicator(lambda n=10, fast=2, slow=30: n + lookback(1 - (2 / (slow + 1)) ** 2))
 def adaptive_ma(d, fr, n=10, fast=2, slow=30):
     """Kaufman's average: time-varying smoothing from the efficiency ratio."""
     fa, sa = 2.0 / (fast + 1), 2.0 / (slow + 1)
-    d = d.withColumn("__dc", F.abs(W.diff(fr, c)))
+    d = d.withColumn("__dc", F.abs(W.diff(fr, c())))
     old = F.lag("close", n).over(fr.w())
     path = F.sum("__dc").over(fr.last_n(n))
-    er = F.when(path > 0, F.abs(c - old) / path).otherwise(0.0)
+    er = F.when(path > 0, F.abs(c() - old) / path).otherwise(0.0)
     d = d.withColumn("__sc", F.when(old.isNotNull(), F.pow(er * (fa - sa) + sa, 2)))
     # until n+1 bars exist the average is the close itself
     a = F.coalesce(1.0 - F.col("__sc"), F.lit(0.0))
     first = F.col("__sc").isNotNull() & F.lag("__sc").over(fr.w()).isNull()
     a = F.when(first, 0.0).otherwise(a)
-    b = F.when(first | F.col("__sc").isNull(), c).otherwise(F.col("__sc") * c)
+    b = F.when(first | F.col("__sc").isNull(), c()).otherwise(F.col("__sc") * c())
     d = d.withColumn("__a", a).withColumn("__b", b)
     d = affine(d, fr, "adaptive_ma", F.col("__a"), F.col("__b"))
     return d.withColumn("adaptive_ma", F.when(F.col("__sc").isNotNull(), F.col("adaptive_ma"))).drop("__dc", "__sc", "__a", "__b")
@@ -315,43 +315,43 @@ def _oscillator(d, fr, out, x, fast, slow):
 
 @indicator(lambda fast=12, slow=26: ema_rows(slow))
 def price_oscillator(d, fr, fast=12, slow=26):
-    return _oscillator(d, fr, "price_oscillator", c, fast, slow)
+    return _oscillator(d, fr, "price_oscillator", c(), fast, slow)
 
 
 @indicator(lambda fast=12, slow=26: ema_rows(slow))
 def volume_oscillator(d, fr, fast=12, slow=26):
-    return _oscillator(d, fr, "volume_oscillator", v, fast, slow)
+    return _oscillator(d, fr, "volume_oscillator", v(), fast, slow)
 
 
 @indicator(lambda fast=12, slow=26, lookback=20: ema_rows(slow) + lookback)
 def macd_divergence(d, fr, fast=12, slow=26, lookback=20):
-    d = add_ema(add_ema(d, fr, "__f", c, fast), fr, "__s", c, slow)
+    d = add_ema(add_ema(d, fr, "__f", c(), fast), fr, "__s", c(), slow)
     d = d.withColumn("__m", F.col("__f") - F.col("__s"))
-    return d.withColumn("macd_divergence", divergence_of(fr, c, "__m", lookback)).drop("__f", "__s", "__m")
+    return d.withColumn("macd_divergence", divergence_of(fr, c(), "__m", lookback)).drop("__f", "__s", "__m")
 
 
 @indicator(lambda n=14, lookback=20: wrows(n) + lookback)
 def rsi_divergence(d, fr, n=14, lookback=20):
     d = add_rsi(d, fr, "__r", n)
-    return d.withColumn("rsi_divergence", divergence_of(fr, c, "__r", lookback)).drop("__r")
+    return d.withColumn("rsi_divergence", divergence_of(fr, c(), "__r", lookback)).drop("__r")
 
 
 @indicator(lambda n=15: 3 * ema_rows(n) + 1)
 def trix(d, fr, n=15):
-    d = chain(d, fr, "__e", c, n, 3)
+    d = chain(d, fr, "__e", c(), n, 3)
     return d.withColumn("trix", 100.0 * W.pct_change(fr, F.col("__e3"))).drop("__e1", "__e2", "__e3")
 
 
 @indicator(lambda n=13: ema_rows(n))
 def bull_bear_power(d, fr, n=13):
-    d = add_ema(d, fr, "__e", c, n)
-    return d.select("*", (h - F.col("__e")).alias("bull_power"), (l - F.col("__e")).alias("bear_power")).drop("__e")
+    d = add_ema(d, fr, "__e", c(), n)
+    return d.select("*", (h() - F.col("__e")).alias("bull_power"), (l() - F.col("__e")).alias("bear_power")).drop("__e")
 
 
 @indicator(lambda n=10: n + lookback(0.67))
 def fisher(d, fr, n=10):
     """Fisher transform of the smoothed mid-price position in its range."""
-    d = d.withColumn("__mid", (h + l) / 2)
+    d = d.withColumn("__mid", (h() + l()) / 2)
     lo, hi = F.min("__mid").over(fr.last_n(n)), F.max("__mid").over(fr.last_n(n))
     raw = F.when(hi > lo, 2.0 * ((F.col("__mid") - lo) / (hi - lo) - 0.5)).otherwise(0.0)
     d = d.withColumn("__raw", ready(fr, n, 0.33 * raw))

@@ -72,6 +72,7 @@ def main() -> int:
     spark = local_session()
     if args.block_rows:
         spark.conf.set("spark.barline.blockRows", args.block_rows)
+        spark.conf.set("spark.barline.measureBytes", "0")
     sf_dir = f"/root/testdata/sf{args.sf}"
     con = connect(sf_dir)
     bad = 0
