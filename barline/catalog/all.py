@@ -6,7 +6,7 @@ import importlib
 
 from barline.catalog.registry import REGISTRY, Entry
 
-MODULES = ["sources", "bars", "joins", "aggregates", "windows", "indicators", "scalars", "events", "xsection", "stats", "ledger", "streaming"]
+MODULES = ["sources", "bars", "joins", "aggregates", "windows", "indicators", "features", "scalars", "events", "xsection", "stats", "ledger", "streaming"]
 
 
 def load() -> dict[str, Entry]:

@@ -110,7 +110,7 @@ def inverse_vol(returns: Series, n: int, ret: str, dates: DataFrame, entity: str
 def transition_signal(series: Series, n: int, threshold: float, price: str = "close") -> DataFrame:
     """Three-state label from an n-bar return; P(up)-P(down) from past transitions only."""
     key = list(series.key)
-    d = series.columns(lambda fr: {"__r": F.col(price) / F.lag(price, n).over(fr.w()) - 1}, back_rows=n)
+    d = series.columns(lambda fr: {"__r": F.try_divide(F.col(price), F.lag(price, n).over(fr.w())) - 1}, back_rows=n)
     d = d.withColumn("state", F.when(F.col("__r") > threshold, 1).when(F.col("__r") < -threshold, -1).when(F.col("__r").isNotNull(), 0))
     s = series.with_df(d)
     d = s.columns(lambda fr: {"__from": F.lag("state").over(fr.w())}, back_rows=1)
