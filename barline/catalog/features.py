@@ -29,7 +29,7 @@ def feat_all(spark, sf):
        k AS (SELECT *, CASE WHEN rn >= 14 THEN CASE WHEN h14 - l14 > 1e-12 THEN (close - l14) / (h14 - l14) ELSE 0.5 END END AS k FROM b),
        e AS (SELECT t.series_id, t.rn, sum(pow(7/9.0, t.rn - i.rn) * CASE WHEN i.rn = 1 THEN 1 ELSE 2/9.0 END * i.close) AS e8 FROM bars t JOIN bars i ON t.series_id = i.series_id AND i.rn <= t.rn GROUP BY 1, 2)""",
        body="""SELECT series_id, ts, (close - open) / close * 1e4 AS body_pips, CASE WHEN pc IS NOT NULL THEN CASE WHEN ph - pl > 1e-12 THEN (open - pc) / (ph - pl) ELSE 0 END END AS gap_norm,
-         CASE WHEN p2 IS NOT NULL THEN CASE WHEN ph - pl > 1e-12 THEN (close - p2) / (ph - pl) ELSE 0 END END AS two_bar_momentum, CASE WHEN rn >= 20 THEN (high - low) / avg(high - low) OVER w20 END AS range_expansion,
+         CASE WHEN p2 IS NOT NULL THEN CASE WHEN ph - pl > 1e-12 THEN (close - p2) / (ph - pl) ELSE 0 END END AS two_bar_momentum, CASE WHEN rn >= 20 THEN CASE WHEN avg(high - low) OVER w20 > 1e-12 THEN (high - low) / avg(high - low) OVER w20 ELSE 1 END END AS range_expansion,
          CASE WHEN pc IS NOT NULL THEN CASE WHEN close > open AND pc < po AND close >= po AND open <= pc THEN 1 WHEN close < open AND pc > po AND close <= po AND open >= pc THEN -1 ELSE 0 END END AS is_engulfing,
          CASE WHEN p10 <> 0 THEN (close - p10) / p10 END AS roc_10, CASE WHEN rn >= 30 THEN CASE WHEN h30 - l30 > 1e-12 THEN (close - l30) / (h30 - l30) ELSE 0.5 END END AS range_pos_30,
          CASE WHEN rn >= 20 THEN 4 * stddev_pop(close) OVER w20 / close END AS bb_width, CASE WHEN rn >= 20 THEN (close - avg(close) OVER w20) / (2 * stddev_pop(close) OVER w20) END AS bb_pos,

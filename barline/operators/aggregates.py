@@ -58,7 +58,8 @@ def quantile_bucket(df: DataFrame, key, col: str, n: int, out: str) -> DataFrame
     qs = {f"__q{i}": i / n for i in range(1, n)}
     edges = group_quantiles(df, key, col, qs)
     keys = as_list(key)
-    j = df.join(edges, keys) if keys else df.join(F.broadcast(edges))
+    # a group without any value keeps its rows with a null label
+    j = df.join(edges, keys, "left") if keys else df.join(F.broadcast(edges))
     label = sum(((F.col(col) > F.col(q)).cast("int") for q in qs), F.lit(0))
     return j.withColumn(out, F.when(F.col(col).isNotNull(), label)).drop(*qs)
 
