@@ -57,7 +57,7 @@ def with_indicators(series: Series, names: Iterable[str | tuple[str, dict]]) ->
             before = set(d.columns)
             d = ind.fn(d, fr, **params)
             if suffix:
-                for c in [c for c in d.columns if c not in before]:
+                for c in [c for c in d.columns if c not in before and not c.startswith("__")]:
                     d = d.withColumnRenamed(c, f"{c}_{suffix}")
         return d
 

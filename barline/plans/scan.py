@@ -1,9 +1,11 @@
 """Affine recurrence ``y[t] = a[t] * y[t-1] + b[t]`` as window expressions.
 
-Rows are grouped into chunks over which the product of the ``a`` falls below
-e**-300.  Inside a chunk the recurrence is a scaled running sum; what enters
-from outside is only the end value of the previous chunk, because anything
-older is multiplied by less than e**-300, which is below double precision.
+Rows are grouped into chunks.  Inside a chunk the recurrence is a scaled running
+sum; what enters from outside is the end value of the previous chunk.  With a
+constant ``a`` chunks have a fixed length shared by all scans of a stage, so any
+number of scans needs one sort; older chunk ends are reached by fixed lags until
+their weight is below double precision.  With a varying ``a`` a chunk ends when
+the product of the ``a`` falls below e**-300 and only the previous chunk counts.
 No Python runs and no key has to be walked row by row.
 """
 
@@ -20,6 +22,8 @@ from barline.plans.series import Frame, Series
 DECAY_EXPONENT = 40.0
 CHUNK_EXPONENT = 300.0
 RESET_EXPONENT = 700.0
+CHUNK_ROWS = 512
+OVERFLOW_EXPONENT = 600.0
 
 
 def lookback(a: float) -> int:
@@ -37,30 +41,40 @@ def affine(d: DataFrame, fr: Frame, out: str, a: float | Column, b: Column) -> D
     return _affine_varying(d, fr, out, a, b)
 
 
+def _with_chunks(d: DataFrame, fr: Frame) -> DataFrame:
+    """Number rows once per stage; all scans and later windows share this order."""
+    if fr.chunk is None:
+        d = d.withColumn("__crn", F.row_number().over(fr.w()) - 1)
+        d = d.select("*", F.floor(F.col("__crn") / CHUNK_ROWS).alias("__chunk"), (F.col("__crn") % CHUNK_ROWS).cast("double").alias("__cj"))
+        fr.chunk = "__chunk"
+    return d
+
+
 def _affine_constant(d: DataFrame, fr: Frame, out: str, a: float, b: Column) -> DataFrame:
     value = F.coalesce(b.cast("double"), F.lit(0.0))
     if a <= 0.0:
         return d.withColumn(out, value)
     c = -math.log(a)
-    length = max(int(CHUNK_EXPONENT / c), 1)
-    rn, chunk, j, z, loc = (f"__{out}_{s}" for s in ("rn", "ch", "j", "z", "loc"))
-    d = d.withColumn(rn, F.row_number().over(fr.w()) - 1)
-    single = fr.max_rows is not None and fr.max_rows <= length
-    d = d.withColumn(j, (F.col(rn) % length).cast("double")).withColumn(
-        z, value * F.exp(F.col(j) * F.lit(c))
-    )
-    grow = F.exp(-F.col(j) * F.lit(c))
-    if single:
-        total = F.sum(z).over(fr.rows(Window.unboundedPreceding, 0))
-        return d.withColumn(out, grow * total).drop(rn, j, z)
-    d = d.withColumn(chunk, F.floor(F.col(rn) / length))
-    inner = Frame([*fr.parts, chunk], fr.order, fr.ts)
-    d = d.withColumn(loc, grow * F.sum(z).over(inner.rows(Window.unboundedPreceding, 0)))
-    carry = F.last(F.when(F.col(j) == length - 1, F.col(loc)), ignorenulls=True).over(
-        fr.rows(Window.unboundedPreceding, -1)
-    )
-    y = F.col(loc) + F.exp(-(F.col(j) + 1) * F.lit(c)) * F.coalesce(carry, F.lit(0.0))
-    return d.withColumn(out, y).drop(rn, chunk, j, z, loc)
+    if c * CHUNK_ROWS > OVERFLOW_EXPONENT:
+        return _affine_varying(d, fr, out, F.lit(a), b)
+    d = _with_chunks(d, fr)
+    z, loc, end = (f"__{out}_{s}" for s in ("z", "loc", "end"))
+    j = F.col("__cj")
+    d = d.withColumn(z, value * F.exp(j * F.lit(c)))
+    inner = Frame([*fr.parts, "__chunk"], fr.order, fr.ts)
+    d = d.withColumn(loc, F.exp(-j * F.lit(c)) * F.sum(z).over(inner.rows(Window.unboundedPreceding, 0)))
+    if fr.max_rows is not None and fr.max_rows <= CHUNK_ROWS:
+        return d.withColumn(out, F.col(loc)).drop(z, loc)
+    # chunk ends lie CHUNK_ROWS apart, so older chunks are reached by fixed lags
+    # until their weight is below double precision
+    total = F.col(loc)
+    for m in range(1, int(math.ceil(DECAY_EXPONENT / (c * CHUNK_ROWS)))):
+        older = F.coalesce(F.lag(loc, m * CHUNK_ROWS).over(fr.w()), F.lit(0.0))
+        total = total + F.lit(math.exp(-c * CHUNK_ROWS * m)) * older
+    d = d.withColumn(end, F.when(j == CHUNK_ROWS - 1, total))
+    carry = F.last(end, ignorenulls=True).over(fr.rows(Window.unboundedPreceding, -1))
+    y = F.col(loc) + F.exp(-(j + 1) * F.lit(c)) * F.coalesce(carry, F.lit(0.0))
+    return d.withColumn(out, y).drop(z, loc, end)
 
 
 def _affine_varying(d: DataFrame, fr: Frame, out: str, a: Column, b: Column) -> DataFrame:

@@ -31,6 +31,7 @@ DEFAULT_BLOCK_ROWS = 1_000_000
 DEFAULT_BROADCAST_ROWS = 500_000
 DEFAULT_MEASURE_BYTES = 64 << 20
 
+CHUNK_COLUMNS = ("__crn", "__chunk", "__cj")
 _BLK = "__blk"
 _OWN = "__own"
 
@@ -71,10 +72,14 @@ class Frame:
     order: list[str]
     ts: str
     max_rows: int | None = None
+    # a column that never decreases along the order; once set, windows sort by it
+    # first, so windows over (parts, chunk) and over parts share one sort
+    chunk: str | None = None
 
     def w(self) -> WindowSpec:
         parts = [F.col(c) for c in self.parts] or [F.lit(0)]
-        return Window.partitionBy(*parts).orderBy(*[F.col(c) for c in self.order])
+        lead = [self.chunk] if self.chunk else []
+        return Window.partitionBy(*parts).orderBy(*[F.col(c) for c in (*lead, *self.order)])
 
     def rows(self, start: int, end: int) -> WindowSpec:
         return self.w().rowsBetween(start, end)
@@ -261,7 +266,7 @@ class Series:
     ) -> DataFrame:
         """Apply a stage of bounded-frame windows; ``fn`` sees enough halo rows."""
         df, frame = self.blocks(back_rows, fwd_rows, back_us, fwd_us)
-        out = fn(df, frame)
+        out = fn(df, frame).drop(*CHUNK_COLUMNS)
         if self._layout is not None:
             out = out.filter(F.col(_OWN)).drop(_BLK, _OWN)
         return out
