@@ -27,7 +27,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 def use_utc(spark: SparkSession) -> None:
     """All instants are UTC; local-time anchors are derived explicitly."""
-    if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
