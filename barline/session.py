@@ -34,12 +34,14 @@ def use_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder every executor can reach: the cluster's checkpoint folder.
 
-    Only when the cluster names none (tests, a laptop) a temporary folder is made.
+    Only a local session (tests, a laptop) may name none and gets a temporary folder; on a
+    cluster a folder of one machine would be lost to the others, so that is an error.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/barline-{name}"
