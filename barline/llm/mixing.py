@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     order, null last. Sources without words get 0."""
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     n = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    s = s.withColumn("weight", F.array(*map(F.lit, weights)).getItem(F.pmod(n, F.lit(len(weights)))))
+    s = s.withColumn("weight", F.array(*map(F.lit, weights))[F.pmod(n, F.lit(len(weights)))])
     room = (F.lit(float(max_repeats)) * F.col("source_size") / F.col("weight")).alias("room")
     s = s.select("*", room)
     before = Window.orderBy("room", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
