@@ -12,47 +12,17 @@ shuffle; the result is the same.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barline.llm.bits import filter_of, with_test
 from barline.llm.common import SPACES, keep_table, whole
 
-#: Bits of one row of the filter table: what Spark's bitmap aggregate holds.
-BLOCK_BITS = 32768
-
-
 def normalised(text: Column) -> Column:
     """Runs of ASCII white space as one space; a null as the empty text."""
     return F.regexp_replace(whole(text), SPACES, " ")
 
 
-def _bit(digest: Column, i: int, filter_bits: int) -> Column:
-    return F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(filter_bits))
-
-
-def repeated_bits(digests: DataFrame, filter_bits: int, n_hashes: int) -> DataFrame:
-    """Filter table (block, bitmap) of the bits that at least two rows hit."""
-    hits = digests.select(F.explode(F.array(*[_bit(F.col("digest"), i, filter_bits) for i in range(n_hashes)])).alias("bit"))
-    twice = hits.groupBy("bit").count().filter("count > 1")
-    return twice.groupBy(F.expr(f"bit div {BLOCK_BITS}").alias("block")).agg(
-        F.bitmap_construct_agg(F.expr(f"bit % {BLOCK_BITS}")).alias("bitmap")
-    )
-
-
-def with_suspicion(digests: DataFrame, bits: DataFrame, filter_bits: int, n_hashes: int) -> DataFrame:
-    """Adds ``suspect``: all bits of the row were hit by at least two rows."""
-    tests = []
-    for i in range(n_hashes):
-        side = F.broadcast(bits.select(F.col("block").alias(f"block{i}"), F.col("bitmap").alias(f"bitmap{i}")))
-        digests = digests.withColumn(f"bit{i}", _bit(F.col("digest"), i, filter_bits))
-        digests = digests.withColumn(f"block{i}", F.expr(f"bit{i} div {BLOCK_BITS}")).join(side, f"block{i}", "left")
-        byte = F.conv(F.hex(F.expr(f"substring(bitmap{i}, int(bit{i} % {BLOCK_BITS}) div 8 + 1, 1)")), 16, 10).cast("int")
-        tests.append(F.coalesce(F.expr(f"shiftleft(1, int(bit{i} % 8))").bitwiseAND(byte) != 0, F.lit(False)))
-    return digests.select("id", "digest", reduce(Column.__and__, tests).alias("suspect"))
-
-
 def mark_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -70,8 +40,8 @@ def mark_copies(
     digests = keep_table(
         docs.select(docs[id_col].alias("id"), F.sha2(normalised(docs[text_col]), 256).alias("digest")), "digests"
     )
-    bits = repeated_bits(digests, filter_bits, n_hashes)
-    rows = with_suspicion(digests, bits, filter_bits, n_hashes)
+    repeated = filter_of(digests, ["digest"], filter_bits, n_hashes, at_least=2)
+    rows = with_test(digests, ["digest"], repeated, "suspect", filter_bits, n_hashes)
     suspects = rows.filter("suspect").select("id", "digest")
     groups = suspects.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     grouped = suspects.join(groups, "digest")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import chat_format, exact_dedup, mixing
+from barline.llm import chat_format, exact_dedup, line_dedup, mixing
 from barline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.withColumn("shards", F.array_join(F.col("shards").cast("array<string>"), ","))
+
+
+@_query("op9_line_dedup", line_dedup.SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        "n_exact",
+        "n_near",
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
