@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import chat_format, exact_dedup, line_dedup, mixing
+from barline.llm import chat_format, exact_dedup, line_dedup, mixing, ngram_join
 from barline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
+
+
+@_query("op10_ngram_join", ngram_join.SQL)
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
