@@ -19,8 +19,8 @@ rows. Links are then looked for in three rounds, each followed by connected comp
 each set with the bucket leader it shares most with; with all leaders outside its
 component; with all partners outside its component. Only pairs that could still join two
 components are ever verified, so a group of near copies costs about one pair per member.
-Verification first bounds the difference from below by parity sketches, then intersects
-the sets. Nothing is capped; the rounds change the order of work, not the result.
+A parity sketch bounds the difference of two sets from below: a short one inside the last
+join, a long one before the sets themselves are intersected. Nothing is capped; the rounds change the order of work, not the result.
 """
 
 from __future__ import annotations
@@ -43,6 +43,9 @@ NUM, DEN = 4, 5
 NULL_ID = -(1 << 63)
 #: Signatures that one reducer sorts, and that a mapper gathers before it writes them out.
 PER_REDUCER = 2_000_000
+#: Longs of the sketch that travels with signatures.
+SHORT = 8
+SHORT_NAMES = [f"w{i}" for i in range(SHORT)]
 U = np.uint64
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(1, WORDS_PER_SHINGLE + 1)], U)
 
@@ -133,6 +136,12 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def short_sketch(s: np.ndarray) -> np.ndarray:
+    """Parities in ``SHORT`` longs, small enough to travel with every signature."""
+    at = (mix(s ^ U(0x2545F4914F6CDD1D)) & U(64 * SHORT - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * SHORT) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _pack(sigs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, reducers: int) -> pa.RecordBatch:
     part = ((sigs >> U(48)) % U(reducers)).astype(np.int32)
     order = np.argsort(part, kind="stable")
@@ -192,9 +201,13 @@ def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             sets = [shingle_set(t.as_py()) for t in part["text"]]
+            short = np.array([short_sketch(s) for s in sets], np.int64).reshape(-1, SHORT)
             yield pa.RecordBatch.from_arrays(
-                [part["id"], pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["id", "sketch", "elements"],
+                [
+                    part["id"], pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                    *[pa.array(np.ascontiguousarray(short[:, i])) for i in range(SHORT)],
+                ],
+                ["id", "sketch", "elements", *SHORT_NAMES],
             )
 
 
@@ -299,7 +312,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = keep_table(packed.groupBy("part").applyInArrow(_shared_in, "sig long, id long, n long, home boolean").distinct(), "members")
     wanted = members.select("id").distinct()
     content = keep_table(
-        with_text(texts, wanted, "left_semi").mapInArrow(_content_rows, "id long, sketch binary, elements binary"), "content"
+        with_text(texts, wanted, "left_semi").mapInArrow(
+            _content_rows, "id long, sketch binary, elements binary, " + ", ".join(f"{w} long" for w in SHORT_NAMES)
+        ), "content"
     )
 
     fits = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
@@ -326,9 +341,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "sig", "id", "n", "home", F.coalesce("component", "id").alias("c")
     )
     mixed = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("sig")
-    placed = keep_table(placed.join(mixed, "sig"), "placed")
-    as_ = lambda x: placed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "home", "c")])
-    rest = as_("a").join(as_("b"), "sig").filter("id_a < id_b AND c_a <> c_b AND (home_a OR home_b)").filter(fits)
+    placed = keep_table(placed.join(mixed, "sig").join(content.select("id", *SHORT_NAMES).dropDuplicates(["id"]), "id"), "placed")
+    as_ = lambda x: placed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "home", "c", *SHORT_NAMES)])
+    apart_bits = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in SHORT_NAMES), F.lit(0))
+    may_fit = fits & (apart_bits * (DEN + NUM) <= (F.col("n_a") + F.col("n_b")) * (DEN - NUM))
+    rest = as_("a").join(as_("b"), "sig").filter("id_a < id_b AND c_a <> c_b AND (home_a OR home_b)").filter(may_fit)
     rest = rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b").distinct()
     rest = rest.join(led.select("a", "b"), ["a", "b"], "left_anti")
     labels = _merged(labels, _links(rest, content))

@@ -44,7 +44,7 @@ class DoubleArray:
         self.base, self.check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
         self.value = np.full(size, -1, np.int32)
         self.check[0] = 0
-        self._free, self._open = 1, 1
+        self._free, self._open = 257, 1
         level = [(0, 0, 0, len(order))]  # node, depth, range of keys below it
         while level:
             below = []
