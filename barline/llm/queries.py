@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import chat_format, exact_dedup, line_dedup, mixing, ngram_join, quality, sentencepiece_codec
+from barline.llm import chat_format, exact_dedup, line_dedup, mixing, ngram_join, pii_crf, quality, sentencepiece_codec
 from barline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_pii_crf")
+def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_private(table(spark, sf_dir, "documents"))
