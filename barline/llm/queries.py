@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import chat_format, exact_dedup, line_dedup, mixing, ngram_join, pii_crf, quality, sentencepiece_codec
+from barline.llm import chat_format, cross_polytope, exact_dedup, license_scan, line_dedup, mixing, ngram_join, pii_crf, quality, sentencepiece_codec
 from barline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_pii_crf")
 def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find_private(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_cross_polytope", cross_polytope.SQL)
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
