@@ -14,7 +14,7 @@ surrounding white space; those of fewer than ``min_chars`` code points always st
    settles a large group of near copies with one pair each. Only lines still unsettled are
    paired with the other earlier ones.
 4. Pairs are verified by a banded bit-parallel edit distance, as a fold over the
-   characters with bit operations on longs.
+   characters with bit operations on longs, after a cheap count of segments in place.
 
 Everything is DataFrame functions. Texts are read where they lie: only lines in candidate
 pairs, found by a bounded bitmap filter, and the documents that lose lines are shuffled.
@@ -22,6 +22,8 @@ pairs, found by a bounded bitmap filter, and the documents that lose lines are s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +71,19 @@ def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
     column j stands for row j - k + d. Both strings have at least ``max_edits`` characters."""
     k = max_edits
     band = (1 << (2 * k + 1)) - 1
-    rows, cols = F.split(a, ""), F.split(b, "")
+    # transform over an array of one names an intermediate result, so it is computed once
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    codes = lambda x: F.transform(F.split(x, ""), F.ascii)  # noqa: E731  code points
+
+    def of(env: Column) -> Column:
+        return _banded(env["rows"], env["cols"], env["m"], env["n"], k, band, once)
+
     m, n = F.length(a), F.length(b)
+    dist = once(F.struct(codes(a).alias("rows"), codes(b).alias("cols"), m.alias("m"), n.alias("n")), of)
+    return F.when(F.abs(m - n) > k, F.lit(k + 1).cast("long")).otherwise(F.least(dist, F.lit(k + 1).cast("long")))
 
+
+def _banded(rows: Column, cols: Column, m: Column, n: Column, k: int, band: int, once) -> Column:
     def step(s: Column, j: Column) -> Column:
         here = F.get(cols, j - 1)
         match = F.lit(0).cast("long")
@@ -101,14 +113,25 @@ def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
             (s["dist"] + change).alias("dist"),
         )
 
-    # transform over an array of one names an intermediate result inside a lambda
-    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
     start = F.struct(
         F.lit(band & ~((1 << k) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(k).cast("long").alias("dist")
     )
     fold = lambda s, j: once(once(once(step(s, j), diagonal), advance), finish)
-    dist = F.aggregate(F.sequence(F.lit(1), n), start, fold, lambda s: s["dist"])
-    return F.when(F.abs(m - n) > k, F.lit(k + 1).cast("long")).otherwise(F.least(dist, F.lit(k + 1).cast("long")))
+    return F.aggregate(F.sequence(F.lit(1), n), start, fold, lambda s: s["dist"])
+
+
+def may_be_near(a: Column, b: Column, max_edits: int) -> Column:
+    """True for all pairs within ``max_edits`` edits: of ``max_edits + 7`` segments of ``a``,
+    each edit spoils one at most, and the others stand in ``b`` shifted by at most the edits."""
+    parts = max_edits + 7
+    m = F.length(a)
+    same = F.lit(0)
+    for i in range(parts):
+        start, size = _segment(m, i, parts)
+        piece = a.substr(start + 1, size)
+        hits = [(start + o >= 0) & (b.substr(F.greatest(start + o, F.lit(0)) + 1, size) == piece) for o in range(-max_edits, max_edits + 1)]
+        same = same + reduce(Column.__or__, hits).cast("int")
+    return same >= parts - max_edits
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -125,7 +148,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
     first = texts.select(*[F.col(c).alias(f"x_{c}") for c in IDENT], F.col("line").alias("x_line"))
     rows = pairs.join(first, [f"x_{c}" for c in IDENT])
     rows = rows.join(texts.select(*IDENT, "line"), IDENT)
-    return rows.filter(banded_distance(F.col("x_line"), F.col("line"), max_edits) <= max_edits).select(*IDENT).distinct()
+    x, y = F.col("x_line"), F.col("line")
+    near = F.when(may_be_near(x, y, max_edits), banded_distance(x, y, max_edits) <= max_edits)
+    return rows.filter(near).select(*IDENT).distinct()
 
 
 def removed_lines(
