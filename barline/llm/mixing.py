@@ -5,7 +5,7 @@
    table of sources, one row per source).
 2. Documents fall by hash into ``BLOCKS`` blocks per source. A source takes every block
    ``floor(target / size)`` times and, for the rest, blocks in a random order while they
-   fit. The block at the border is split the same way by ``BLOCKS`` finer blocks, and the
+   fit and then the largest others that still do. The block at the border is split the same way by ``BLOCKS`` finer blocks, and the
    finer one at its border by documents, shortest first. No step orders a whole source.
 3. Splitting tree: the taken block copies of all sources are split in two again and again
    until each output shard has its part. At every node they are put in a random order and
@@ -30,6 +30,7 @@ BLOCKS = 1024
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 LEVELS = 4
+FILLS = 3
 SEED = "mix"
 
 
@@ -47,7 +48,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     # what a unit of weight gets when all sources with less room are full
     unit = (total - max_repeats * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(after)
     s = s.select("*", unit.alias("unit"))
-    level = F.min(F.when(F.col("room") > F.col("unit"), F.col("unit"))).over(Window.partitionBy())
+    # full sources come first in this order; behind them the unit only falls
+    level = F.max(F.when(F.col("room") > F.col("unit"), F.col("unit"))).over(Window.partitionBy())
     target = F.when(F.col("room") > F.col("unit"), F.col("weight") * level).otherwise(
         F.lit(float(max_repeats)) * F.col("source_size")
     )
@@ -68,6 +70,20 @@ def _border(groups: DataFrame, keys: list[str], block: str, order: str, room: st
     )
 
 
+def _fill(blocks: DataFrame, times: int = FILLS) -> DataFrame:
+    """Gives what is left at a source's border to the largest other block that fits, again
+    and again, so that little is left to split the border block for."""
+    source = Window.partitionBy("source")
+    for _ in range(times):
+        blocks = blocks.withColumn("room", F.max(F.when(F.col("border"), F.col("left_over"))).over(source))
+        fits = F.coalesce(~F.col("inside") & ~F.col("border") & (F.col("words") > 0) & (F.col("words") <= F.col("room")), F.lit(False))
+        place = F.row_number().over(source.orderBy(F.col("fits").desc(), F.col("words").desc(), "order", "block"))
+        blocks = blocks.withColumn("fits", fits).withColumn("fits", F.col("fits") & (place == 1))
+        used = F.coalesce(F.sum(F.when(F.col("fits"), F.col("words"))).over(source), F.lit(0))
+        blocks = blocks.withColumn("left_over", F.col("left_over") - used).withColumn("inside", F.col("inside") | F.col("fits"))
+    return blocks.drop("room", "fits")
+
+
 def choose(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> tuple[DataFrame, DataFrame]:
     """(documents with target, copies and block; taken copies of blocks)."""
     sizes = keep_table(
@@ -93,7 +109,7 @@ def choose(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
     t = targets.withColumnRenamed("source", "s")
     coarse = coarse.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     coarse = coarse.withColumn("order", hash60(seed, "block", F.coalesce("source", F.lit("\u0000")), F.col("block")))
-    coarse = keep_table(_border(coarse, ["source"], "block", "order", "rest"), "blocks")
+    coarse = keep_table(_fill(_border(coarse, ["source"], "block", "order", "rest")), "blocks")
 
     edge = coarse.filter("border").select(
         F.col("source").alias("s"), F.col("block").alias("b"), F.col("left_over").alias("room")
@@ -159,7 +175,7 @@ def mix(
     A null text has size 0 and is never taken. A null source is a source of its own, last
     in the order of weights. Repeated ids are drawn alike. With an empty table, or without
     any words, nothing is taken. The words taken of a source differ from its target by
-    at most half the size of one document.
+    at most half the size of one document, mostly by far less.
     """
     rows, units = choose(docs, id_col, text_col, source_col, seed)
     dealt = splitting_tree(units, levels, seed)
@@ -206,6 +222,19 @@ def _tree_sql(levels: int) -> str:
     return ",\n".join(ctes)
 
 
+def _fill_sql(times: int) -> str:
+    ctes, at = [], "c2"
+    for k in range(times):
+        ctes.append(f"""fill{k + 1} AS (SELECT * EXCLUDE (left_room, fits, place, chosen) REPLACE (inside OR chosen AS inside,
+  room - coalesce(sum(CASE WHEN chosen THEN words END) OVER (PARTITION BY source), 0) AS room) FROM (
+  SELECT *, fits AND place = 1 AS chosen FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY fits DESC, words DESC, ord, block) AS place FROM (
+  SELECT *, coalesce(NOT inside AND NOT border AND words > 0 AND words <= left_room, false) AS fits FROM (
+  SELECT *, max(CASE WHEN border THEN room END) OVER (PARTITION BY source) AS left_room FROM {at})))))""")
+        at = f"fill{k + 1}"
+    return ",\n".join(ctes)
+
+
 SQL = rf"""
 WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),
@@ -213,7 +242,7 @@ s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 W
 s2 AS (SELECT *, 3.0::DOUBLE * source_size / weight AS room FROM s1),
 s3 AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / sum(weight) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM s2),
-s4 AS (SELECT source, source_size, round(CASE WHEN room > unit THEN weight * min(CASE WHEN room > unit THEN unit END) OVER () ELSE 3.0::DOUBLE * source_size END, 6) AS target FROM s3),
+s4 AS (SELECT source, source_size, round(CASE WHEN room > unit THEN weight * max(CASE WHEN room > unit THEN unit END) OVER () ELSE 3.0::DOUBLE * source_size END, 6) AS target FROM s3),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS fully FROM s4),
 t AS (SELECT *, target - fully * source_size AS rest FROM s5),
 p AS (SELECT *, draw % {BLOCKS} AS block, (draw // {BLOCKS}) % {BLOCKS} AS fine FROM (SELECT *, {hash60_sql(f"'{SEED}'", 'doc_id')} AS draw FROM z)),
@@ -221,7 +250,10 @@ c0 AS (SELECT source, block, sum(size) AS words FROM p GROUP BY source, block),
 c1 AS (SELECT c0.*, t.source_size, target, fully, rest, sum(words) OVER (PARTITION BY c0.source
   ORDER BY {hash60_sql(f"'{SEED}'", "'block'", "coalesce(c0.source, chr(0))", 'block')}, block ROWS UNBOUNDED PRECEDING) AS fin
   FROM c0 JOIN t ON c0.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, fin <= rest AS inside, fin > rest AND fin - words < rest AS border, rest - (fin - words) AS room FROM c1),
+c2 AS (SELECT *, fin <= rest AS inside, fin > rest AND fin - words < rest AS border, rest - (fin - words) AS room,
+  {hash60_sql(f"'{SEED}'", "'block'", "coalesce(source, chr(0))", 'block')} AS ord FROM c1),
+{_fill_sql(FILLS)},
+c AS (SELECT * FROM fill{FILLS}),
 e AS (SELECT p.*, c.room FROM p JOIN c ON p.source IS NOT DISTINCT FROM c.source AND p.block = c.block WHERE c.border),
 f0 AS (SELECT source, block, fine, sum(size) AS words, max(room) AS room FROM e GROUP BY source, block, fine),
 f1 AS (SELECT *, sum(words) OVER (PARTITION BY source, block ORDER BY {hash60_sql(f"'{SEED}'", "'fine'", "coalesce(source, chr(0))", 'fine')}, fine ROWS UNBOUNDED PRECEDING) AS fin FROM f0),
