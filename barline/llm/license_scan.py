@@ -179,8 +179,8 @@ class Scanner:
             pairs = align(template, words, 0, size, lo, hi)
             if pairs and len(pairs) >= self.coverage * size:
                 hits.append(Found(name, len(pairs) / size, pairs[0][1], pairs[-1][1]))
-        # of overlapping hits the one that covers most, then the shortest, then the first
-        hits.sort(key=lambda f: (-f.coverage, f.last - f.first, f.first))
+        # of overlapping hits the densest, so that two copies are not taken for one; then the first
+        hits.sort(key=lambda f: (-f.coverage * size / max(size, f.last - f.first + 1), f.first, f.last))
         out: list[Found] = []
         for f in hits:
             if not any(f.first <= g.last and g.first <= f.last for g in out):

@@ -202,11 +202,11 @@ def removed_lines(
     )
     is_first = (F.col("at") == F.col("first_at")) & (F.col("pos") == F.col("first_pos"))
     out = occ.select("at", "pos", "k1", "k2").join(affected, ["k1", "k2"]).filter(F.col("near") | ~is_first)
-    return out.groupBy("at").agg(
+    by_doc = out.groupBy("at").agg(
         F.sort_array(F.collect_set("pos")).alias("positions"),
-        F.count_if(~F.col("near")).alias("n_exact"),
-        F.count_if(F.col("near")).alias("n_near"),
+        F.size(F.collect_set(F.when(F.col("near"), F.col("pos")))).cast("long").alias("n_near"),
     )
+    return by_doc.select("at", "positions", (F.size("positions") - F.col("n_near")).alias("n_exact"), "n_near")
 
 
 def dedup_lines(
