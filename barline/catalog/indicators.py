@@ -300,12 +300,45 @@ def ind_asian(spark, sf):
     return asof(h.select("series_id", "ts"), session_range(h, "series_id").drop("day"), "series_id")
 
 
-@query("ind_parabolic_sar", KEY + "sar:f sar_dir:i psar_delta:f")
+def sar_sql(bars: str, start: float = 0.02, step: float = 0.02, top: float = 0.2) -> str:
+    """CTE ``sar`` over a table of (series_id, rn, high, low): one step of the stop per row."""
+    return f"""sar AS (
+  SELECT series_id, rn, high AS h1, low AS l1, CAST(NULL AS DOUBLE) AS h2, CAST(NULL AS DOUBLE) AS l2, 1 AS side, CAST(low AS DOUBLE) AS stop,
+    CAST(high AS DOUBLE) AS ext, CAST({start} AS DOUBLE) AS f FROM {bars} WHERE rn = 1
+  UNION ALL SELECT series_id, rn, high, low, h1, l1,
+    CASE WHEN h2 IS NULL THEN CASE WHEN high > h1 THEN 1 ELSE -1 END WHEN turned THEN -side ELSE side END,
+    CASE WHEN h2 IS NULL THEN CASE WHEN high > h1 THEN l1 ELSE h1 END WHEN turned THEN ext ELSE moved END,
+    CASE WHEN h2 IS NULL THEN CASE WHEN high > h1 THEN high ELSE low END WHEN turned THEN CASE WHEN side = 1 THEN low ELSE high END
+      WHEN side = 1 THEN greatest(ext, high) ELSE least(ext, low) END,
+    CASE WHEN h2 IS NULL OR turned THEN {start} WHEN (side = 1 AND high > ext) OR (side = -1 AND low < ext) THEN least(f + {step}, {top}) ELSE f END
+  FROM (SELECT *, CASE WHEN side = 1 THEN low < moved ELSE high > moved END AS turned FROM (
+    SELECT b.series_id, b.rn, b.high, b.low, h1, l1, h2, l2, side, ext, f,
+      CASE WHEN side = 1 THEN least(stop + f * (ext - stop), l1, l2) ELSE greatest(stop + f * (ext - stop), h1, h2) END AS moved
+    FROM sar JOIN {bars} b ON b.series_id = sar.series_id AND b.rn = sar.rn + 1)))"""
+
+
+TREND_SQL = """tr AS (SELECT *, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr
+  FROM (SELECT *, lag(close) OVER (PARTITION BY series_id ORDER BY ts) AS pc FROM bars)),
+ma AS (SELECT series_id, rn, tr AS total, CAST(NULL AS DOUBLE) AS atr FROM tr WHERE rn = 1
+  UNION ALL SELECT t.series_id, t.rn, total + t.tr, CASE WHEN t.rn = 10 THEN (total + t.tr) / 10 WHEN t.rn > 10 THEN (atr * 9 + t.tr) / 10 END
+  FROM ma JOIN tr t ON t.series_id = ma.series_id AND t.rn = ma.rn + 1),
+st AS (SELECT series_id, rn, close AS pc, CAST(NULL AS DOUBLE) AS up, CAST(NULL AS DOUBLE) AS dn, 1 AS side FROM bars WHERE rn = 10
+  UNION ALL SELECT series_id, rn, close, up, dn, CASE WHEN side = 1 AND close < dn THEN -1 WHEN side = -1 AND close > up THEN 1 ELSE side END
+  FROM (SELECT b.series_id, b.rn, b.close, st.side,
+      CASE WHEN up IS NULL OR pc > up THEN (high + low) / 2 + 3 * atr ELSE least(up, (high + low) / 2 + 3 * atr) END AS up,
+      CASE WHEN dn IS NULL OR pc < dn THEN (high + low) / 2 - 3 * atr ELSE greatest(dn, (high + low) / 2 - 3 * atr) END AS dn
+    FROM st JOIN bars b ON b.series_id = st.series_id AND b.rn = st.rn + 1 JOIN ma ON ma.series_id = b.series_id AND ma.rn = b.rn))"""
+
+
+@query("ind_parabolic_sar", KEY + "sar:f sar_dir:i psar_delta:f",
+       with_sql(HOURLY_SQL, sar_sql("bars"), body="SELECT series_id, ts, stop AS sar, side AS sar_dir, close - stop AS psar_delta FROM bars JOIN sar USING (series_id, rn)", recursive=True))
 def ind_psar(spark, sf):
     return SP.parabolic_sar(hourly_series(spark, sf))
 
 
-@query("ind_super_trend", KEY + "st_level:f st_dir:i")
+@query("ind_super_trend", KEY + "st_level:f st_dir:i",
+       with_sql(HOURLY_SQL, TREND_SQL, recursive=True, body="""SELECT series_id, ts, CASE WHEN rn > 10 THEN CASE WHEN side = 1 THEN dn ELSE up END END AS st_level,
+         CASE WHEN rn > 10 THEN side END AS st_dir FROM bars LEFT JOIN st USING (series_id, rn)"""))
 def ind_st(spark, sf):
     return SP.super_trend(hourly_series(spark, sf))
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from barline.catalog.inputs import TICKS_SQL, ticks, with_sql
+from barline.catalog.indicators import sar_sql
 from barline.catalog.registry import query
 from barline.functions.clock import HOUR_US
 from barline.operators import kernels as K
@@ -108,7 +109,9 @@ def g08(spark, sf):
     return out.withColumn("ema", F.when(~F.isnan("ema"), F.col("ema")))
 
 
-@query("g08_stateful_sar", "user_id:i tie:i sar:f sar_dir:i")
+@query("g08_stateful_sar", "user_id:i tie:i sar:f sar_dir:i",
+       with_sql(TICKS_SQL, "b AS (SELECT user_id AS series_id, tie, price + 1 AS high, price - 1 AS low, row_number() OVER (PARTITION BY user_id ORDER BY ts, tie) AS rn FROM ticks)", sar_sql("b"),
+                body="SELECT series_id AS user_id, tie, stop AS sar, side AS sar_dir FROM b JOIN sar USING (series_id, rn)", recursive=True))
 def g08s(spark, sf):
     s = stream(spark, sf).withColumn("high", F.col("price") + 1).withColumn("low", F.col("price") - 1)
     return drain(spark, SF.stream_kernel(s, "user_id", ["ts", "tie"], K.parabolic_sar()), "sar")

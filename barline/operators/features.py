@@ -16,7 +16,8 @@ from barline.functions.clock import clock_features
 from barline.functions.shape import true_range
 from barline.operators import kernels as K
 from barline.operators import windows as W
-from barline.operators.indicators.frames import c, h, hh, l, ll, o, ready, swing_index, v
+from barline.operators.indicators.frames import c, h, hh, l, ll, o, ready, v
+from barline.operators.indicators.levels import LIMIT_ATR, add_limited_index
 from barline.operators.indicators.scans import add_rsi, wrows
 from barline.operators.kernel_ops import asi_consensus
 from barline.plans.scan import ema_first, ema_rows, wilder
@@ -76,7 +77,7 @@ def frame_features(fr: Frame) -> dict[str, Column]:
         "range_pos_30": pos(30),
         "bb_width": ready(fr, 20, F.when(c() > 0, 4.0 * sd / c())),
         "bb_pos": ready(fr, 20, F.when(sd > 1e-12, (c() - mean) / (2.0 * sd)).otherwise(0.0)),
-        "aroon_osc": (W.bars_since(fr, "low", 25, "__rn", "min") - W.bars_since(fr, "high", 25, "__rn")) / 25.0,
+        "aroon_osc": (W.bars_since(fr, "low", 25, "__rn", "min", oldest=True) - W.bars_since(fr, "high", 25, "__rn", oldest=True)) / 25.0,
         "stoch_k": pos(14),
         "donchian_pos": pos(20),
         "williams_r": pos(14) - 1.0,
@@ -136,9 +137,9 @@ def causal_features(series: Series, median_rows: int = 2016, consensus_steps: tu
     def signed(d, fr):
         move = c() - F.lag("close").over(fr.w())
         side = F.when(move.isNull() | (move > 0), 1.0).when(move < 0, -1.0).otherwise(0.0)
-        return d.withColumn("__sv", side * v()).withColumn("__si", F.coalesce(swing_index(fr), F.lit(0.0)))
+        return add_limited_index(d.withColumn("__sv", side * v()), fr, "__si")
 
-    s = s.with_df(s.map(signed, back_rows=1))
+    s = s.with_df(s.map(signed, back_rows=wrows(LIMIT_ATR) + 2))
     s = s.with_df(s.running({"__cvd": ("sum", F.col("__sv")), "asi": ("sum", F.col("__si")), "__rn": ("count", F.lit(1))}))
 
     def stage(d: DataFrame, fr: Frame) -> DataFrame:
@@ -187,15 +188,15 @@ def causal_features(series: Series, median_rows: int = 2016, consensus_steps: tu
         coarse = F.when((F.col("__rn") % 12 == 0) & (F.col("__rn") >= 48), (c() - F.lag("close", 36).over(fr.w())) / 3.0 * F.try_divide(F.lit(1e4), c()))
         d = d.withColumn("__h1", squashed(coarse, 20.0))
         d = d.withColumn("h1_slope", F.last("__h1", ignorenulls=True).over(fr.last_n(12)))
-        return d.drop(*[x for x in d.columns if x.startswith("__") and x not in keep and x not in ("__blk", "__own", "__atr")])
+        return d.drop(*[x for x in d.columns if x.startswith("__") and x not in keep and x not in ("__blk", "__own", "__atr10")])
 
     need = median_rows + ema_rows(26) + wrows(14) * 2 + 250
     d = s.map(stage, back_rows=need)
     clock = clock_features(order[0])
     d = d.select("*", *[clock[n].alias(n) for n in ("hour_sin", "hour_cos", "dow_sin", "dow_cos")])
     s2 = series.with_df(d)
-    sar = run_kernel(s2, K.parabolic_sar()).select(*key, *order, F.col("sar_dir").alias("psar_signal"))
-    st_in = s2.with_df(d.withColumn("st_atr", F.col("__atr")))
+    sar = run_kernel(s2, K.parabolic_sar(guarded=False)).select(*key, *order, F.col("sar_dir").alias("psar_signal"))
+    st_in = s2.with_df(d.withColumn("st_atr", F.col("__atr10")))
     st = run_kernel(st_in, K.super_trend()).select(*key, *order, F.col("st_dir").alias("supertrend"))
     out = d.join(sar, [*key, *order]).join(st, [*key, *order])
-    return out.withColumn("supertrend", F.when(F.col("__atr").isNotNull(), F.col("supertrend"))).drop("__sv", "__si", "__cvd", "__rn", "__atr", "asi_smooth")
+    return out.withColumn("supertrend", F.when(F.col("__atr10").isNotNull(), F.col("supertrend"))).drop("__sv", "__si", "__cvd", "__rn", "__atr10", "asi_smooth")

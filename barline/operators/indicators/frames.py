@@ -227,13 +227,19 @@ def mom_strength(d, fr, m=5, n=10):
     return d.withColumn("mom_strength", W.full(fr, F.col("__up"), n, val)).drop("__up")
 
 
-def swing_index(fr: Frame) -> Column:
-    """Wilder's one-bar swing index; null on the first bar, 0 where degenerate."""
+def swing_index(fr: Frame, limit: Column | None = None) -> Column:
+    """Wilder's one-bar swing index; null on the first bar, 0 where degenerate.
+
+    ``limit`` is the limit move; without one it is the bar's own true range."""
     po, pc = F.lag("open").over(fr.w()), F.lag("close").over(fr.w())
     up, dn, body = F.abs(h() - pc), F.abs(l() - pc), 0.25 * F.abs(pc - po)
     r = F.greatest(up - 0.5 * dn + body, dn - 0.5 * up + body, (h() - l()) + body)
     tr = F.greatest(h() - l(), up, dn)
     move = (c() - pc) + 0.5 * (c() - o()) + 0.25 * (pc - po)
+    if limit is not None:
+        tiny = F.lit(1e-10)
+        share = F.greatest(up, dn) / F.greatest(limit, tiny)
+        return F.when(pc.isNotNull(), 50.0 * move / F.when(r > 0, r).otherwise(tiny) * share)
     return F.when(pc.isNotNull(), F.when((tr == 0) | (r == 0), 0.0).otherwise(50.0 * move / r * F.greatest(up, dn) / tr))
 
 

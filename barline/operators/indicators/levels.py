@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.clock import DAY_US
-from barline.functions.shape import typical
+from barline.functions.shape import true_range, typical
 from barline.operators.bars import prev_period_levels
 from barline.operators.indicators.frames import c, h, l, money_flow, swing_index, v
-from barline.operators.indicators.scans import add_ema
+from barline.operators.indicators.scans import add_atr, add_ema, wrows
 from barline.plans.scan import ema_rows
 from barline.plans.series import Series
 
@@ -39,6 +39,24 @@ def asi(series: Series) -> DataFrame:
     return cumulative(series, "asi", lambda fr: F.coalesce(swing_index(fr), F.lit(0.0)))
 
 
+LIMIT_ATR, LIMIT_TIMES = 14, 3.0  # fixed values: the limit move is three mean ranges
+
+
+def add_limited_index(d: DataFrame, fr, out: str) -> DataFrame:
+    """One-bar swing index against a limit of three mean true ranges (0 on the first bar);
+    until the mean range has its full length it is the mean of the bars so far."""
+    d = add_atr(d, fr, "__lim", LIMIT_ATR).withColumn("__ltr", true_range(fr))
+    early = F.avg("__ltr").over(fr.last_n(LIMIT_ATR))
+    limit = LIMIT_TIMES * F.coalesce("__lim", early)
+    return d.withColumn(out, F.coalesce(swing_index(fr, limit), F.lit(0.0))).drop("__lim", "__ltr")
+
+
+def limited_asi(series: Series) -> DataFrame:
+    """Accumulated swing index with the limit move."""
+    d = series.map(lambda x, fr: add_limited_index(x, fr, "__lsi"), back_rows=wrows(LIMIT_ATR) + 2)
+    return series.with_df(d).running({"asi": ("sum", F.col("__lsi"))}).drop("__lsi")
+
+
 def chaikin_oscillator(series: Series, fast: int = 3, slow: int = 10) -> DataFrame:
     d = accumulation_distribution(series)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.operators.asof import asof
-from barline.operators.indicators.levels import asi
+from barline.operators.indicators.levels import limited_asi
 from barline.plans.scan import ema_first, lookback
 from barline.plans.sequential import SequentialKernel, run_kernel
 from barline.plans.series import Series, as_list
@@ -216,7 +216,7 @@ def asi_consensus(series: Series, steps: Sequence[int] = CONSENSUS_STEPS, lags:
     (key, step) is a series of its own, scanned in parallel.
     """
     key, order = list(series.key), list(series.order)
-    base = series.with_df(asi(series))
+    base = series.with_df(limited_asi(series))
     smoothed = base.map(lambda x, fr: x.withColumn("__x", F.avg("asi").over(fr.last_n(smooth))), back_rows=smooth)
     d = series.with_df(smoothed).numbered("__rn")
     ends = F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: F.col("__rn") % s == 0)

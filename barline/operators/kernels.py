@@ -9,61 +9,64 @@ from barline.plans.sequential import SequentialKernel
 NAN = float("nan")
 
 
-def parabolic_sar(start: float = 0.02, step: float = 0.02, top: float = 0.2) -> SequentialKernel:
-    """State: bars seen (capped), sar, direction, extreme, factor, previous high, previous low."""
+def parabolic_sar(start: float = 0.02, step: float = 0.02, top: float = 0.2, guarded: bool = True) -> SequentialKernel:
+    """Stop and reverse (Wilder 1978), written once for both sides by mirroring prices.
+
+    The stop moves towards the extreme of the trend and, if ``guarded``, never into the range
+    of the two bars before; a bar that trades through it turns the trend, with the old extreme
+    as the new stop. Guarded trends begin with the second bar, on the side to which it breaks
+    the first; unguarded ones begin upwards with the first bar.
+    State: side, stop, extreme, factor, and the two last bars as (high, low), newest first.
+    """
 
     def advance(s, high, low):
-        seen, sar, side, ext, af, ph, pl = s
-        if seen == 0:
-            return [1.0, low, 1.0, high, start, high, low], [(low, 1.0)]
-        if seen == 1:
-            up = high > ph
-            sar, side, ext = (pl, 1.0, high) if up else (ph, -1.0, low)
-            return [2.0, sar, side, ext, start, high, low], [(sar, side)]
-        sar += af * (ext - sar)
-        if side > 0:
-            sar = min(sar, pl, low)
-            broken, fresh = low < sar, high > ext
+        side, stop, extreme, factor, h1, l1, h2, l2 = s
+        ahead = high if side > 0 else low
+        if math.isnan(h1):
+            stop, extreme = low, high
+        elif guarded and math.isnan(h2):
+            side = 1.0 if high > h1 else -1.0
+            stop, extreme = (l1, high) if side > 0 else (h1, low)
         else:
-            sar = max(sar, ph, high)
-            broken, fresh = high > sar, low < ext
-        lead = high if side > 0 else low
-        if broken:
-            sar, ext, af, side = ext, (low if side > 0 else high), start, -side
-        elif fresh:
-            ext, af = lead, min(af + step, top)
-        return [2.0, sar, side, ext, af, high, low], [(sar, side)]
+            stop += factor * (extreme - stop)
+            behind = low if side > 0 else high
+            if guarded:
+                stop = min(stop, l1, l2) if side > 0 else max(stop, h1, h2)
+            if side * (behind - stop) < 0:
+                side, stop, extreme, factor = -side, extreme, behind, start
+            elif side * (ahead - extreme) > 0:
+                extreme, factor = ahead, min(factor + step, top)
+        return [side, stop, extreme, factor, high, low, h1, l1], [(stop, side)]
 
     return SequentialKernel(
-        ("high", "low"), "sar double, sar_dir double", lambda: [0.0, 0.0, 1.0, 0.0, start, 0.0, 0.0], advance
+        ("high", "low"), "sar double, sar_dir double", lambda: [1.0, 0.0, 0.0, start, NAN, NAN, NAN, NAN], advance
     )
 
 
 def super_trend(mult: float = 3.0) -> SequentialKernel:
-    """Ratcheting bands around the bar middle; null ATR rows only record the close.
+    """Bands at ``mult`` mean ranges around the bar's middle. The upper one only falls and the
+    lower one only rises, until the close before has crossed it, which sets it anew. The trend
+    turns when the close crosses the band it follows. Without a mean range only the close is kept.
 
-    State: upper, lower, previous close, direction.
+    State: close before, upper band, lower band, side.
     """
 
+    def ratchet(band: float, fresh: float, crossed: bool, tighter) -> float:
+        return fresh if crossed or math.isnan(band) else tighter(band, fresh)
+
     def advance(s, high, low, close, atr):
-        up, dn, pc, side = s
+        before, upper, lower, side = s
         if math.isnan(atr):
-            return [up, dn, close, side], [(NAN, side)]
-        mid = (high + low) / 2.0
-        new_up, new_dn = mid + mult * atr, mid - mult * atr
-        known = not math.isnan(pc)
-        if not (new_dn > dn or (known and pc < dn)):
-            new_dn = dn
-        if not (new_up < up or (known and pc > up)):
-            new_up = up
-        if side > 0:
-            side = -1.0 if close < new_dn else 1.0
-        else:
-            side = 1.0 if close > new_up else -1.0
-        return [new_up, new_dn, close, side], [(new_dn if side > 0 else new_up, side)]
+            return [close, upper, lower, side], [(NAN, side)]
+        middle, reach = (high + low) / 2.0, mult * atr
+        upper = ratchet(upper, middle + reach, before > upper, min)
+        lower = ratchet(lower, middle - reach, before < lower, max)
+        if (lower - close if side > 0 else close - upper) > 0:
+            side = -side
+        return [close, upper, lower, side], [(lower if side > 0 else upper, side)]
 
     return SequentialKernel(
-        ("high", "low", "close", "st_atr"), "st_level double, st_dir double", lambda: [0.0, 0.0, NAN, 1.0], advance
+        ("high", "low", "close", "st_atr"), "st_level double, st_dir double", lambda: [NAN, NAN, NAN, 1.0], advance
     )
 
 
@@ -173,22 +176,17 @@ def zigzag(min_swing: float) -> SequentialKernel:
 
 
 def swing_gate() -> SequentialKernel:
-    """Keep an alternating swing that exceeds its predecessor or was unlocked by the other side.
-
-    State: last kept high, last kept low, high unlocked, low unlocked.
-    """
+    """Keeps a swing of the other side than the last kept one, and one of the same side only
+    when it goes beyond it. State: side of the last kept swing (0: none) and its value."""
 
     def advance(s, is_high, value):
-        lh, ll, high_open, low_open = s
-        if is_high:
-            if math.isnan(lh) or value > lh or high_open:
-                return [value, ll, 0.0, 1.0], [(1,)]
+        side, best = s
+        own = 1.0 if is_high else -1.0
+        if own == side and own * (value - best) <= 0:
             return s, [(0,)]
-        if math.isnan(ll) or value < ll or low_open:
-            return [lh, value, 1.0, 0.0], [(1,)]
-        return s, [(0,)]
+        return [own, value], [(1,)]
 
-    return SequentialKernel(("is_high", "value"), "kept int", lambda: [NAN, NAN, 0.0, 0.0], advance)
+    return SequentialKernel(("is_high", "value"), "kept int", lambda: [0.0, 0.0], advance)
 
 
 def min_gap(gap: float) -> SequentialKernel:

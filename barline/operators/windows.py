@@ -124,13 +124,12 @@ def mad_zscore(fr: Frame, x: str, n: int) -> Column:
     return F.when(m["mad"] > 0, (F.col(x) - m["med"]) / (F.lit(1.4826) * m["mad"]))
 
 
-def bars_since(fr: Frame, x: str, n: int, pos: str, best: str = "max") -> Column:
-    """Rows since the extreme of the last n rows; ties take the latest."""
+def bars_since(fr: Frame, x: str, n: int, pos: str, best: str = "max", oldest: bool = False) -> Column:
+    """Rows since the extreme of the last n rows; ties take the latest, or the oldest."""
     w = fr.last_n(n)
-    if best == "max":
-        at = F.max(F.struct(F.col(x), F.col(pos))).over(w)[pos]
-    else:
-        at = -F.min(F.struct(F.col(x), (-F.col(pos)).alias("neg"))).over(w)["neg"]
+    sign = -1 if (best == "max") == oldest else 1
+    ranked = F.struct(F.col(x), (sign * F.col(pos)).alias("at"))
+    at = sign * (F.max(ranked) if best == "max" else F.min(ranked)).over(w)["at"]
     return F.when(F.count(x).over(w) == n, F.col(pos) - at)
 
 
