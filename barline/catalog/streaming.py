@@ -31,6 +31,23 @@ def stream(spark, sf):
                     F.get_json_object("props", "$.k").cast("double").alias("volume"), "user_id")
 
 
+def in_batches(spark, sf):
+    """The same stream in three micro-batches, each cut through an instant: between two rows
+    of equal time where there are such."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    cuts = e.agg(F.percentile_approx("ts", [1 / 3, 2 / 3]).alias("q")).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
+    ties = e.join(cuts).agg(  # one row
+        F.min(F.when(F.col("ts") == F.col("a"), F.col("event_id"))).alias("ta"), F.min(F.when(F.col("ts") == F.col("b"), F.col("event_id"))).alias("tb"))
+    marked = e.join(F.broadcast(cuts.join(ties)))  # one row
+    upto = lambda x: (F.col("ts") < F.col(x)) | ((F.col("ts") == F.col(x)) & (F.col("event_id") <= F.col(f"t{x}")))
+    base = shared_dir(spark, f"batches-{uuid.uuid4().hex}")
+    for i, part in enumerate((upto("a"), ~upto("a") & upto("b"), ~upto("b"))):
+        # files are read in the order of their age, one each micro-batch
+        marked.filter(part).select(*e.columns).coalesce(1).write.parquet(f"{base}/part={i}")
+    raw = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(base)
+    return raw.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.col("value").alias("price"))
+
+
 def drain(spark, df, name, batch=None, path=None):
     base = path or shared_dir(spark, f"stream-{name}-{uuid.uuid4().hex}")
     G.run_available(df, f"{base}/out", f"{base}/checkpoint", batch=batch)
@@ -103,9 +120,13 @@ def g07(spark, sf):
     return drain(spark, G.enrich(stream(spark, sf), dim, "user_id"), "enrich")
 
 
-@query("g08_stateful_ema", "user_id:i tie:i ema:f")
+@query("g08_stateful_ema", "user_id:i tie:i ema:f",
+       with_sql(TICKS_SQL, "b AS (SELECT user_id, tie, price, row_number() OVER (PARTITION BY user_id ORDER BY ts, tie) AS rn FROM ticks)",
+                "r AS (SELECT user_id, rn, tie, price AS total, CAST(NULL AS DOUBLE) AS ema FROM b WHERE rn = 1 UNION ALL SELECT b.user_id, b.rn, b.tie, total + price, "
+                "CASE WHEN b.rn = 8 THEN (total + price) / 8 WHEN b.rn > 8 THEN ema + 2 / 9.0 * (price - ema) END FROM r JOIN b ON b.user_id = r.user_id AND b.rn = r.rn + 1)",
+                body="SELECT user_id, tie, ema FROM r", recursive=True))
 def g08(spark, sf):
-    out = drain(spark, SF.stream_kernel(stream(spark, sf), "user_id", ["ts", "tie"], SF.ema_kernel("price", 8)), "ema")
+    out = drain(spark, SF.stream_kernel(in_batches(spark, sf), "user_id", ["ts", "tie"], SF.ema_kernel("price", 8)), "ema")
     return out.withColumn("ema", F.when(~F.isnan("ema"), F.col("ema")))
 
 
@@ -113,7 +134,7 @@ def g08(spark, sf):
        with_sql(TICKS_SQL, "b AS (SELECT user_id AS series_id, tie, price + 1 AS high, price - 1 AS low, row_number() OVER (PARTITION BY user_id ORDER BY ts, tie) AS rn FROM ticks)", sar_sql("b"),
                 body="SELECT series_id AS user_id, tie, stop AS sar, side AS sar_dir FROM b JOIN sar USING (series_id, rn)", recursive=True))
 def g08s(spark, sf):
-    s = stream(spark, sf).withColumn("high", F.col("price") + 1).withColumn("low", F.col("price") - 1)
+    s = in_batches(spark, sf).withColumn("high", F.col("price") + 1).withColumn("low", F.col("price") - 1)
     return drain(spark, SF.stream_kernel(s, "user_id", ["ts", "tie"], K.parabolic_sar()), "sar")
 
 
@@ -121,7 +142,7 @@ def g08s(spark, sf):
        with_sql(TICKS_SQL, "p AS (SELECT user_id, tie, lag(price) OVER w AS p1, lag(price, 2) OVER w AS p2, price AS p0 FROM ticks WINDOW w AS (PARTITION BY user_id ORDER BY ts, tie))",
                 body='SELECT user_id, tie, 1 AS is_high, p1 AS "value" FROM p WHERE p1 > p2 AND p1 > p0 UNION ALL SELECT user_id, tie, 0, p1 FROM p WHERE p1 < p2 AND p1 < p0'))
 def g09(spark, sf):
-    s = stream(spark, sf).withColumn("high", F.col("price")).withColumn("low", F.col("price"))
+    s = in_batches(spark, sf).withColumn("high", F.col("price")).withColumn("low", F.col("price"))
     return drain(spark, SF.stream_kernel(s, "user_id", ["ts", "tie"], SF.swing_kernel()), "swings")
 
 
@@ -129,7 +150,7 @@ def g09(spark, sf):
        with_sql(TICKS_SQL, "z AS (SELECT user_id, tie, ts, price, CASE WHEN price > 120 THEN 1 WHEN price < 5 THEN -1 ELSE 0 END AS zone FROM ticks)", "e AS (SELECT *, lag(zone, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, tie) AS p FROM z)",
                 body="SELECT user_id, tie, zone, price AS at_value FROM e WHERE zone <> p AND zone <> 0"))
 def g10(spark, sf):
-    return drain(spark, SF.stream_kernel(stream(spark, sf), "user_id", ["ts", "tie"], SF.alert_kernel("price", 120.0, 5.0)), "alerts")
+    return drain(spark, SF.stream_kernel(in_batches(spark, sf), "user_id", ["ts", "tie"], SF.alert_kernel("price", 120.0, 5.0)), "alerts")
 
 
 @query("g11_stream_match", "user_id:i sig:i fill:i",
@@ -163,7 +184,7 @@ def g13(spark, sf):
 @query("g13_kernel_parity", "user_id:i tie:i side:s", "SELECT NULL AS user_id, NULL AS tie, NULL AS side WHERE false")
 def g13k(spark, sf):
     kernel = SF.rsi_kernel("price", 14)
-    st = drain(spark, SF.stream_kernel(stream(spark, sf), "user_id", ["ts", "tie"], kernel), "rsi")
+    st = drain(spark, SF.stream_kernel(in_batches(spark, sf), "user_id", ["ts", "tie"], kernel), "rsi")
     bt = run_kernel(Series(ticks(spark, sf), "user_id", ["ts", "tie"]), kernel)
     return G.check_parity(st.select("user_id", "tie", F.round("rsi", 9).alias("rsi")), bt.select("user_id", "tie", F.round("rsi", 9).alias("rsi")))
 
