@@ -74,15 +74,19 @@ def e03(spark, sf):
     return hourly_series(spark, sf).map(stage, back_rows=2)
 
 
-@query("e04_min_gap", "series_id:i ts:t tie:i")
+@query("e04_min_gap", "series_id:i ts:t tie:i",
+       with_sql(TICKS_SQL, "b AS (SELECT series_id, ts, tie, row_number() OVER (PARTITION BY series_id ORDER BY ts, tie) AS rn FROM ticks)",
+                "r AS (SELECT series_id, rn, ts, tie, ts AS kept_at, true AS kept FROM b WHERE rn = 1 UNION ALL SELECT b.series_id, b.rn, b.ts, b.tie, "
+                "CASE WHEN b.ts - kept_at >= INTERVAL 24 HOUR THEN b.ts ELSE kept_at END, b.ts - kept_at >= INTERVAL 24 HOUR FROM r JOIN b ON b.series_id = r.series_id AND b.rn = r.rn + 1)",
+                body="SELECT series_id, ts, tie FROM r WHERE kept", recursive=True))
 def e04(spark, sf):
-    return E.thin(ticks(spark, sf).filter("event_type = 'purchase'"), "series_id", ["ts", "tie"], 24 * HOUR_US)
+    return E.thin(ticks(spark, sf), "series_id", ["ts", "tie"], 24 * HOUR_US)
 
 
 @query("e04_simple_gap", "series_id:i ts:t tie:i",
-       with_sql(TICKS_SQL, body="SELECT series_id, ts, tie FROM (SELECT *, lag(ts) OVER (PARTITION BY series_id ORDER BY ts, tie) AS p FROM ticks WHERE event_type = 'purchase') WHERE p IS NULL OR ts - p >= INTERVAL 24 HOUR"))
+       with_sql(TICKS_SQL, body="SELECT series_id, ts, tie FROM (SELECT *, lag(ts) OVER (PARTITION BY series_id ORDER BY ts, tie) AS p FROM ticks) WHERE p IS NULL OR ts - p >= INTERVAL 24 HOUR"))
 def e04s(spark, sf):
-    return E.thin_simple(Series(ticks(spark, sf).filter("event_type = 'purchase'"), "series_id", ["ts", "tie"]), 24 * HOUR_US)
+    return E.thin_simple(Series(ticks(spark, sf), "series_id", ["ts", "tie"]), 24 * HOUR_US)
 
 
 @query("e05_cross_reentry_breakout", KEY + "crossed:i reenter:i broke:i",

@@ -186,12 +186,12 @@ def j15(spark, sf):
 
 @query("j16_interval_overlap", "pair:i a_key:i a_line:i n:i",
        with_sql(LEDGER_SQL, body="""SELECT a.pair, a.l_orderkey AS a_key, a.l_linenumber AS a_line, count(*) AS n FROM ledger a JOIN ledger b ON a.pair = b.pair
-         AND a.entry_time <= b.exit_time AND a.exit_time >= b.entry_time WHERE a.label = 'R' AND b.label = 'A' AND a.strategy = '1-URGENT' AND b.strategy = '5-LOW' GROUP BY 1, 2, 3"""))
+         AND a.entry_time <= b.exit_time AND a.exit_time >= b.entry_time WHERE b.label = 'A' GROUP BY 1, 2, 3"""))
 def j16(spark, sf):
     led = ledger(spark, sf)
-    a = led.filter("label = 'R' AND strategy = '1-URGENT'").select("pair", F.col("l_orderkey").alias("a_key"), F.col("l_linenumber").alias("a_line"), F.col("entry_time").alias("a0"), F.col("exit_time").alias("a1"))
-    b = led.filter("label = 'A' AND strategy = '5-LOW'").select("pair", F.col("entry_time").alias("b0"), F.col("exit_time").alias("b1"))
-    return J.overlaps(a, b, "pair", ("a0", "a1"), ("b0", "b1"), 180 * DAY_US).groupBy("pair", "a_key", "a_line").agg(F.count(F.lit(1)).alias("n"))
+    a = led.select("pair", F.col("l_orderkey").alias("a_key"), F.col("l_linenumber").alias("a_line"), F.col("entry_time").alias("a0"), F.col("exit_time").alias("a1"))
+    b = led.filter("label = 'A'").select("pair", F.col("entry_time").alias("b0"), F.col("exit_time").alias("b1"))
+    return J.overlap_counts(a, b, "pair", ("a0", "a1"), ("b0", "b1"), ["a_key", "a_line"]).filter("n > 0")
 
 
 @query("j17_parameter_grid", "lo:f hi:f series_id:s n:i total:f",

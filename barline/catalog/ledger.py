@@ -148,8 +148,8 @@ def l15(spark, sf):
 
 
 MARK_SQL = """
-tr AS (SELECT user_id AS k, event_type AS series_id, ts AS entry_at, ts + INTERVAL 20 HOUR AS exit_at, value AS entry_price, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side, value * 0.1 - 2 AS pnl FROM events WHERE event_type IN ('purchase', 'signup')),
-qb AS (SELECT series_id, ts, close - 0.1 AS bid_c, close + 0.1 AS ask_c FROM bars WHERE series_id IN ('purchase', 'signup'))"""
+tr AS (SELECT user_id AS k, event_type AS series_id, ts AS entry_at, ts + INTERVAL 20 HOUR AS exit_at, value AS entry_price, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side, value * 0.1 - 2 AS pnl FROM events),
+qb AS (SELECT series_id, ts, close - 0.1 AS bid_c, close + 0.1 AS ask_c FROM bars)"""
 
 
 @query("l16_floating_equity", "ts:t floating:f realised:f n_open:i equity:f",
@@ -157,23 +157,23 @@ qb AS (SELECT series_id, ts, close - 0.1 AS bid_c, close + 0.1 AS ask_c FROM bar
                 "r AS (SELECT exit_at, sum(p) OVER (ORDER BY exit_at) AS re FROM (SELECT exit_at, sum(pnl) AS p FROM tr GROUP BY 1))", "t AS (SELECT DISTINCT ts FROM qb)",
                 body="SELECT t.ts, coalesce(fl, 0) AS floating, coalesce(re, 0) AS realised, coalesce(n, 0) AS n_open, coalesce(fl, 0) + coalesce(re, 0) AS equity FROM t ASOF LEFT JOIN r ON t.ts >= r.exit_at LEFT JOIN m ON m.ts = t.ts"))
 def l16(spark, sf):
-    e = read_table(spark, sf, "events").filter("event_type IN ('purchase', 'signup')")
+    e = read_table(spark, sf, "events")
     tr = e.select(F.col("event_type").alias("series_id"), F.col("ts").alias("entry_at"), F.timestamp_micros(F.unix_micros("ts") + 20 * HOUR_US).alias("exit_at"),
                   F.col("value").alias("entry_price"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("side"), (F.col("value") * 0.1 - 2).alias("pnl"))
-    bars = hourly(spark, sf).filter("series_id IN ('purchase', 'signup')").select("series_id", "ts", (F.col("close") - 0.1).alias("bid_c"), (F.col("close") + 0.1).alias("ask_c"))
+    bars = hourly(spark, sf).select("series_id", "ts", (F.col("close") - 0.1).alias("bid_c"), (F.col("close") + 0.1).alias("ask_c"))
     return L.floating_equity(tr, bars, "series_id", "entry_at", "exit_at", 20 * HOUR_US)
 
 
 @query("l17_financing", "l_orderkey:i l_linenumber:i pair:i exit_time:t financing:f n_rollovers:i",
        with_sql(LEDGER_SQL, "rates AS (SELECT date_trunc('year', o_orderdate) AS available_at, round(avg(o_totalprice) / 1e7, 8) AS rate FROM orders GROUP BY 1)",
-                "led AS (SELECT * FROM ledger WHERE label = 'R' AND strategy = '1-URGENT')",
+                "led AS (SELECT * FROM ledger)",
                 "x AS (SELECT l_orderkey, l_linenumber, pair, units, entry_time, exit_time, unnest(generate_series(date_trunc('day', entry_time) - INTERVAL 1 DAY, exit_time, INTERVAL 1 DAY)) AS d FROM led)",
                 "r AS (SELECT *, ((d + INTERVAL 17 HOUR) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS roll FROM x)", "y AS (SELECT * FROM r WHERE roll > entry_time AND roll <= exit_time)",
                 "z AS (SELECT y.*, rate / 365.0 * CASE isodow(d) WHEN 3 THEN 3 WHEN 6 THEN 0 WHEN 7 THEN 0 ELSE 1 END AS c FROM y ASOF LEFT JOIN rates ON y.roll >= available_at)",
                 body="SELECT led.l_orderkey, led.l_linenumber, led.pair, led.exit_time, coalesce(sum(z.units * c), 0) AS financing, count(z.roll) AS n_rollovers FROM led LEFT JOIN z USING (l_orderkey, l_linenumber, pair, exit_time) GROUP BY 1, 2, 3, 4"))
 def l17(spark, sf):
     rates = read_table(spark, sf, "orders").groupBy(F.date_trunc("year", "o_orderdate").alias("available_at")).agg(F.round(F.avg("o_totalprice") / 1e7, 8).alias("rate"))
-    return L.financing(ledger(spark, sf).filter("label = 'R' AND strategy = '1-URGENT'"), rates, ["l_orderkey", "l_linenumber", "pair", "exit_time"], "entry_time", "exit_time", "units")
+    return L.financing(ledger(spark, sf), rates, ["l_orderkey", "l_linenumber", "pair", "exit_time"], "entry_time", "exit_time", "units")
 
 
 @query("l18_reprice", "strategy:s scenario:s n:i net:f",

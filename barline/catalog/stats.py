@@ -82,7 +82,7 @@ def t05b(spark, sf):
 @query("t06_block_bootstrap", "lo:f mid:f hi:f n_reps:i real:f")
 def t06(spark, sf):
     s = hourly_series(spark, sf)
-    d = s.df.filter("series_id = 'click'").withColumn("x", F.col("close") - F.col("open"))
+    d = s.df.groupBy("ts").agg(F.avg(F.col("close") - F.col("open")).alias("x"))
     from barline.plans.series import Series
 
     return T.block_bootstrap(Series(d, None, ["ts"]), "x", 24, 1000, "sharpe")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.plans.rangejoin import interval_overlap, micros, point_in_interval
-from barline.plans.series import as_list
+from barline.plans.series import Series, as_list
 
 
 def with_dim(df: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -108,3 +108,19 @@ def grid(df: DataFrame, params: Sequence[dict[str, float]]) -> DataFrame:
     rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in p.items()]) for p in params])
     cols = df.columns
     return df.withColumn("__p", F.explode(rows)).select(*cols, "__p.*")
+
+
+def overlap_counts(a: DataFrame, b: DataFrame, key: str, a_span: tuple[str, str], b_span: tuple[str, str], a_ids: Sequence[str]) -> DataFrame:
+    """How many intervals of ``b`` overlap each interval of ``a``, without building the pairs:
+    those that start by its end less those that end before its start."""
+    nothing = [F.lit(None).cast(a.schema[c].dataType).alias(c) for c in a_ids]
+
+    def marks(df: DataFrame, at: str, side: str, rank: int, weight: int | None) -> DataFrame:
+        ids = list(a_ids) if weight is None else nothing
+        return df.select(key, F.lit(side).alias("__side"), F.col(at).alias("__t"), F.lit(rank).alias("__rank"), F.lit(weight).cast("long").alias("__w"), *ids)
+
+    rows = marks(b, b_span[0], "start", 0, 1).unionByName(marks(a, a_span[1], "start", 1, None))
+    rows = rows.unionByName(marks(b, b_span[1], "end", 1, 1)).unionByName(marks(a, a_span[0], "end", 0, None))
+    run = Series(rows, [key, "__side"], ["__t", "__rank", *a_ids]).running({"__n": ("sum", F.coalesce("__w", F.lit(0)))})
+    signed = F.when(F.col("__side") == "start", F.col("__n")).otherwise(-F.col("__n"))
+    return run.filter(F.col("__w").isNull()).groupBy(key, *a_ids).agg(F.sum(signed).alias("n"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barline.operators.cleaning import hash_uniform
 from barline.plans.quantiles import average_ranks, group_quantiles, ntile_labels
 from barline.plans.series import Series, as_list
+from barline.sources.sinks import materialize
 
 
 def ic(df: DataFrame, signal: str, y: str, method: str = "pearson", by: str | Sequence[str] | None = None) -> DataFrame:
@@ -86,13 +87,14 @@ def sign_flip_p(df: DataFrame, x: str, ids: Sequence[str], n: int, seed: int, by
     return out.select(*keys, "mean", "n", p_value(F.col("__e"), F.col("__r")).alias("p_value"))
 
 
-def permutation_p(df: DataFrame, key: str, ts: str, x: str, score: Column, mode: str = "entities", n: int = 200, seed: int = 7, block_us: int | None = None, corrected: bool = True) -> DataFrame:
+def permutation_p(df: DataFrame, key: str, ts: str, x: str, score: Column, mode: str = "entities", n: int = 200, seed: int = 7, block_us: int | None = None, corrected: bool = True, tail: str = "upper") -> DataFrame:
     """Permutation null of an aggregate score.
 
     ``score`` is an aggregate over a column named ``x_perm`` and others of the
     table.  ``mode``: ``entities`` permutes x among keys within each instant,
     ``time`` permutes x in time within each key, ``blocks`` permutes contiguous
-    blocks of ``block_us`` within each key.
+    blocks of ``block_us``, in one order for all keys of a replicate, so that what
+    keys share at an instant stays together. ``tail`` is ``upper`` or ``both``.
     """
     rows = df.filter(F.col(x).isNotNull())
     real = rows.withColumn("x_perm", F.col(x)).agg(score.alias("real"))
@@ -109,7 +111,7 @@ def permutation_p(df: DataFrame, key: str, ts: str, x: str, score: Column, mode:
         blk = F.floor(F.unix_micros(ts) / block_us)
         d = Series(rows.withColumn("__blk", blk), [key, "__blk"], [ts]).numbered("__i")
         sizes = d.groupBy(key, "__blk").agg(F.count(F.lit(1)).alias("__len"))
-        drawn = sizes.select("*", reps).withColumn("__u", hash_uniform([F.lit(seed), "rep", key, "__blk"], seed))
+        drawn = sizes.select("*", reps).withColumn("__u", hash_uniform([F.lit(seed), "rep", "__blk"], seed))
         placed = Series(drawn, ["rep", key], ["__u", "__blk"]).running({"__end": ("sum", F.col("__len"))})
         moved = d.select(key, "__blk", "__i", F.col(x).alias("x_perm")).join(placed, [key, "__blk"]).select(
             "rep", key, (F.col("__end") - F.col("__len") + F.col("__i")).alias("__slot"), "x_perm")
@@ -117,8 +119,9 @@ def permutation_p(df: DataFrame, key: str, ts: str, x: str, score: Column, mode:
         perm = slots.join(moved, ["rep", key, "__slot"])
     null = perm.groupBy("rep").agg(score.alias("null"))
     j = null.join(F.broadcast(real))  # one row
+    beyond = F.abs("null") >= F.abs("real") if tail == "both" else F.col("null") >= F.col("real")
     return j.agg(F.max("real").alias("real"), F.avg("null").alias("null_mean"), F.count(F.lit(1)).alias("n"),
-                 F.count_if(F.col("null") >= F.col("real")).alias("__e")).select(
+                 F.count_if(beyond).alias("__e")).select(
         "real", "null_mean", "n", p_value(F.col("__e"), F.col("n"), corrected).alias("p_value"))
 
 
@@ -129,8 +132,10 @@ def block_bootstrap(series: Series, x: str, block: int, n: int, stat: str = "mea
     two look-ups each and no row is duplicated.
     """
     pref = series.running({"__i": ("count", F.lit(1)), "__p1": ("sum", F.col(x)), "__p2": ("sum", F.col(x) * F.col(x))}).select("__i", "__p1", "__p2")
+    pref = materialize(pref, "prefix")
     total = pref.agg(F.max("__i").alias("__n"), F.max_by("__p1", "__i").alias("__t1"), F.max_by("__p2", "__i").alias("__t2"))
-    draws = total.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")).select(
+    # replicates are drawn side by side
+    draws = series.df.sparkSession.range(n).select(F.col("id").cast("int").alias("rep")).join(F.broadcast(total)).select(  # one row
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__n") / block) - 1)).alias("__k"))
     u = hash_uniform([F.lit(seed), "rep", "__k"], seed)
     draws = draws.withColumn("__a", F.floor(u * F.col("__n"))).withColumn(
@@ -156,12 +161,13 @@ def block_bootstrap(series: Series, x: str, block: int, n: int, stat: str = "mea
 
 def poisson_weight(u: Column) -> Column:
     """Poisson(1) count from a uniform by its distribution function."""
-    cdf, term, out = 0.0, math.exp(-1.0), None
-    for k in range(8):
+    cdf, term, out, k = 0.0, math.exp(-1.0), None, 0
+    while cdf + term > cdf:  # until the steps are below what a double tells apart
         cdf += term
         out = F.when(u < cdf, F.lit(k)) if out is None else out.when(u < cdf, F.lit(k))
-        term /= k + 1
-    return out.otherwise(F.lit(8))
+        k += 1
+        term /= k
+    return out.otherwise(F.lit(k))
 
 
 def group_bootstrap(df: DataFrame, x: str, unit: Column, n: int, seed: int = 7) -> DataFrame:
