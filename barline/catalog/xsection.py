@@ -37,7 +37,8 @@ def x02(spark, sf):
     s = hourly_series(spark, sf)
     d = with_indicators(s, ["adx", "atr"])
     d = s.with_df(d).columns(lambda fr: {"adxr": (F.col("adx") + F.lag("adx", 14).over(fr.w())) / 2}, back_rows=14)
-    return X.tradeability(d, 1.0 / F.sqrt(F.greatest(F.col("volume"), F.lit(1.0))), F.col("adxr"), F.col("atr"), "ts", "series_id")
+    econ = X.economic_factor(F.col("volume"), 0.02 * F.greatest(F.col("close"), F.lit(0.01)), F.col("high") - F.col("low"))
+    return X.tradeability(d, econ, F.col("adxr"), F.col("atr"), "ts", "series_id")
 
 
 @query("x03_triangulate", "ts:t click_view:f error_view:f view_index:f",
@@ -49,26 +50,34 @@ def x03(spark, sf):
 
 FACTOR_SQL = """
 px AS (SELECT c_mktsegment AS entity, date_trunc('month', o_orderdate) AS ts, avg(o_totalprice) AS price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-g AS (SELECT e.entity, d.ts AS date FROM (SELECT DISTINCT entity FROM px) e CROSS JOIN (SELECT DISTINCT ts FROM px WHERE month(ts) IN (3, 6, 9, 12)) d),
-a1 AS (SELECT g.entity, g.date, px.price AS p_skip FROM g ASOF LEFT JOIN px ON g.entity = px.entity AND (g.date - INTERVAL 1 MONTH) >= px.ts),
+lv AS (SELECT entity, date_trunc('year', ts) + INTERVAL 1 YEAR AS available_at, avg(price) AS level FROM px GROUP BY 1, 2),
+rt AS (SELECT c_mktsegment AS entity, date_trunc('month', o_orderdate) AS available_at, avg(l_discount) AS rate FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+g AS (SELECT entity, ts AS date FROM px WHERE month(ts) IN (3, 6, 9, 12)),
+a0 AS (SELECT g.*, px.price AS p_now FROM g ASOF LEFT JOIN px ON g.entity = px.entity AND g.date >= px.ts),
+a1 AS (SELECT a0.*, px.price AS p_skip FROM a0 ASOF LEFT JOIN px ON a0.entity = px.entity AND (a0.date - INTERVAL 1 MONTH) >= px.ts),
 a2 AS (SELECT a1.*, px.price AS p_look FROM a1 ASOF LEFT JOIN px ON a1.entity = px.entity AND (a1.date - INTERVAL 12 MONTH) >= px.ts),
-a3 AS (SELECT a2.*, px.price AS p_value FROM a2 ASOF LEFT JOIN px ON a2.entity = px.entity AND (a2.date - INTERVAL 24 MONTH) >= px.ts),
-fs AS (SELECT entity, date, CASE WHEN p_look > 0 THEN p_skip / p_look - 1 END AS momentum, CASE WHEN p_skip > 0 THEN p_value / p_skip - 1 END AS "value" FROM a3),
-rk AS (SELECT *, CASE WHEN momentum IS NOT NULL THEN rank() OVER (PARTITION BY date, momentum IS NULL ORDER BY momentum) END AS rm, CASE WHEN "value" IS NOT NULL THEN rank() OVER (PARTITION BY date, "value" IS NULL ORDER BY "value") END AS rv FROM fs),
-comp AS (SELECT entity, date, momentum, "value", (coalesce(rm, 0) + coalesce(rv, 0)) * 1.0 / nullif((rm IS NOT NULL)::INT + (rv IS NOT NULL)::INT, 0) AS composite FROM rk)"""
+a3 AS (SELECT a2.*, lv.level FROM a2 ASOF LEFT JOIN lv ON a2.entity = lv.entity AND a2.date >= lv.available_at),
+a4 AS (SELECT a3.*, rt.rate AS carry FROM a3 ASOF LEFT JOIN rt ON a3.entity = rt.entity AND a3.date >= rt.available_at),
+fs AS (SELECT entity, date, carry, ln(p_skip) - ln(p_look) AS momentum, ln(p_now) - ln(level) AS "value" FROM a4),
+rk AS (SELECT *, CASE WHEN carry IS NOT NULL THEN rank() OVER (PARTITION BY date, carry IS NULL ORDER BY carry) END AS rc, CASE WHEN momentum IS NOT NULL THEN rank() OVER (PARTITION BY date, momentum IS NULL ORDER BY momentum) END AS rm,
+  CASE WHEN "value" IS NOT NULL THEN rank() OVER (PARTITION BY date, "value" IS NULL ORDER BY "value") END AS rv FROM fs),
+comp AS (SELECT entity, date, carry, momentum, "value", (coalesce(rc, 0) + coalesce(rm, 0) + coalesce(rv, 0)) * 1.0 / nullif((rc IS NOT NULL)::INT + (rm IS NOT NULL)::INT + (rv IS NOT NULL)::INT, 0) AS composite FROM rk)"""
 
 
 def factor_table(spark, sf):
-    o, c = read_table(spark, sf, "orders"), read_table(spark, sf, "customer")
-    px = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("entity"), F.date_trunc("month", "o_orderdate").alias("ts")).agg(F.avg("o_totalprice").alias("price"))
-    px = materialize(px, "monthly-price")
-    # quarter-end months of the shared calendar, for each entity (calendar-bounded)
-    months = px.filter(F.month("ts").isin(3, 6, 9, 12)).select(F.col("ts").alias("date")).distinct().agg(F.collect_set("date").alias("__d"))
-    dates = px.select("entity").distinct().join(F.broadcast(months)).select("entity", F.explode("__d").alias("date"))
-    return X.rank_composite(materialize(X.factor_scores(px, dates, "entity"), "factor-scores"), "date", ["momentum", "value"], "entity")
-
-
-@query("x04_factor_scores", "entity:s date:t momentum:f value:f composite:f", with_sql(FACTOR_SQL, body="SELECT * FROM comp"))
+    o, c, li = (read_table(spark, sf, x) for x in ("orders", "customer", "lineitem"))
+    sold = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_mktsegment").alias("entity"), F.date_trunc("month", "o_orderdate").alias("ts"), "o_orderkey", "o_totalprice")
+    px = materialize(sold.groupBy("entity", "ts").agg(F.avg("o_totalprice").alias("price")), "monthly-price")
+    year_end = F.date_trunc("year", "ts") + F.expr("INTERVAL 1 YEAR")
+    levels = px.groupBy("entity", year_end.alias("available_at")).agg(F.avg("price").alias("level"))
+    rates = sold.join(li, sold.o_orderkey == li.l_orderkey).groupBy("entity", F.col("ts").alias("available_at")).agg(F.avg("l_discount").alias("rate"))
+    # quarter-end months in which the entity has a price
+    dates = px.filter(F.month("ts").isin(3, 6, 9, 12)).select("entity", F.col("ts").alias("date"))
+    scores = materialize(X.factor_scores(px, levels, rates, dates, "entity"), "factor-scores")
+    return X.rank_composite(scores, "date", ["carry", "momentum", "value"], "entity")
+
+
+@query("x04_factor_scores", "entity:s date:t carry:f momentum:f value:f composite:f", with_sql(FACTOR_SQL, body="SELECT * FROM comp"))
 def x04(spark, sf):
     return factor_table(spark, sf)
 
@@ -83,14 +92,13 @@ def x05(spark, sf):
 @query("x06_inverse_vol", "series_id:s date:t vol:f weight:f",
        with_sql(HOURLY_SQL, "r AS (SELECT series_id, ts, rn, close - lag(close) OVER (PARTITION BY series_id ORDER BY ts) AS r FROM bars)",
                 "v AS (SELECT series_id, ts, CASE WHEN count(r) OVER w = 24 THEN stddev_samp(r) OVER w END AS vol FROM r WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS 23 PRECEDING))",
-                "g AS (SELECT series_id, d AS date FROM (SELECT DISTINCT series_id FROM bars) CROSS JOIN (SELECT DISTINCT date_trunc('day', ts) AS d FROM bars))",
+                "g AS (SELECT DISTINCT series_id, date_trunc('day', ts) AS date FROM bars)",
                 "j AS (SELECT g.series_id, date, vol FROM g ASOF LEFT JOIN (SELECT * FROM v WHERE vol > 0) v ON g.series_id = v.series_id AND g.date >= v.ts)",
                 body="SELECT series_id, date, vol, (1 / vol) / sum(1 / vol) OVER (PARTITION BY date) AS weight FROM j"))
 def x06(spark, sf):
     s = hourly_series(spark, sf)
     d = s.columns(lambda fr: {"r": F.col("close") - F.lag("close").over(fr.w())}, back_rows=1)
-    days = s.df.select(F.date_trunc("day", "ts").alias("date")).distinct().agg(F.collect_set("date").alias("__d"))
-    dates = s.df.select("series_id").distinct().join(F.broadcast(days)).select("series_id", F.explode("__d").alias("date"))
+    dates = s.df.select("series_id", F.date_trunc("day", "ts").alias("date")).distinct()
     return X.inverse_vol(s.with_df(d), 24, "r", dates, "series_id")
 
 

@@ -23,6 +23,7 @@ from barline.operators.kernel_ops import asi_consensus
 from barline.plans.scan import ema_first, ema_rows, wilder
 from barline.plans.sequential import run_kernel
 from barline.plans.series import Frame, Series
+from barline.sources.sinks import materialize
 
 HALF_PI = math.pi / 2
 PROFILE_BINS = 20
@@ -131,7 +132,8 @@ def profile_values() -> dict[str, Column]:
 def causal_features(series: Series, median_rows: int = 2016, consensus_steps: tuple[int, ...] = (1, 2, 6, 12)) -> DataFrame:
     """All features; ``median_rows`` is the length of the regime medians (a week of 5-minute bars)."""
     key, order = list(series.key), list(series.order)
-    base = asi_consensus(series, steps=consensus_steps)
+    # written once where the plan branches: each part would be planned and run again per branch
+    base = materialize(asi_consensus(series, steps=consensus_steps), "consensus")
     s = series.with_df(base)
 
     def signed(d, fr):
@@ -194,6 +196,7 @@ def causal_features(series: Series, median_rows: int = 2016, consensus_steps: tu
     d = s.map(stage, back_rows=need)
     clock = clock_features(order[0])
     d = d.select("*", *[clock[n].alias(n) for n in ("hour_sin", "hour_cos", "dow_sin", "dow_cos")])
+    d = materialize(d, "features")
     s2 = series.with_df(d)
     sar = run_kernel(s2, K.parabolic_sar(guarded=False)).select(*key, *order, F.col("sar_dir").alias("psar_signal"))
     st_in = s2.with_df(d.withColumn("st_atr", F.col("__atr10")))

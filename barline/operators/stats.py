@@ -234,15 +234,44 @@ def climatology(train: DataFrame, by: Sequence[str], y: str, q: float, name: str
     return group_quantiles(train, by, y, {name: q})
 
 
-def break_even(df: DataFrame, by, tp: float, sl: float, cost: float, label: str = "label") -> DataFrame:
-    """Break-even hit share, observed share, and upper-tail normal probability of the excess."""
-    from barline.functions.scalar import erf
+def log_factorial(m: Column) -> Column:
+    """Natural logarithm of m!: exact sums up to 20, Stirling's series (error below 1e-12) beyond."""
+    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(21)])
+    x = m.cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(m <= 20, F.get(small, m.cast("int"))).otherwise(series)
+
+
+def binomial_tail(hits: Column, n: Column, p: float) -> Column:
+    """P(X >= hits) of a binomial(n, p), summed away from the centre: upwards from ``hits`` above
+    the mean, else one less the lower tail. Terms fall off after a few standard deviations,
+    so the number added follows the root of n."""
+    if p >= 1.0:
+        return F.lit(1.0)
+    hits, n = hits.cast("long"), n.cast("long")
+    above = hits > n * p
+    first = F.when(above, hits).otherwise(hits - 1)
+    reach = F.ceil(40 * F.sqrt(n * p * (1 - p)) + 100).cast("long")
+    last = F.when(above, F.least(n, first + reach)).otherwise(F.greatest(F.lit(0).cast("long"), first - reach))
+    start = log_factorial(n) - log_factorial(first) - log_factorial(n - first) + first * math.log(p) + (n - first) * math.log1p(-p)
+    up = lambda k: F.log((n - k + 1) / k) + math.log(p) - math.log1p(-p)  # noqa: E731  from k - 1 to k
+    down = lambda k: F.log((k + 1) / (n - k)) + math.log1p(-p) - math.log(p)  # noqa: E731  from k + 1 to k
+
+    def add(acc: Column, k: Column) -> Column:
+        term = F.when(k == first, acc["term"]).when(above, acc["term"] + up(k)).otherwise(acc["term"] + down(k))
+        return F.struct(term.alias("term"), (acc["total"] + F.exp(term)).alias("total"))
+
+    total = F.aggregate(F.sequence(first, last), F.struct(start.alias("term"), F.lit(0.0).alias("total")), add, lambda acc: acc["total"])
+    return F.when(hits <= 0, 1.0).otherwise(F.when(above, total).otherwise(1.0 - total))
+
 
+def break_even(df: DataFrame, by, tp: float, sl: float, cost: float, label: str = "label") -> DataFrame:
+    """Break-even hit share, observed share, its z, and the exact upper-tail binomial probability."""
     p0 = (sl + cost) / (tp - cost + sl + cost)
     g = df.filter(F.col(label) != 0).groupBy(*as_list(by)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) > 0).alias("hits"))
     z = (F.col("hits") - F.col("n") * p0) / F.sqrt(F.col("n") * p0 * (1 - p0))
     return g.select(*as_list(by), "n", "hits", F.lit(p0).alias("p_star"), (F.col("hits") / F.col("n")).alias("p_hat"), z.alias("z"),
-                    ((1 - erf(z / math.sqrt(2.0))) / 2).alias("p_value"))
+                    binomial_tail(F.col("hits"), F.col("n"), min(p0, 1.0)).alias("p_value"))
 
 
 def check_causal(op: Callable[[DataFrame], DataFrame], df: DataFrame, ts: str, cut: Column) -> DataFrame:

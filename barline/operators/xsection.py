@@ -45,6 +45,14 @@ def strength_spread(returns: DataFrame, bridge: DataFrame, key: str, ts: str, re
     return legs.groupBy(key, ts).agg(F.sum(F.col("sign") * F.col("z")).alias("spread"), F.count("z").alias("n_legs"))
 
 
+COST_BASE = 150.0  # fixed value: added to the cost in the economic factor
+
+
+def economic_factor(unit_value: Column, margin: Column, cost: Column) -> Column:
+    """Value of a unit move per root of the margin, less the dearer it is to trade."""
+    return unit_value / F.sqrt(margin) / (COST_BASE + cost)
+
+
 def tradeability(d: DataFrame, econ: Column, adxr: Column, atr: Column, ts: str, key: str) -> DataFrame:
     """Directional movement x volatility x economic factor, ranked at each instant."""
     scored = d.withColumn("tradeability", adxr * atr * econ).filter(F.col("tradeability").isNotNull())
@@ -68,18 +76,26 @@ def triangulate(df: DataFrame, ts: str, numeraire: str, legs: dict[str, tuple[st
     return wide.withColumn(f"{numeraire}_index", F.exp(-logs))
 
 
-def factor_scores(prices: DataFrame, dates: DataFrame, entity: str, price: str = "price", skip: int = 1, look: int = 12) -> DataFrame:
-    """Momentum (look..skip months) and value (distance to the 24-month price) at each date.
+def factor_scores(
+    prices: DataFrame, levels: DataFrame, rates: DataFrame, dates: DataFrame, entity: str,
+    price: str = "price", level: str = "level", rate: str = "rate", skip: int = 1, look: int = 12,
+) -> DataFrame:
+    """Carry, momentum and value of each entity at each date, all known by then.
 
-    All lookups are as-of joins at shifted dates; ranks skip nulls and are averaged.
+    Carry is the rate; momentum the log price ``skip`` months ago over that ``look`` months
+    ago; value the log price over the price level. Look-ups are as-of joins (``levels`` and
+    ``rates`` bring ``available_at``); a missing or non-positive input gives null.
     """
-    right = prices.select(entity, F.col("ts").alias("available_at"), F.col(price).alias("__p"))
+    paid = prices.select(entity, F.col("ts").alias("available_at"), F.col(price).alias("__p"))
     d = dates
-    for name, months in (("p_skip", skip), ("p_look", look), ("p_value", 2 * look)):
+    for name, months in (("p_now", 0), ("p_skip", skip), ("p_look", look)):
         d = d.withColumn("__at", F.add_months("date", -months).cast("timestamp"))
-        d = asof(d, right.withColumnRenamed("__p", name), entity, left_ts="__at").drop("__at")
-    return d.withColumn("momentum", F.when(F.col("p_look") > 0, F.col("p_skip") / F.col("p_look") - 1)).withColumn(
-        "value", F.when(F.col("p_skip") > 0, F.col("p_value") / F.col("p_skip") - 1))
+        d = asof(d, paid.withColumnRenamed("__p", name), entity, left_ts="__at").drop("__at")
+    for table, column, name in ((levels, level, "__level"), (rates, rate, "carry")):
+        d = d.withColumn("__at", F.col("date").cast("timestamp"))
+        d = asof(d, table.select(entity, "available_at", F.col(column).alias(name)), entity, left_ts="__at").drop("__at")
+    ratio = lambda x, y: F.when((F.col(x) > 0) & (F.col(y) > 0), F.log(x) - F.log(y))
+    return d.withColumn("momentum", ratio("p_skip", "p_look")).withColumn("value", ratio("p_now", "__level")).drop("__level")
 
 
 def rank_composite(d: DataFrame, by: str, factors: Sequence[str], tie: str) -> DataFrame:

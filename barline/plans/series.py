@@ -166,7 +166,10 @@ class Series:
             df = df.join(hot, cond, "left_semi")
         widths = self._choose_widths(df)
         buckets = self._buckets(df, widths)
-        counts = df.groupBy(*self._key_cols(), *buckets).agg(F.count(F.lit(1)).alias("__n")).persist()
+        counts = df.groupBy(*self._key_cols(), *buckets).agg(F.count(F.lit(1)).alias("__n"))
+        from barline.sources.sinks import materialize  # that module needs this one
+
+        counts = materialize(counts, "layout")
         fullest = counts.agg(F.max("__n"), F.count(F.lit(1))).collect()[0]
         limit = int(self.df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
         w = Window.partitionBy(*(self._key_cols() or [F.lit(0)])).orderBy("__f0", "__f1")

@@ -70,15 +70,15 @@ def upsert(df: DataFrame, path: str, keys: str | Sequence[str], version: Sequenc
     rows = df.withColumn("__new", F.lit(1))
     old = _existing(spark, path)
     if old is not None:
-        touched = df.select(partition).distinct()
-        # the stored side is small per touched partition; the list of dates is calendar-bounded
-        old = with_utc_timestamps(old).join(F.broadcast(touched), partition, "left_semi")
+        # Spark picks the join by the measured size of the list of dates
+        old = with_utc_timestamps(old).join(df.select(partition).distinct(), partition, "left_semi")
         rows = old.withColumn("__new", F.lit(0)).unionByName(rows)
     merged = newest_by_key(rows, keys, [*version, "__new"]).select(*df.columns)
     if old is not None:
-        # a table being read cannot be overwritten: stage beside it first
-        staged = f"{path.rstrip('/')}__staged"
-        merged.write.mode("overwrite").parquet(staged)
+        # a table being read cannot be overwritten: stage beside it first, under a name of
+        # this call, so that two writers do not share it
+        staged = f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
+        merged.write.parquet(staged)
         merged = spark.read.parquet(staged)
     (
         merged.write.mode("overwrite")

@@ -124,3 +124,16 @@ def test_upsert_and_dedup_are_idempotent(spark, tmp_path):
     for x in (a, a, b):
         K.append_dedup(x, log, ["id"])
     assert spark.read.parquet(log).count() == 4
+
+
+def test_binomial_tail_is_exact(spark):
+    from math import comb
+
+    from barline.operators.stats import binomial_tail
+
+    rows = [(h, n) for n in (1, 5, 30, 200) for h in {0, 1, n // 3, n // 2, n - 1, n}] + [(530, 1000), (470, 1000)]
+    df = spark.createDataFrame(rows, "h int, n int")
+    for p in (0.1, 0.5, 0.9):
+        for r in df.select("h", "n", binomial_tail(F.col("h"), F.col("n"), p).alias("got")).collect():
+            want = sum(comb(r.n, k) * p**k * (1 - p) ** (r.n - k) for k in range(r.h, r.n + 1))
+            assert abs(r.got - want) < 1e-9, (r, p, want)
