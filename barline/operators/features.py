@@ -18,9 +18,9 @@ from barline.operators import kernels as K
 from barline.operators import windows as W
 from barline.operators.indicators.frames import c, h, hh, l, ll, o, ready, v
 from barline.operators.indicators.levels import LIMIT_ATR, add_limited_index
-from barline.operators.indicators.scans import add_rsi, wrows
+from barline.operators.indicators.scans import wrows
 from barline.operators.kernel_ops import asi_consensus
-from barline.plans.scan import ema_first, ema_rows, wilder
+from barline.plans.scan import ema_rows, emas
 from barline.plans.sequential import run_kernel
 from barline.plans.series import Frame, Series
 from barline.sources.sinks import materialize
@@ -151,35 +151,41 @@ def causal_features(series: Series, median_rows: int = 2016, consensus_steps: tu
         d = d.select("*", *[x.alias(n) for n, x in {**candle_features(fr), **frame_features(fr), **volume_profile(fr)}.items()])
         d = d.select("*", *[x.alias(n) for n, x in profile_columns().items()])
         d = d.select("*", *[x.alias(n) for n, x in profile_values().items()]).drop("__vp", "__hist", "__cur", "__vlo", "__vw")
-        d = wilder(d, fr, "__atr", F.col("__tr"), 14)
-        for n in (8, 21, 12, 26, 20, 24):
-            d = ema_first(d, fr, f"__e{n}", c(), 2.0 / (n + 1))
-        d = d.withColumn("ema8_ratio", F.try_divide(c(), F.col("__e8"))).withColumn("ema21_ratio", F.try_divide(c(), F.col("__e21")))
-        d = d.withColumn("atr_ratio", F.when(c() > 0, F.col("__atr") / c()))
-        d = add_rsi(d, fr, "__rsi", 14).withColumn("rsi_14", F.col("__rsi") / 100.0).drop("__rsi")
-        d = d.withColumn("__m", F.col("__e12") - F.col("__e26"))
-        d = ema_first(d, fr, "__sg", F.col("__m"), 0.2)
-        d = d.withColumn("macd_hist", F.when(F.col("__atr") > 0, (F.col("__m") - F.col("__sg")) / F.col("__atr")))
-        d = d.withColumn("stoch_d", W.roll(fr, F.col("stoch_k"), 3, "mean"))
-        tp = (h() + l() + c()) / 3.0
-        d = d.withColumn("__tp", tp)
+        move = c() - F.lag("close").over(fr.w())
+        ph, pl = F.lag("high").over(fr.w()), F.lag("low").over(fr.w())
+        d = d.withColumns({"__mv": move, "__rise": h() - ph, "__fall": pl - l(), "__tp": (h() + l() + c()) / 3.0})
+        up, dn, known = F.col("__rise"), F.col("__fall"), F.col("__rise").isNotNull()
+        first_scans = {f"__e{n}": (c(), 2.0 / (n + 1), None) for n in (8, 21, 12, 26, 20, 24)}
+        first_scans |= {"__atr": (F.col("__tr"), 1.0 / 14, 14), "__atr10": (F.col("__tr"), 0.1, 10)}
+        first_scans |= {
+            "__ag": (F.when(F.col("__mv").isNotNull(), F.greatest("__mv", F.lit(0.0))), 1.0 / 14, 14),
+            "__al": (F.when(F.col("__mv").isNotNull(), F.greatest(-F.col("__mv"), F.lit(0.0))), 1.0 / 14, 14),
+            "__at": (F.when(known, F.col("__tr")), 1.0 / 14, 14),
+            "__ap": (F.when(known, F.when((up > dn) & (up > 0), up).otherwise(0.0)), 1.0 / 14, 14),
+            "__an": (F.when(known, F.when((dn > up) & (dn > 0), dn).otherwise(0.0)), 1.0 / 14, 14),
+        }
+        d = emas(d, fr, first_scans)
+        pdi, ndi = F.try_divide(F.col("__ap"), F.col("__at")), F.try_divide(F.col("__an"), F.col("__at"))
+        d = d.withColumns({
+            "ema8_ratio": F.try_divide(c(), F.col("__e8")),
+            "ema21_ratio": F.try_divide(c(), F.col("__e21")),
+            "atr_ratio": F.when(c() > 0, F.col("__atr") / c()),
+            "rsi_14": F.when(F.col("__al").isNotNull(), F.when(F.col("__al") <= 0, 1.0).otherwise(1.0 - 1.0 / (1.0 + F.col("__ag") / F.col("__al")))),
+            "__m": F.col("__e12") - F.col("__e26"),
+            "dmi_diff": pdi - ndi,
+            "__dx": F.when(F.col("__at").isNotNull(), F.abs(pdi - ndi) / F.greatest(pdi + ndi, F.lit(1e-12))),
+        })
+        d = emas(d, fr, {"__sg": (F.col("__m"), 0.2, None), "adx": (F.col("__dx"), 1.0 / 14, None)})
         mad = W.mean_abs_dev(fr, F.col("__tp"), 20)
-        d = d.withColumn("cci", F.when(mad > 0, (F.col("__tp") - F.avg("__tp").over(fr.last_n(20))) / (0.015 * mad) / 200.0))
         sd, mean = F.stddev_pop("close").over(fr.last_n(20)), F.avg("close").over(fr.last_n(20))
-        d = wilder(d, fr, "__atr10", F.col("__tr"), 10)
         inside = (mean + 2 * sd <= F.col("__e20") + 1.5 * F.col("__atr10")) & (mean - 2 * sd >= F.col("__e20") - 1.5 * F.col("__atr10"))
-        d = d.withColumn("squeeze", ready(fr, 20, inside.cast("int")))
-        d = d.withColumn("vol_capitulation", F.when(F.col("__atr").isNotNull(), ((F.col("__vr") > 2.5) & (F.abs(W.diff(fr, c())) > 2.0 * F.col("__atr"))).cast("int")))
-        ph, pl = F.lag("high").over(fr.w()), F.lag("low").over(fr.w())
-        up, dn = h() - ph, pl - l()
-        d = d.withColumn("__pdm", F.when(ph.isNotNull(), F.when((up > dn) & (up > 0), up).otherwise(0.0))).withColumn("__ndm", F.when(ph.isNotNull(), F.when((dn > up) & (dn > 0), dn).otherwise(0.0)))
-        d = d.withColumn("__tr1", F.when(ph.isNotNull(), F.col("__tr")))
-        for src, out in (("__tr1", "__at"), ("__pdm", "__ap"), ("__ndm", "__an")):
-            d = wilder(d, fr, out, F.col(src), 14)
-        pdi, ndi = F.try_divide(F.col("__ap"), F.col("__at")), F.try_divide(F.col("__an"), F.col("__at"))
-        d = d.withColumn("dmi_diff", pdi - ndi).withColumn("__dx", F.abs(pdi - ndi) / F.greatest(pdi + ndi, F.lit(1e-12)))
-        d = d.withColumn("__dx", F.when(F.col("__at").isNotNull(), F.col("__dx")))
-        d = ema_first(d, fr, "adx", F.col("__dx"), 1.0 / 14)
+        d = d.withColumns({
+            "macd_hist": F.when(F.col("__atr") > 0, (F.col("__m") - F.col("__sg")) / F.col("__atr")),
+            "stoch_d": W.roll(fr, F.col("stoch_k"), 3, "mean"),
+            "cci": F.when(mad > 0, (F.col("__tp") - F.avg("__tp").over(fr.last_n(20))) / (0.015 * mad) / 200.0),
+            "squeeze": ready(fr, 20, inside.cast("int")),
+            "vol_capitulation": F.when(F.col("__atr").isNotNull(), ((F.col("__vr") > 2.5) & (F.abs(W.diff(fr, c())) > 2.0 * F.col("__atr"))).cast("int")),
+        })
         d = d.withColumn("__slope", F.abs(F.col("__e24") - F.lag("__e24", 12).over(fr.w())) / 12.0)
         w = fr.last_n(median_rows)
         smed, amed = F.percentile("__slope", F.lit(0.5)).over(w), F.percentile("__atr", F.lit(0.5)).over(w)

@@ -176,6 +176,56 @@ def ema_first(d: DataFrame, fr: Frame, out: str, x: Column, alpha: float) -> Dat
     return d.withColumn(out, F.when(F.col(cnt) >= 1, F.col(out))).drop(v, cnt)
 
 
+def emas(d: DataFrame, fr: Frame, specs: dict[str, tuple[Column, float, int | None]]) -> DataFrame:
+    """Several exponential means of one stage: ``specs`` maps a name to (input, weight, rows of
+    the mean seed; None seeds on the first value). The steps of all are taken together, so
+    the number of plan nodes does not follow the number of means."""
+    usual = {o: s for o, s in specs.items() if s[1] < 1 and -math.log(1.0 - s[1]) * CHUNK_ROWS <= OVERFLOW_EXPONENT}
+    for out, (x, alpha, seed) in specs.items():
+        if out not in usual:
+            d = ema_first(d, fr, out, x, alpha) if seed is None else ema_seeded(d, fr, out, x, seed, alpha)
+    if not usual:
+        return d
+    name = lambda out, what: f"__{out}_{what}"
+    col = lambda out, what: F.col(name(out, what))
+
+    def step(d: DataFrame, what: str, make) -> DataFrame:
+        return d.withColumns({name(o, what): make(o, *usual[o]) for o in usual})
+
+    def input_of(o, x, alpha, seed):
+        first = (col(o, "c") == (1 if seed is None else seed)) & col(o, "x").isNotNull()
+        value = F.when(first, col(o, "x") if seed is None else col(o, "seed")).otherwise(F.lit(alpha) * col(o, "x"))
+        return F.coalesce(value if seed is None else F.when(col(o, "c") >= seed, value), F.lit(0.0)).cast("double")
+
+    rate = {o: -math.log(1.0 - s[1]) for o, s in usual.items()}
+    upto = fr.rows(Window.unboundedPreceding, 0)
+    d = step(d, "x", lambda o, x, *_: x)
+    d = step(d, "c", lambda o, *_: F.count(name(o, "x")).over(upto))
+    seeded = {name(o, "seed"): F.avg(name(o, "x")).over(fr.last_n(s[2])) for o, s in usual.items() if s[2] is not None}
+    d = d.withColumns(seeded) if seeded else d
+    d = _with_chunks(d, fr)
+    j = F.col("__cj")
+    inner = Frame([*fr.parts, "__chunk"], fr.order, fr.ts).rows(Window.unboundedPreceding, 0)
+    d = step(d, "z", lambda o, *s: input_of(o, *s) * F.exp(j * F.lit(rate[o])))
+    d = step(d, "loc", lambda o, *_: F.exp(-j * F.lit(rate[o])) * F.sum(name(o, "z")).over(inner))
+    value = {o: col(o, "loc") for o in usual}
+    if fr.max_rows is None or fr.max_rows > CHUNK_ROWS:
+
+        def whole(o):
+            total = col(o, "loc")
+            for m in range(1, int(math.ceil(DECAY_EXPONENT / (rate[o] * CHUNK_ROWS)))):
+                older = F.coalesce(F.lag(name(o, "loc"), m * CHUNK_ROWS).over(fr.w()), F.lit(0.0))
+                total = total + F.lit(math.exp(-rate[o] * CHUNK_ROWS * m)) * older
+            return F.when(j == CHUNK_ROWS - 1, total)
+
+        d = step(d, "end", lambda o, *_: whole(o))
+        before = fr.rows(Window.unboundedPreceding, -1)
+        d = step(d, "carry", lambda o, *_: F.last(name(o, "end"), ignorenulls=True).over(before))
+        value = {o: col(o, "loc") + F.exp(-(j + 1) * F.lit(rate[o])) * F.coalesce(col(o, "carry"), F.lit(0.0)) for o in usual}
+    d = d.withColumns({o: F.when(col(o, "c") >= (usual[o][2] or 1), value[o]) for o in usual})
+    return d.drop(*[name(o, w) for o in usual for w in ("x", "c", "seed", "z", "loc", "end", "carry")])
+
+
 def ema_rows(n: int, alpha: float | None = None) -> int:
     """Halo rows that make an EMA of a block equal to that of the whole key."""
     k = 2.0 / (n + 1) if alpha is None else alpha
