@@ -73,14 +73,19 @@ def super_trend(mult: float = 3.0) -> SequentialKernel:
 def range_bar(width: float, atr: tuple[int, float, float, float] | None = None) -> SequentialKernel:
     """A bar closes when price has moved ``width`` from its open.
 
-    With ``atr=(n, mult, lo, hi)`` the width follows the mean range of the last
-    ``n`` finished bars, clamped to [lo, hi].
-    State: has open, open, high, low, start, volume, ticks, then recent bar ranges.
+    With ``atr=(n, mult, lo, hi)`` the width follows the mean of the last ``n`` ranges,
+    clamped to [lo, hi]: at first those of the first ``n`` price moves, which open no
+    bar, then those of finished bars.
+    State: has open (below 0: gathering moves), open, high, low, start, volume, ticks,
+    then recent ranges.
     """
 
     def advance(s, price, volume, at):
         head, recent = s[:7], s[7:]
         started, o, h, l, start, vol, n = head
+        if atr and started <= 0:
+            recent = [*recent, abs(price - o)] if started < 0 else recent
+            return [1.0 if len(recent) == atr[0] else -1.0, price, price, price, at, 0.0, 0.0, *recent], []
         if not started:
             return [1.0, price, price, price, at, 0.0, 0.0, *recent], []
         h, l, vol, n = max(h, price), min(l, price), vol + volume, n + 1

@@ -137,3 +137,14 @@ def test_binomial_tail_is_exact(spark):
         for r in df.select("h", "n", binomial_tail(F.col("h"), F.col("n"), p).alias("got")).collect():
             want = sum(comb(r.n, k) * p**k * (1 - p) ** (r.n - k) for k in range(r.h, r.n + 1))
             assert abs(r.got - want) < 1e-9, (r, p, want)
+
+
+def test_adaptive_bars_start_from_the_first_moves():
+    from barline.operators.kernels import range_bar
+    from barline.plans.sequential import walk
+
+    prices = [10.0, 11.0, 13.0, 14.0, 17.0, 15.0, 20.0]
+    n = len(prices)
+    _, rows = walk(range_bar(99.0, (2, 2.0, 1.0, 50.0)), range_bar(99.0, (2, 2.0, 1.0, 50.0)).init(), [prices, [1.0] * n, [float(i) for i in range(n)]])
+    # moves 1 and 2 give a width of 3 from 13; then ranges 2 and 4 give 6 from 17
+    assert [(i, r[0], r[3]) for i, r in rows] == [(4, 13.0, 17.0)]
