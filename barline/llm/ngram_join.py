@@ -42,7 +42,7 @@ WORDS_PER_SHINGLE = 5
 NUM, DEN = 4, 5
 NULL_ID = -(1 << 63)
 #: Signatures that one reducer sorts, and that a mapper gathers before it writes them out.
-PER_REDUCER = 2_000_000
+PER_REDUCER = 1_000_000
 #: Longs of the sketch that travels with signatures.
 SHORT = 8
 SHORT_NAMES = [f"w{i}" for i in range(SHORT)]
