@@ -202,8 +202,11 @@ def _moment_matrix(d: DataFrame, cols: Sequence[str]) -> np.ndarray:
 def granger(df: DataFrame, key: str | Sequence[str] | None, order: Sequence[str], cause: str, effect: str, lags: int) -> DataFrame:
     """F-statistic of adding lags of ``cause`` to an autoregression of ``effect``.
 
-    Only the moment matrix leaves the cluster.
+    Only the moment matrix leaves the cluster. Both series are centred first: the fit has an
+    intercept, so nothing changes but the digits that large levels would cost.
     """
+    level = df.agg(F.avg(cause).alias("c"), F.avg(effect).alias("e")).first()
+    df = df.withColumns({cause: F.col(cause) - F.lit(level["c"] or 0.0), effect: F.col(effect) - F.lit(level["e"] or 0.0)})
     s = Series(df, key, list(order))
     d = s.columns(
         lambda fr: {**{f"__y{k}": F.lag(effect, k).over(fr.w()) for k in range(1, lags + 1)},
