@@ -265,7 +265,10 @@ def find_all(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
     rows = docs.select(docs[id_col].alias("id"), whole(docs[text_col]).alias("text"))
     rows = rows.filter((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
-    few = rows.orderBy(hash60("pii", F.col("id")), "text").limit(sample).collect()
+    rows = rows.select(hash60("pii", F.col("id"), F.xxhash64("text")).alias("draw"), "text")
+    # the draws alone are ordered, and only the texts up to the last one leave their tasks
+    last = rows.select("draw").orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
+    few = rows.filter(F.col("draw") <= F.lit(-1 if last is None else last)).orderBy("draw", "text").limit(sample).collect()
     return train([r["text"] for r in few])
 
 
