@@ -11,6 +11,11 @@ any ``seeds`` template words is, where seeds number the words that may be missin
 So the rarest seeds in the text are taken and a stretch around each of their places is
 aligned; a text that lacks too many words of a template is not aligned at all. A stretch
 reaches ``STRETCH`` template lengths to each side, so words put in between may be many.
+
+A name or a version is a small share of a wording, so coverage alone cannot tell similar
+licenses apart. Templates have deciding runs of words: a short notice must show them unbroken,
+a longer template at least half of each, with no foreign word in it. A longer template that
+lacks some of them gives way to one that has all of its own at the same place.
 """
 
 from __future__ import annotations
@@ -25,49 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barline.llm.common import whole
+from barline.llm.license_texts import DECIDING, TEMPLATES
 
 COVERAGE = 0.8
 STRETCH = 2
+#: Templates of at most so many words must show their deciding words unbroken.
+NOTICE = 20
 _WORD = re.compile(r"[a-z0-9]+")
 
-# The wording of common licenses and of the notices that name them.
-TEMPLATES = {
-    "mit-notice": "Released under the MIT License.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
-        "notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "apache-2.0": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
-        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
-        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
-        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
-    ),
-    "gpl-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
-        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
-        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
-    ),
-    "bsd-2-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
-        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
-        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
-        "distribution."
-    ),
-    "isc": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies."
-    ),
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-}
-
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower() if text.isascii() else _lower(text))
@@ -128,22 +98,50 @@ def align(a: list[str], b: list[str], a_lo: int = 0, a_hi: int | None = None, b_
     return sorted(out)
 
 
+def _run_of(words: list[str], run: list[str]) -> tuple[int, int]:
+    """First and last place of a run of words."""
+    at = next(i for i in range(len(words)) if words[i : i + len(run)] == run)
+    return at, at + len(run) - 1
+
+
+def _decided(template: list[str], words: list[str], pairs: list[tuple[int, int]], runs: list[tuple[int, int]]) -> float:
+    """Share of the deciding words that the aligned stretch has; 0 if they rule the template out."""
+    place, seen = dict(pairs), 0
+    for first, last in runs:
+        here = [place[i] for i in range(first, last + 1) if i in place]
+        seen += len(here)
+        if len(template) <= NOTICE:
+            if len(here) <= last - first or here[-1] - here[0] != last - first:
+                return 0.0
+            continue
+        if 2 * len(here) < last - first + 1:
+            return 0.0
+        # the aligned words next to the run, or its ends
+        lo = max((i for i in place if i <= first), default=min(place))
+        hi = min((i for i in place if i >= last), default=max(place))
+        if not set(template[lo : hi + 1]).issuperset(words[place[lo] : place[hi] + 1]):
+            return 0.0
+    return seen / sum(last - first + 1 for first, last in runs) if runs else 1.0
+
+
 @dataclass(frozen=True)
 class Found:
     name: str
     coverage: float
     first: int  # words of the text
     last: int
+    decided: float = 1.0
 
 
 class Scanner:
     """Looks for templates, given as texts by name, in lists of words."""
 
-    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE, deciding: dict[str, list[str]] | None = None):
         self.coverage = coverage
         self.templates = {name: words_of(text) for name, text in templates.items()}
         self.vocabulary = {w for words in self.templates.values() for w in words}
         self.counts = {name: Counter(words) for name, words in self.templates.items()}
+        self.deciding = {name: [_run_of(self.templates[name], words_of(run)) for run in runs] for name, runs in (deciding or {}).items()}
 
     def _possible(self, have: set[str], name: str) -> bool:
         words = self.templates[name]
@@ -162,6 +160,8 @@ class Scanner:
         out = []
         for name in names:
             out += self._found(name, words, places)
+        sure = [f for f in out if f.decided == 1 and self.deciding.get(f.name) and len(self.templates[f.name]) > NOTICE]
+        out = [f for f in out if f.decided == 1 or not any(f.first <= g.last and g.first <= f.last for g in sure)]
         return sorted(out, key=lambda f: (f.first, f.last, f.name))
 
     def _found(self, name: str, words: list[str], places: dict[str, list[int]]) -> list[Found]:
@@ -178,7 +178,8 @@ class Scanner:
         for lo, hi in around:
             pairs = align(template, words, 0, size, lo, hi)
             if pairs and len(pairs) >= self.coverage * size:
-                hits.append(Found(name, len(pairs) / size, pairs[0][1], pairs[-1][1]))
+                if decided := _decided(template, words, pairs, self.deciding.get(name, [])):
+                    hits.append(Found(name, len(pairs) / size, pairs[0][1], pairs[-1][1], decided))
         # of overlapping hits the densest, so that two copies are not taken for one; then the first
         hits.sort(key=lambda f: (-f.coverage * size / max(size, f.last - f.first + 1), f.first, f.last))
         out: list[Found] = []
@@ -198,10 +199,11 @@ def scan(
     Null and empty texts have none (``best`` is null, ``coverage`` 0). Rows are independent:
     repeated rows agree and an empty table stays empty. Other columns are ignored.
     """
+    deciding = DECIDING if templates is None else None
     templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(templates, coverage, deciding)
         for batch in batches:
             rows = [_row(scanner, t.as_py()) for t in batch["text"]]
             n, best, share, written = zip(*rows, strict=True) if rows else ((), (), (), ())

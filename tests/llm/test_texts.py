@@ -249,3 +249,15 @@ def test_licenses_are_found_where_they_stand(frame):
     text = docs[-1][1]
     assert [text[int(x.split(":")[2]) : int(x.split(":")[3])] for x in got[503].licenses.split(",")] == ["Released under MIT License", "Released under the MIT License"]
     assert license_scan.scan(frame(docs[:0])).count() == 0
+
+
+def test_one_license_does_not_pass_as_another():
+    templates = {n: license_scan.TEMPLATES[n] for n in ("mit-notice", "gpl-3.0-notice", "cc-by-4.0", "gpl-3.0", "apache-2.0-notice")}
+    scanner = license_scan.Scanner(templates, deciding={n: license_scan.DECIDING[n] for n in templates if n in license_scan.DECIDING})
+    for text in (
+        "Released under the ISC License.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Licensed under the Mozilla License, Version 2.0.",
+    ):
+        assert scanner(text) == []
