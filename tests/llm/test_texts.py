@@ -1,12 +1,15 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from barline.llm import license_scan, pii_crf, quality
 from barline.llm import sentencepiece_codec as codec
 
+DOCUMENTS = Path("/root/testdata/sf0.1/documents.parquet")
 EDGE = ["", " ", "  lead and trail  ", "\n\n\t", "x" * 5000, "漢字 😀 未知龘", "a  b   c", "ñ" * 300]
 
 
@@ -251,6 +254,36 @@ def test_licenses_are_found_where_they_stand(frame):
     assert license_scan.scan(frame(docs[:0])).count() == 0
 
 
+def names_in(text):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, deciding=license_scan.DECIDING)
+    return [f.name for f in scanner(text)]
+
+
+def test_license_lines_of_the_corpus_and_common_licenses_have_names():
+    want = {
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-notice",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0-notice",
+        "Released under the MIT License.": "mit-notice",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0-notice",
+    }
+    for line, name in want.items():
+        assert names_in(f"Some text before.\n{line}\nAll rights reserved.") == [name]
+    for name in ("bsd-3-clause", "lgpl-3.0", "lgpl-2.1", "mpl-2.0", "agpl-3.0", "cc-by-sa-4.0", "cc-by-nc-4.0", "gpl-2.0"):
+        assert [n for n in names_in(license_scan.TEMPLATES[name]) if n != f"{name}-notice"] == [name]
+    for name in ("mit", "isc", "bsd-2-clause"):
+        text = license_scan.TEMPLATES[name]
+        assert names_in(text) == [name]
+        assert names_in(text[: re.search(r"TH(E|IS) SOFTWARE IS PROVIDED", text).start()]) == []  # without the warranty text
+
+
+@pytest.mark.skipif(not DOCUMENTS.exists(), reason="needs the given documents")
+def test_every_license_line_of_the_given_documents_is_found():
+    texts = pq.read_table(DOCUMENTS, columns=["text"])["text"].to_pylist()
+    named = re.compile(r"(?i)licensed under|released under")
+    lines = [x for t in texts for x in (t or "").split("\n") if named.search(x)]
+    assert lines and all(names_in(x) for x in lines)
+
+
 def test_one_license_does_not_pass_as_another():
     templates = {n: license_scan.TEMPLATES[n] for n in ("mit-notice", "gpl-3.0-notice", "cc-by-4.0", "gpl-3.0", "apache-2.0-notice")}
     scanner = license_scan.Scanner(templates, deciding={n: license_scan.DECIDING[n] for n in templates if n in license_scan.DECIDING})
@@ -259,5 +292,10 @@ def test_one_license_does_not_pass_as_another():
         "This work is licensed under the GNU General Public License, version 2.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under the Mozilla License, Version 2.0.",
+        license_scan.TEMPLATES["lgpl-3.0"],
+        license_scan.TEMPLATES["gpl-2.0"],
     ):
         assert scanner(text) == []
+    for name, text in license_scan.TEMPLATES.items():
+        assert name in names_in(text)
+        assert {n.removesuffix("-notice") for n in names_in(text)} == {name.removesuffix("-notice")}
