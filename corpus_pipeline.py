@@ -24,12 +24,10 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that occur earlier. A document goes when lines were taken from it
-    and only lines below the length that counts are left; ``n_chars`` follows the text."""
+    and no line with a letter or digit is left; ``n_chars`` follows the text."""
     columns = docs.columns
     out = line_dedup.dedup_lines(docs)
-    lines = F.split("text", "\n")
-    left = F.exists(lines, lambda x: F.length(F.btrim(x, F.lit(" \t\r\x0b\x0c"))) >= line_dedup.MIN_CHARS)
-    out = out.filter((F.size("removed") == 0) | left)
+    out = out.filter((F.size("removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     if "n_chars" in columns:
         touched = F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", touched)

@@ -79,6 +79,13 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(text["mix"])
 
 
+def test_short_lines_of_its_own_keep_a_document(spark, frame):
+    footer = "a footer line that every document carries"
+    docs = frame([(1, footer, "s"), (2, f"for x in y:\n  {footer}\n  go(x)", "s"), (3, f"--\n{footer}\n \n***", "s"), (4, f"é\n{footer}", "s"), (5, "--", "s"), (6, None, "s"), (7, f"漢字\n{footer}", "s")])
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: footer, 2: "for x in y:\n  go(x)", 4: "é", 5: "--", 6: None, 7: "漢字"}
+
+
 def test_entry_works_without_the_text_operators(tmp_path):
     for name in ("barline", "__spark_entry__.py", "corpus_pipeline.py"):
         source = REPO / name
