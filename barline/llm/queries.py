@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import chat_format, cross_polytope, exact_dedup, license_scan, line_dedup, mixing, ngram_join, pii_crf, quality, sentencepiece_codec
+from barline.llm import (
+    chat_format,
+    cross_polytope,
+    exact_dedup,
+    hard_negatives,
+    license_scan,
+    line_dedup,
+    mixing,
+    ngram_join,
+    pii_crf,
+    quality,
+    sentencepiece_codec,
+    token_alignment,
+    vector_packing,
+)
 from barline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +118,24 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_license_scan")
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+#: Folder of the public vocabularies.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@_query("op11_hard_negatives", hard_negatives.SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
+@_query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_alignment.align(docs, f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")[0]
+
+
+@_query("op13_vector_packing")
+def op13_vector_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return vector_packing.pack_documents(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json")
