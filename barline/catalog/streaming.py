@@ -10,13 +10,13 @@ from barline.catalog.inputs import TICKS_SQL, ticks, with_sql
 from barline.catalog.indicators import sar_sql
 from barline.catalog.registry import query
 from barline.functions.clock import HOUR_US
-from barline.operators import kernels as K
 from barline.operators.bars import resample
 from barline.plans.sequential import run_kernel
 from barline.plans.series import Series
 from barline.session import shared_dir
 from barline.sources.readers import read_table
-from barline.streaming import stateful as SF
+from barline.streaming import by_name as BN
+from barline.streaming import keyed as KS
 from barline.streaming import streams as G
 
 DONE = "(SELECT max(ts) FROM ticks) - INTERVAL 1 HOUR"
@@ -31,21 +31,45 @@ def stream(spark, sf):
                     F.get_json_object("props", "$.k").cast("double").alias("volume"), "user_id")
 
 
-def in_batches(spark, sf):
-    """The same stream in three micro-batches, each cut through an instant: between two rows
-    of equal time where there are such."""
+def parts(spark, sf, delayed_hours=0):
+    """The same rows in three parts by time, each cut through an instant: between two rows of
+    equal time where there are such. With ``delayed_hours`` a tenth of the rows of so many
+    hours before a cut come with the next part. Returns their folder and schema."""
     e = spark.read.parquet(f"{sf}/events.parquet")
     cuts = e.agg(F.percentile_approx("ts", [1 / 3, 2 / 3]).alias("q")).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
     ties = e.join(cuts).agg(  # one row
         F.min(F.when(F.col("ts") == F.col("a"), F.col("event_id"))).alias("ta"), F.min(F.when(F.col("ts") == F.col("b"), F.col("event_id"))).alias("tb"))
     marked = e.join(F.broadcast(cuts.join(ties)))  # one row
     upto = lambda x: (F.col("ts") < F.col(x)) | ((F.col("ts") == F.col(x)) & (F.col("event_id") <= F.col(f"t{x}")))
+    part = F.when(upto("a"), 0).when(upto("b"), 1).otherwise(2)
+    if delayed_hours:
+        behind = lambda x: upto(x) & (F.col("ts") > F.col(x) - F.expr(f"INTERVAL {delayed_hours} HOURS"))
+        part = part + F.when((F.col("event_id") % 10 == 0) & (behind("a") | (~upto("a") & behind("b"))), 1).otherwise(0)
     base = shared_dir(spark, f"batches-{uuid.uuid4().hex}")
-    for i, part in enumerate((upto("a"), ~upto("a") & upto("b"), ~upto("b"))):
-        # files are read in the order of their age, one each micro-batch
-        marked.filter(part).select(*e.columns).coalesce(1).write.parquet(f"{base}/part={i}")
-    raw = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(base)
-    return raw.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.col("value").alias("price"))
+    for i in range(3):
+        marked.filter(part == i).select(*e.columns).write.parquet(f"{base}/{i}")
+    return base, e.schema
+
+
+def drain_parts(spark, source, build, name):
+    """One run over the same checkpoint for each part that has arrived."""
+    base, schema = source
+    to = shared_dir(spark, f"stream-{name}-{uuid.uuid4().hex}")
+    for i in range(3):
+        raw = spark.readStream.schema(schema).parquet(f"{base}/[0-{i}]")
+        df = build(raw.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.col("value").alias("price")))
+        G.run_available(df, f"{to}/out", f"{to}/checkpoint")
+    return G.read_sink(spark, f"{to}/out", df.schema)
+
+
+def keyed(spark, sf, kernel, name, shape=lambda s: s, delay=None, delayed_hours=0, **more):
+    run = lambda s: KS.keyed_kernel(shape(s), "user_id", ["ts", "tie"], kernel, delay, **more)
+    return drain_parts(spark, parts(spark, sf, delayed_hours), run, name)
+
+
+#: Rows come up to half a day late and wait for a day on the event clock.
+LATE_HOURS, WAIT = 12, "24 hours"
+WATERMARK_SQL = "wm AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 24 HOUR AS upto FROM ticks)"
 
 
 def drain(spark, df, name, batch=None, path=None):
@@ -126,7 +150,7 @@ def g07(spark, sf):
                 "CASE WHEN b.rn = 8 THEN (total + price) / 8 WHEN b.rn > 8 THEN ema + 2 / 9.0 * (price - ema) END FROM r JOIN b ON b.user_id = r.user_id AND b.rn = r.rn + 1)",
                 body="SELECT user_id, tie, ema FROM r", recursive=True))
 def g08(spark, sf):
-    out = drain(spark, SF.stream_kernel(in_batches(spark, sf), "user_id", ["ts", "tie"], SF.ema_kernel("price", 8)), "ema")
+    out = KS.in_time(keyed(spark, sf, BN.kernel("ema", "price", 8), "ema"))
     return out.withColumn("ema", F.when(~F.isnan("ema"), F.col("ema")))
 
 
@@ -134,23 +158,56 @@ def g08(spark, sf):
        with_sql(TICKS_SQL, "b AS (SELECT user_id AS series_id, tie, price + 1 AS high, price - 1 AS low, row_number() OVER (PARTITION BY user_id ORDER BY ts, tie) AS rn FROM ticks)", sar_sql("b"),
                 body="SELECT series_id AS user_id, tie, stop AS sar, side AS sar_dir FROM b JOIN sar USING (series_id, rn)", recursive=True))
 def g08s(spark, sf):
-    s = in_batches(spark, sf).withColumn("high", F.col("price") + 1).withColumn("low", F.col("price") - 1)
-    return drain(spark, SF.stream_kernel(s, "user_id", ["ts", "tie"], K.parabolic_sar()), "sar")
+    around = lambda s: s.withColumn("high", F.col("price") + 1).withColumn("low", F.col("price") - 1)
+    return KS.in_time(keyed(spark, sf, BN.kernel("parabolic_sar"), "sar", around))
 
 
 @query("g09_stateful_swings", "user_id:i tie:i is_high:i value:f",
        with_sql(TICKS_SQL, "p AS (SELECT user_id, tie, lag(price) OVER w AS p1, lag(price, 2) OVER w AS p2, price AS p0 FROM ticks WINDOW w AS (PARTITION BY user_id ORDER BY ts, tie))",
                 body='SELECT user_id, tie, 1 AS is_high, p1 AS "value" FROM p WHERE p1 > p2 AND p1 > p0 UNION ALL SELECT user_id, tie, 0, p1 FROM p WHERE p1 < p2 AND p1 < p0'))
 def g09(spark, sf):
-    s = in_batches(spark, sf).withColumn("high", F.col("price")).withColumn("low", F.col("price"))
-    return drain(spark, SF.stream_kernel(s, "user_id", ["ts", "tie"], SF.swing_kernel()), "swings")
+    at = lambda s: s.withColumn("high", F.col("price")).withColumn("low", F.col("price"))
+    return KS.in_time(keyed(spark, sf, BN.kernel("swings"), "swings", at))
 
 
 @query("g10_alerts", "user_id:i tie:i zone:i at_value:f",
        with_sql(TICKS_SQL, "z AS (SELECT user_id, tie, ts, price, CASE WHEN price > 120 THEN 1 WHEN price < 5 THEN -1 ELSE 0 END AS zone FROM ticks)", "e AS (SELECT *, lag(zone, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, tie) AS p FROM z)",
                 body="SELECT user_id, tie, zone, price AS at_value FROM e WHERE zone <> p AND zone <> 0"))
 def g10(spark, sf):
-    return drain(spark, SF.stream_kernel(in_batches(spark, sf), "user_id", ["ts", "tie"], SF.alert_kernel("price", 120.0, 5.0)), "alerts")
+    return KS.in_time(keyed(spark, sf, BN.kernel("alerts", "price", 120.0, 5.0), "alerts"))
+
+
+@query("g08_indicators_by_name", "user_id:i tie:i sma:f std:f zscore:f roc:f efficiency:f stochastic:f slope:f median:f channel_high:f",
+       with_sql(TICKS_SQL, WATERMARK_SQL, """w AS (SELECT user_id, tie, ts, price, row_number() OVER u AS rn, avg(price) OVER w10 AS sma, stddev_pop(price) OVER w10 AS std,
+         lag(price, 5) OVER u AS p5, lag(price, 10) OVER u AS p10, max(price) OVER w14 AS hi, min(price) OVER w14 AS lo,
+         median(price) OVER w9 AS med, max(price) OVER w20 AS top FROM ticks
+         WINDOW u AS (PARTITION BY user_id ORDER BY ts, tie), w9 AS (PARTITION BY user_id ORDER BY ts, tie ROWS 8 PRECEDING), w10 AS (PARTITION BY user_id ORDER BY ts, tie ROWS 9 PRECEDING),
+         w14 AS (PARTITION BY user_id ORDER BY ts, tie ROWS 13 PRECEDING), w20 AS (PARTITION BY user_id ORDER BY ts, tie ROWS 19 PRECEDING))""",
+         """m AS (SELECT *, sum(abs(step)) OVER (PARTITION BY user_id ORDER BY rn ROWS 9 PRECEDING) AS path, regr_slope(price, rn) OVER (PARTITION BY user_id ORDER BY rn ROWS 9 PRECEDING) AS sl
+         FROM (SELECT *, price - lag(price) OVER (PARTITION BY user_id ORDER BY rn) AS step FROM w))""",
+         body="""SELECT user_id, tie, CASE WHEN rn >= 10 THEN sma END AS sma, CASE WHEN rn >= 10 THEN std END AS std, CASE WHEN rn >= 10 AND std > 0 THEN (price - sma) / std END AS zscore,
+         CASE WHEN rn >= 6 AND p5 <> 0 THEN 100 * (price - p5) / p5 END AS roc, CASE WHEN rn >= 11 AND path > 0 THEN abs(price - p10) / path END AS efficiency,
+         CASE WHEN rn >= 14 AND hi > lo THEN 100 * (price - lo) / (hi - lo) END AS stochastic, CASE WHEN rn >= 10 THEN sl END AS slope,
+         CASE WHEN rn >= 9 THEN med END AS median, CASE WHEN rn >= 20 THEN top END AS channel_high FROM m, wm WHERE ts < upto"""))
+def g08n(spark, sf):
+    ask = {"sma": {"n": 10}, "std": {"n": 10}, "zscore": {"n": 10}, "roc": {"n": 5}, "efficiency": {"n": 10}, "slope": {"n": 10}, "median": {"n": 9}}
+    ks = {name: BN.kernel(name, "price", **p) for name, p in ask.items()}
+    ks |= {"stochastic": BN.kernel("stochastic", "price", "price", "price", n=14), "channel_high": BN.kernel("channel_high", "price", n=20)}
+    out = KS.in_time(keyed(spark, sf, BN.together(ks), "named", delay=WAIT, delayed_hours=LATE_HOURS))
+    return out.select("user_id", "tie", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ks])
+
+
+@query("g10_heartbeats", "user_id:i at:t kind:s zone:i at_value:f n_rows:i",
+       with_sql(TICKS_SQL, WATERMARK_SQL, "z AS (SELECT user_id, tie, ts, price, CASE WHEN price > 120 THEN 1 WHEN price < 5 THEN -1 ELSE 0 END AS zone, row_number() OVER (PARTITION BY user_id ORDER BY ts, tie) AS rn FROM ticks, wm WHERE ts < upto)",
+                "e AS (SELECT *, lag(zone, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, tie) AS p FROM z)", "a AS (SELECT * FROM e WHERE zone <> p AND zone <> 0)",
+                "b AS (SELECT user_id, unnest(generate_series(time_bucket(INTERVAL 12 HOUR, min(ts)) + INTERVAL 12 HOUR, max(upto), INTERVAL 12 HOUR)) AS at FROM z, wm GROUP BY user_id)",
+                body="""SELECT user_id, ts AS at, 'row' AS kind, zone, price AS at_value, rn AS n_rows FROM a UNION ALL
+                SELECT b.user_id, b.at, 'beat', (SELECT arg_max(zone, (a.ts, a.tie)) FROM a WHERE a.user_id = b.user_id AND a.ts < b.at),
+                (SELECT arg_max(price, (a.ts, a.tie)) FROM a WHERE a.user_id = b.user_id AND a.ts < b.at), (SELECT count(*) FROM z WHERE z.user_id = b.user_id AND z.ts < b.at) FROM b"""))
+def g10h(spark, sf):
+    kernel = BN.kernel("alerts", "price", 120.0, 5.0)
+    out = keyed(spark, sf, kernel, "beats", delay=WAIT, delayed_hours=LATE_HOURS, beat_ms=12 * 3600 * 1000)
+    return out.filter("kind <> 'late'").withColumnRenamed("ts", "at")
 
 
 @query("g11_stream_match", "user_id:i sig:i fill:i",
@@ -171,22 +228,37 @@ def g12(spark, sf):
     return spark.read.parquet(f"{base}/ranks")
 
 
-@query("g13_parity", "series_id:s ts:t close:f side:s", "SELECT NULL AS series_id, NULL AS ts, NULL AS close, NULL AS side WHERE false")
+@query("g13_parity", "n_stream:i n_batch:i n_apart:i",
+       with_sql(TICKS_SQL, f"b AS (SELECT event_type, date_trunc('hour', ts) AS h FROM ticks GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {DONE})",
+                body="SELECT count(*) AS n_stream, count(*) AS n_batch, 0 AS n_apart FROM b"))
 def g13(spark, sf):
     st = drain(spark, G.stream_bars(stream(spark, sf), "series_id", "1 hour", "1 hour"), "parity")
     t = ticks(spark, sf, "event_type")
     mark = t.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("__wm"))
     bt = resample(t, "series_id", HOUR_US).join(F.broadcast(mark)).filter(F.col("available_at") <= F.col("__wm")).drop("__wm")  # one row
     cols = ["series_id", "ts", "open", "high", "low", "close", "volume", "n_ticks"]
-    return G.check_parity(st.select(*cols), bt.select(*cols))
+    return G.parity_counts(st.select(*cols), bt.select(*cols))
 
 
-@query("g13_kernel_parity", "user_id:i tie:i side:s", "SELECT NULL AS user_id, NULL AS tie, NULL AS side WHERE false")
+@query("g13_kernel_parity", "n_stream:i n_batch:i n_apart:i", "SELECT count(*) AS n_stream, count(*) AS n_batch, 0 AS n_apart FROM events")
 def g13k(spark, sf):
-    kernel = SF.rsi_kernel("price", 14)
-    st = drain(spark, SF.stream_kernel(in_batches(spark, sf), "user_id", ["ts", "tie"], kernel), "rsi")
+    kernel = BN.kernel("rsi", "price", 14)
+    st = KS.in_time(keyed(spark, sf, kernel, "rsi"))
     bt = run_kernel(Series(ticks(spark, sf), "user_id", ["ts", "tie"]), kernel)
-    return G.check_parity(st.select("user_id", "tie", F.round("rsi", 9).alias("rsi")), bt.select("user_id", "tie", F.round("rsi", 9).alias("rsi")))
+    return G.parity_counts(st.select("user_id", "tie", F.round("rsi", 9).alias("rsi")), bt.select("user_id", "tie", F.round("rsi", 9).alias("rsi")))
+
+
+@query("g13_disordered_parity", "n_stream:i n_batch:i n_apart:i n_late:i",
+       with_sql(TICKS_SQL, WATERMARK_SQL, body="SELECT count(*) AS n_stream, count(*) AS n_batch, 0 AS n_apart, 0 AS n_late FROM ticks, wm WHERE ts < upto"))
+def g13d(spark, sf):
+    kernel = BN.together({"ema": BN.kernel("ema", "price", 9), "macd": BN.kernel("macd", "price"), "rsi": BN.kernel("rsi", "price", 14), "wma": BN.kernel("wma", "price", 12)})
+    st = keyed(spark, sf, kernel, "disordered", delay=WAIT, delayed_hours=LATE_HOURS)
+    t = ticks(spark, sf)
+    mark = t.agg((F.unix_millis(F.max("ts")) - 24 * 3_600_000).alias("__wm"))
+    bt = run_kernel(Series(t, "user_id", ["ts", "tie"]), kernel).join(F.broadcast(mark)).filter(F.unix_millis("ts") < F.col("__wm"))  # one row
+    near = lambda d: d.select("user_id", "tie", *[F.round(c, 9).alias(c) for c in ("ema", "macd", "rsi", "wma")])
+    late = st.filter("kind = 'late'").agg(F.count(F.lit(1)).alias("n_late"))
+    return G.parity_counts(near(KS.in_time(st)), near(bt)).join(F.broadcast(late))  # one row
 
 
 @query("g14_retention", "event_id:i", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 14 DAY")

@@ -1,107 +1,8 @@
-"""Keyed state: the batch kernels run incrementally, one state row per key.
-
-``stream_kernel`` feeds the same ``SequentialKernel`` as the batch job. A key's rows are
-processed in the order of all order columns (instant, then ties), whatever micro-batches
-they come in: rows up to ``delay`` behind the newest instant of the key wait in the state,
-older ones are released in order. A row behind the last released one is late; it does not
-change the state and comes out flagged, so that it can be stored and counted.
-"""
+"""Small kernels for streams; ``keyed`` runs them, ``by_name`` finds them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from barline.plans.sequential import SequentialKernel, walk
-from barline.plans.series import as_list
-
-STATE_SCHEMA = "values array<double>, last binary, waiting binary"
-
-
-def _packed(pdf: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(pdf, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(bytes(data)).read_all().to_pandas()
-
-
-def stream_kernel_all(
-    df: DataFrame, key: str | Sequence[str], order: Sequence[str], kernel: SequentialKernel, delay_ms: int = 0, ttl_ms: int | None = None
-) -> DataFrame:
-    """Key, order columns, outputs of the kernel and ``late``. Late rows have null outputs.
-
-    With ``ttl_ms`` a key that is idle so long releases what waits and is forgotten; without
-    it the last ``delay_ms`` of each key wait for newer rows.
-    """
-    keys = as_list(key)
-    fields = T._parse_datatype_string(kernel.outputs).fields
-    names = [f.name for f in fields]
-    keep = [*keys, *order]
-    cols = list(dict.fromkeys([*keep, *kernel.inputs]))
-    schema = T.StructType(
-        [T.StructField(c, df.schema[c].dataType) for c in keep] + list(fields) + [T.StructField("late", T.BooleanType())]
-    )
-
-    def emitted(values: list[float], pdf: pd.DataFrame) -> tuple[list[float], pd.DataFrame]:
-        columns = [pdf[c].astype("float64").tolist() for c in kernel.inputs]
-        values, rows = walk(kernel, values, columns)
-        out = pdf[keep].iloc[[i for i, _ in rows]].reset_index(drop=True)
-        for j, n in enumerate(names):
-            out[n] = [r[j] for _, r in rows]
-        out["late"] = False
-        return values, out
-
-    def update(group_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        values, last, waiting = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else (kernel.init(), None, None)
-        if state.hasTimedOut:
-            state.remove()
-            if waiting is not None:
-                yield emitted(values, _unpacked(waiting).sort_values(list(order), kind="stable"))[1]
-            return
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if last is not None:
-            mark = tuple(_unpacked(last).iloc[0])
-            behind = pd.Series([tuple(r) <= mark for r in pdf[list(order)].itertuples(index=False)], index=pdf.index, dtype=bool)
-            if behind.any():
-                late = pdf.loc[behind, keep].reset_index(drop=True)
-                for n in names:
-                    late[n] = None
-                late["late"] = True
-                yield late
-                pdf = pdf[~behind]
-        if waiting is not None:
-            pdf = pd.concat([_unpacked(waiting), pdf], ignore_index=True)
-        pdf = pdf.sort_values(list(order), kind="stable")
-        ready = pdf[order[0]] <= pdf[order[0]].max() - pd.Timedelta(milliseconds=delay_ms)
-        due, rest = pdf[ready], pdf[~ready]
-        if len(due):
-            values, out = emitted(values, due)
-            last = _packed(due[list(order)].tail(1))
-            yield out
-        state.update(([float(v) for v in values], last, _packed(rest) if len(rest) else None))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return df.select(*cols).groupBy(*keys).applyInPandasWithState(update, schema, STATE_SCHEMA, "append", timeout)
-
-
-def stream_kernel(
-    df: DataFrame, key: str | Sequence[str], order: Sequence[str], kernel: SequentialKernel, delay_ms: int = 0, ttl_ms: int | None = None
-) -> DataFrame:
-    """The rows in time of ``stream_kernel_all``; use that to keep and count late rows too."""
-    return stream_kernel_all(df, key, order, kernel, delay_ms, ttl_ms).filter(~F.col("late")).drop("late")
+from barline.plans.sequential import SequentialKernel
 
 
 def ema_kernel(x: str, n: int) -> SequentialKernel:

@@ -122,6 +122,14 @@ def check_parity(stream_result: DataFrame, batch_result: DataFrame) -> DataFrame
     return a.exceptAll(b).withColumn("side", F.lit("stream")).unionAll(b.exceptAll(a).withColumn("side", F.lit("batch")))
 
 
+def parity_counts(stream_result: DataFrame, batch_result: DataFrame) -> DataFrame:
+    """One row: rows of either path and rows that only one of them has."""
+    sides = stream_result.select(*batch_result.columns).withColumn("__s", F.lit(1)).unionAll(batch_result.withColumn("__s", F.lit(0)))
+    by_row = sides.groupBy(*batch_result.columns).agg(F.sum("__s").alias("__a"), F.sum(1 - F.col("__s")).alias("__b"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return by_row.agg(total(F.col("__a")).alias("n_stream"), total(F.col("__b")).alias("n_batch"), total(F.abs(F.col("__a") - F.col("__b"))).alias("n_apart"))
+
+
 def complete_before(bars: DataFrame, watermark: Column) -> DataFrame:
     """Batch bars a stream would have emitted by the given watermark."""
     return bars.filter(F.col("available_at") <= watermark)

@@ -1,48 +1,112 @@
-"""Keyed streaming state over several micro-batches: ties, late and disordered rows."""
+"""Keyed streaming state over several micro-batches: ties, disorder, late rows, timers."""
 
 import datetime as dt
 
+import numpy as np
 import pytest
 
-from barline.plans.sequential import run_kernel
+from barline.plans.sequential import run_kernel, walk
 from barline.plans.series import Series
-from barline.streaming import stateful as SF
+from barline.streaming import by_name as BN
+from barline.streaming import keyed as KS
 from barline.streaming import streams as G
 
 T0 = dt.datetime(2024, 1, 1)
+SCHEMA = "k long, ts timestamp, tie long, price double"
 
 
-def rows(*items):
-    return [(1, T0 + dt.timedelta(seconds=s), tie, float(price)) for s, tie, price in items]
+def rows(*items, k=1):
+    return [(k, T0 + dt.timedelta(seconds=s), tie, float(price)) for s, tie, price in items]
 
 
-def run(spark, tmp_path, batches, delay_ms):
-    schema = "k long, ts timestamp, tie long, price double"
+def run(spark, tmp_path, batches, delay=None, kernel=None, **more):
+    """One run of the stream for each batch, over one checkpoint."""
     for i, b in enumerate(batches):
-        spark.createDataFrame(b, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    out = SF.stream_kernel_all(s, "k", ["ts", "tie"], SF.ema_kernel("price", 2), delay_ms)
-    G.run_available(out, f"{tmp_path}/out", f"{tmp_path}/check")
-    return G.read_sink(spark, f"{tmp_path}/out", out.schema)
+        spark.createDataFrame(b, SCHEMA).repartition(2).write.parquet(f"{tmp_path}/in/{i}")
+        s = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/[0-{i}]")
+        out = KS.keyed_kernel(s, "k", ["ts", "tie"], kernel or BN.kernel("ema", "price", 2), delay, **more)
+        G.run_available(out, f"{tmp_path}/out", f"{tmp_path}/check")
+    return sorted(G.read_sink(spark, f"{tmp_path}/out", out.schema).collect(), key=lambda r: (r.k, r.ts, r.tie if r.tie is not None else -1))
+
+
+def seconds(found, kind, k=1):
+    return [int((r.ts - T0).total_seconds()) for r in found if r.kind == kind and r.k == k]
 
 
 def test_instant_cut_by_batches_loses_nothing(spark, tmp_path):
     batches = [rows((0, 1, 1), (5, 1, 2), (5, 2, 3)), rows((5, 3, 4), (6, 1, 5)), rows((6, 2, 6), (7, 1, 7))]
-    got = run(spark, tmp_path, batches, 0)
-    df = spark.createDataFrame(sum(batches, []), "k long, ts timestamp, tie long, price double")
-    want = run_kernel(Series(df, "k", ["ts", "tie"]), SF.ema_kernel("price", 2))
-    key = lambda r: (r.ts, r.tie)
-    got = sorted(got.collect(), key=key)
-    assert not any(r.late for r in got)
-    assert [(key(r), pytest.approx(r.ema, nan_ok=True)) for r in got] == [(key(r), r.ema) for r in sorted(want.collect(), key=key)]
-
-
-def test_disorder_waits_and_late_rows_are_flagged(spark, tmp_path):
-    batches = [rows((0, 1, 1), (10, 1, 5)), rows((8, 1, 3), (20, 1, 9)), rows((7, 1, 100), (9, 1, 4), (40, 1, 1))]
-    got = sorted(run(spark, tmp_path, batches, 11_000).collect(), key=lambda r: (r.ts, r.tie))
-    in_time = [(r.ts - T0).seconds for r in got if not r.late]
-    late = [(r.ts - T0).seconds for r in got if r.late]
-    # 0 and then, 11 s behind 20, 8; the third batch brings 7 behind the released 8
-    assert in_time == [0, 8, 9, 10, 20] and late == [7]
-    emas = [r.ema for r in got if not r.late]
-    assert emas[1:] == pytest.approx([2.0, 2 + 2 / 3 * (4 - 2), 10 / 3 + 2 / 3 * (5 - 10 / 3), 40 / 9 + 2 / 3 * (9 - 40 / 9)])
+    got = run(spark, tmp_path, batches)
+    df = spark.createDataFrame(sum(batches, []), SCHEMA)
+    want = sorted(run_kernel(Series(df, "k", ["ts", "tie"]), BN.kernel("ema", "price", 2)).collect(), key=lambda r: (r.ts, r.tie))
+    assert all(r.kind == "row" for r in got) and [r.n_rows for r in got] == list(range(1, 8))
+    assert [(r.ts, r.tie, pytest.approx(r.ema, nan_ok=True)) for r in got] == [(r.ts, r.tie, r.ema) for r in want]
+
+
+def test_without_delay_rows_behind_are_late(spark, tmp_path):
+    got = run(spark, tmp_path, [rows((0, 1, 1), (9, 1, 2)), rows((4, 1, 3), (9, 1, 9), (9, 2, 4))])
+    assert seconds(got, "row") == [0, 9, 9] and seconds(got, "late") == [4, 9]
+    assert all(r.ema is None and r.n_rows is None for r in got if r.kind == "late")
+
+
+def test_disorder_waits_for_the_watermark(spark, tmp_path):
+    batches = [rows((0, 1, 1), (10, 1, 5)), rows((8, 1, 3), (30, 1, 9)), rows((7, 1, 100), (12, 1, 4), (60, 1, 1))]
+    got = run(spark, tmp_path, batches, "11 seconds")
+    # 0 to 10 are released behind 30; 7 comes after 10 was released; 60 waits
+    assert seconds(got, "row") == [0, 8, 10, 12, 30] and seconds(got, "late") == [7]
+    assert [r.ema for r in got if r.kind == "row"][1:3] == pytest.approx([2.0, 2 + 2 / 3 * 3])
+
+
+def test_an_idle_key_releases_its_rows(spark, tmp_path):
+    batches = [rows((0, 1, 1), (1, 1, 2)) + rows((0, 1, 7), k=2), rows((100, 1, 3), k=2)]
+    got = run(spark, tmp_path, batches, "10 seconds")
+    assert seconds(got, "row") == [0, 1] and seconds(got, "row", 2) == [0]
+
+
+def test_heartbeats_and_end_of_life(spark, tmp_path):
+    batches = [rows((1, 1, 200), (12, 1, 3)) + rows((1, 1, 50), k=2), rows((61, 1, 50), k=2), rows((70, 1, 500)) + rows((200, 1, 50), k=2)]
+    kernel = BN.kernel("alerts", "price", 100.0, 5.0)
+    got = run(spark, tmp_path, batches, "1 second", kernel, beat_ms=10_000, ttl_ms=30_000)
+    mine = [(int((r.ts - T0).total_seconds()), r.kind, r.zone, r.n_rows) for r in got if r.k == 1]
+    # beats until 30 s after the last row; then the key is forgotten, and begins anew at 70
+    assert mine == [(1, "row", 1, 1), (10, "beat", 1, 1), (12, "row", -1, 2), (20, "beat", -1, 2), (30, "beat", -1, 2), (40, "beat", -1, 2),
+                    (70, "row", 1, 1), (80, "beat", 1, 1), (90, "beat", 1, 1), (100, "beat", 1, 1)]
+    assert all(r.zone is None for r in got if r.k == 2)
+
+
+def test_heartbeats_need_a_watermark(spark):
+    df = spark.readStream.format("rate").load().selectExpr("value AS k", "timestamp AS ts", "value AS tie", "1D AS price")
+    with pytest.raises(ValueError):
+        KS.keyed_kernel(df, "k", ["ts", "tie"], BN.kernel("ema", "price", 2), beat_ms=5)
+
+
+@pytest.mark.parametrize("name", sorted(BN.INDICATORS))
+def test_named_indicators_together(name):
+    """Run with another indicator, and against numpy over whole frames."""
+    rng = np.random.default_rng(3)
+    close = 100 + rng.normal(size=80).cumsum()
+    high, low = close + rng.random(80), close - rng.random(80)
+    table = {"close": close, "high": high, "low": low}
+    kernel = BN.together({"other": BN.kernel("ema", "low", 5), name: BN.kernel(name)})
+    _, out = walk(kernel, kernel.init(), [table[c].tolist() for c in kernel.inputs])
+    got = np.array([r[1] for _, r in out])
+    alone = BN.kernel(name)
+    _, single = walk(alone, alone.init(), [table[c].tolist() for c in alone.inputs])
+    np.testing.assert_array_equal(got, [r[0] for _, r in single])
+    frames = {
+        "sma": (20, lambda i: close[i - 19 : i + 1].mean()),
+        "zscore": (20, lambda i: (close[i] - close[i - 19 : i + 1].mean()) / close[i - 19 : i + 1].std()),
+        "roc": (11, lambda i: 100 * (close[i] / close[i - 10] - 1)),
+        "slope": (14, lambda i: np.polyfit(np.arange(14), close[i - 13 : i + 1], 1)[0]),
+        "stochastic": (14, lambda i: 100 * (close[i] - low[i - 13 : i + 1].min()) / (high[i - 13 : i + 1].max() - low[i - 13 : i + 1].min())),
+        "wma": (20, lambda i: np.average(close[i - 19 : i + 1], weights=np.arange(1, 21))),
+    }
+    if name in frames:
+        n, value = frames[name]
+        assert np.isnan(got[: n - 1]).all()
+        np.testing.assert_allclose(got[n - 1 :], [value(i) for i in range(n - 1, 80)])
+    if name == "atr":
+        true = [max(high[i] - low[i], abs(high[i] - close[i - 1]), abs(low[i] - close[i - 1])) for i in range(1, 80)]
+        want = [np.mean(true[:14])]
+        for x in true[14:]:
+            want.append((want[-1] * 13 + x) / 14)
+        np.testing.assert_allclose(got[14:], want)
