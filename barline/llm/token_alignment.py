@@ -29,6 +29,8 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +41,13 @@ from pyspark.sql import functions as F
 
 from barline.llm import units
 from barline.llm.common import drop_tables, keep_table, whole
-from barline.llm.vector_packing import byte_bpe
 
 RADIXES = 32
 FAN_IN = 64
 #: A block is full at so many records or documents.
 BLOCK_RECORDS, BLOCK_DOCS = 2_000_000, 50_000
-#: Units of a task's table, and cells of a group's outer product made at a time.
-REMEMBERED, CELLS = 200_000, 1 << 20
+#: Units learnt at a time, and cells of a group's outer product made at a time.
+LEARNT, CELLS = 8192, 1 << 20
 _BITS = 24  # of an id inside a key
 _LOW = (1 << _BITS) - 1
 
@@ -91,29 +92,41 @@ def group_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
     return np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b), len(shared)
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct linked id pairs (A id above B id in one key) and how many links each has.
+def linked_pairs(
+    a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_groups: int, unit: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct linked id pairs of each unit (A id above B id in one key), how many links
+    each has, and its unit; ``unit`` is the unit of each group.
 
     A group's repeated ids are counted before they are paired, and large groups are paired
     in slices, so memory follows the distinct pairs."""
     na, nb = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
-    cells = na * nb
-    small = cells <= 64
+    small = na * nb <= 64
     keep = small[group_a]
     rows, times = np.flatnonzero(keep), nb[group_a[keep]]
     start_b = np.cumsum(nb) - nb
     shift = np.repeat(start_b[group_a[rows]] - (np.cumsum(times) - times), times)
     key = np.repeat(a[rows] << _BITS, times) | b[shift + np.arange(len(shift))]
-    keys, counts = np.unique(key, return_counts=True)
+    of = np.repeat(unit[group_a[rows]], times)
+    order = np.lexsort((key, of))
+    key, of = key[order], of[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(key) else np.empty(0, np.int64)
+    keys, of, counts = key[first], of[first], np.diff(np.r_[first, len(key)])
     start_a = np.cumsum(na) - na
     for g in np.flatnonzero(~small):
+        mine = of == unit[g]
+        some, n = keys[mine], counts[mine]
         ua, ca = np.unique(a[start_a[g] : start_a[g] + na[g]], return_counts=True)
         ub, cb = np.unique(b[start_b[g] : start_b[g] + nb[g]], return_counts=True)
         step = max(1, CELLS // len(ub))
         for at in range(0, len(ua), step):
             more = ((ua[at : at + step] << _BITS)[:, None] | ub).ravel()
-            keys, counts = summed(np.r_[keys, more], np.r_[counts, (ca[at : at + step][:, None] * cb).ravel()])
-    return keys, counts
+            some, n = summed(np.r_[some, more], np.r_[n, (ca[at : at + step][:, None] * cb).ravel()])
+        low = int(np.searchsorted(of, unit[g]))
+        high = low + int(mine.sum())
+        keys, counts = np.r_[keys[:low], some, keys[high:]], np.r_[counts[:low], n, counts[high:]]
+        of = np.r_[of[:low], np.full(len(some), unit[g]), of[high:]]
+    return keys, counts, of
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,13 +139,18 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(values, first)
 
 
+def one_by_one(whole: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """The stretches of an array between bounds."""
+    return (whole[low:high] for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+
+
 class Aligner:
     """Aligned units, remembered: numbers, the group string and the linked pairs of each."""
 
     def __init__(self, vocabulary: str, model: bytes):
         import sentencepiece
 
-        self.a = byte_bpe(vocabulary, specials_are_text=True)
+        self.a = units.byte_bpe(vocabulary, specials_are_text=True)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = self.a.get_vocab_size()
         self.bytes_a = [byte_level(t) if set(t) <= _BYTE_OF.keys() else t.encode() for t in map(self.a.id_to_token, range(size))]
@@ -142,65 +160,59 @@ class Aligner:
         self.bytes_b = [piece_bytes(p) for p in pieces]
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.name_a = [[f"{i}{end}" for i in range(size)] for end in ",|"]
-        self.name_b = [[f"{i}{end}" for i in range(len(pieces))] for end in ",;"]
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.names: list[bytes] = []
-        self.numbers = np.empty((0, 4), np.int64)  # A tokens, B tokens, groups, links
-        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def __call__(self, parts: list[str]) -> np.ndarray | None:
-        """Table rows of units (each stands behind a space), or None if the tokens of one
-        are not its bytes."""
-        new = set(parts).difference(self.known)
-        if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        return None if (at < 0).any() else at
-
-    def _learn(self, found: list[str]) -> None:
-        spaced = [" " + u for u in found]
-        coded_a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        coded_b = [np.array(x, np.int64) for x in self.b.encode(found, num_threads=1)]
-        numbers, keys, counts = [], [], []
-        for u, text, a, b in zip(found, spaced, coded_a, coded_b, strict=True):
-            raw = text.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != raw:
-                self.known[u] = -1
-                continue
-            ga, gb, n = group_cuts(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
-            key, count = linked_pairs(a, b, ga, gb, n)
-            self.known[u] = len(self.names)
-            self.names.append(self._name(a, b, ga, gb))
-            numbers.append((len(a), len(b), n, int(count.sum())))
-            keys.append(key)
-            counts.append(count)
-        if numbers:
-            sizes = np.array([len(k) for k in keys], np.int64)
-            self.starts = np.r_[self.starts, len(self.keys) + np.cumsum(sizes) - sizes]
-            self.sizes = np.r_[self.sizes, sizes]
-            self.numbers = np.r_[self.numbers, np.array(numbers, np.int64)]
-            self.keys, self.counts = np.concatenate((self.keys, *keys)), np.concatenate((self.counts, *counts))
-
-    def _name(self, a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> bytes:
-        """The groups as text, each A side before its B side."""
+        # names of ids with what follows them: A inside, A last, B inside, B last
+        self.names = [f"{i}{end}" for end, n in ((",", size), ("|", size), (",", len(pieces)), (";", len(pieces))) for i in range(n)]
+        self.spaced = units.SpacedUnits(self.a)
+        self.learn = units.Remembered(self._learn)
+
+    def __call__(self, parts: list[str]) -> list:
+        """(numbers, group string, pairs, links) of units, each of which stands behind a
+        space; False where the tokens of a unit are not its bytes."""
+        return self.learn(parts)
+
+    def _learn(self, new: list[str]) -> list:
+        return [x for at in range(0, len(new), LEARNT) for x in self._learn_some(new[at : at + LEARNT])]
+
+    def _learn_some(self, new: list[str]) -> list:
+        coded_a = [np.frombuffer(x, "<u4").tolist() for x in self.spaced(new)]
+        coded_b = self.b.encode(new, num_threads=1)
+        raw = [b" " + u.encode() for u in new]
+        spelt = [[b"".join(map(table.__getitem__, x)) for x in coded] for table, coded in ((self.bytes_a, coded_a), (self.bytes_b, coded_b))]
+        if spelt[0] == raw == spelt[1]:
+            return self._align(coded_a, coded_b)
+        kept = [i for i, x in enumerate(zip(raw, *spelt, strict=True)) if x[0] == x[1] == x[2]]
+        out: list = [False] * len(new)
+        for i, x in zip(kept, self._align([coded_a[i] for i in kept], [coded_b[i] for i in kept]), strict=True):
+            out[i] = x
+        return out
+
+    def _align(self, coded_a: list[list[int]], coded_b: list[list[int]]) -> list[tuple]:
+        """All units at once, as if they were one text: units begin and end with groups."""
+        n = len(coded_a)
+        if not n:
+            return []
+        na, nb = (np.fromiter(map(len, x), np.int64, n) for x in (coded_a, coded_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (coded_a, coded_b))
+        ga, gb, n_groups = group_cuts(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
         last_a, last_b = np.r_[ga[1:] != ga[:-1], True], np.r_[gb[1:] != gb[:-1], True]
-        names = [self.name_a[end][i] for i, end in zip(a.tolist(), last_a.tolist(), strict=True)]
-        names += [self.name_b[end][i] for i, end in zip(b.tolist(), last_b.tolist(), strict=True)]
+        size_a, size_b = len(self.bytes_a), len(self.bytes_b)
+        words = np.r_[a + size_a * last_a, 2 * size_a + b + size_b * last_b]
         order = np.argsort(np.r_[2 * ga, 2 * gb + 1], kind="stable")
-        return "".join([names[i] for i in order.tolist()])[:-1].encode()
+        text = list(map(self.names.__getitem__, words[order].tolist()))
+        ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
+        bounds = np.r_[0, ends_a + ends_b].tolist()
+        first_group = np.r_[0, ga[ends_a - 1] + 1]
+        unit = np.repeat(np.arange(n), np.diff(first_group))
+        keys, counts, of = linked_pairs(a, b, ga, gb, n_groups, unit)
+        at = np.searchsorted(of, np.arange(n + 1))
+        numbers = np.stack((na, nb, np.diff(first_group), np.add.reduceat(np.r_[counts, 0], at[:-1])), axis=1)
+        names = ["".join(text[low:high])[:-1].encode() for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
+        return list(zip((x.tobytes() for x in numbers), names, (x.tobytes() for x in one_by_one(keys, at)), (x.tobytes() for x in one_by_one(counts, at)), strict=True))
 
-    def expand(self, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, pair, links) of table rows; equal rows of a document are taken together."""
-        both, times = np.unique(docs * len(self.names) + at, return_counts=True)
-        docs, at = both // len(self.names), both % len(self.names)
-        n = self.sizes[at]
-        shift = np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.repeat(docs, n), self.keys[shift], self.counts[shift] * np.repeat(times, n)
+
+@lru_cache(1)
+def _aligner(vocabulary: str, model: bytes) -> Aligner:
+    return Aligner(vocabulary, model)
 
 
 class _Block:
@@ -208,15 +220,42 @@ class _Block:
 
     def __init__(self):
         self.ids: list = []
-        self.numbers: list[tuple] = []
-        self.digests: list[str] = []
+        self.numbers = np.zeros((0, 4), np.int64)
+        self.digests: list = []  # hashes, at first
+        self.bad: set[int] = set()
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.records = 0
 
-    def add(self, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        if len(found[0]):
-            self.parts.append(found)
-            self.records += len(found[0])
+    def add(self, group: units.Group, known: list, ids: pa.Array) -> None:
+        """Takes the stretches of a group, of which the first may go on with the last document.
+        A unit whose tokens are not its bytes takes the tokens of its document away."""
+        failed = np.fromiter((x is False for x in known), bool, len(known))
+        known = [(bytes(32), b"", b"", b"") if x is False else x for x in known]
+        owner = len(self.ids) - 1 + np.cumsum(group.begins)
+        self.ids += ids.take(pa.array(np.array(group.rows)[group.begins])).to_pylist()
+        low = group.bounds[:-1]
+        totals = np.add.reduceat(np.frombuffer(b"".join([x[0] for x in known]), np.int64).reshape(-1, 4)[group.at], low)
+        self.numbers = np.r_[self.numbers, np.zeros((len(self.ids) - len(self.numbers), 4), np.int64)]
+        np.add.at(self.numbers, owner, totals)
+        self.bad.update(owner[np.add.reduceat(failed[group.at].astype(np.int64), low) > 0].tolist())
+        texts = list(map([x[1] for x in known].__getitem__, group.at.tolist()))
+        for begins, start, stop in zip(group.begins, low.tolist(), group.bounds[1:].tolist(), strict=True):
+            text = b";".join(texts[start:stop])
+            if begins:
+                self.digests.append(hashlib.sha256(text))
+            else:
+                self.digests[-1].update(b";" + text)
+        # each distinct unit of a document once, with its number there
+        own = np.repeat(owner, np.diff(group.bounds)) * len(known) + group.at
+        own, times = np.unique(own, return_counts=True)
+        doc, at = own // len(known), own % len(known)
+        keys, links = (np.frombuffer(b"".join([x[k] for x in known]), np.int64) for k in (2, 3))
+        sizes = np.fromiter((len(x[2]) // 8 for x in known), np.int64, len(known))
+        n = sizes[at]
+        shift = np.repeat(np.cumsum(sizes)[at] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        if len(shift):
+            self.parts.append((np.repeat(doc, n), keys[shift], links[shift] * np.repeat(times, n)))
+            self.records += len(shift)
 
     def full(self) -> bool:
         return self.records >= BLOCK_RECORDS or len(self.ids) >= BLOCK_DOCS
@@ -224,6 +263,9 @@ class _Block:
     def compact(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Radix, pair, document and links of the distinct (pair, document), side-major."""
         doc, key, links = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.empty(0, np.int64),) * 3
+        if self.bad:
+            good = ~np.isin(doc, list(self.bad))
+            doc, key, links = doc[good], key[good], links[good]
         radix = radix_of(key >> _BITS)
         order = np.lexsort((doc, key, radix))
         radix, doc, key, links = radix[order], doc[order], key[order], links[order]
@@ -242,57 +284,40 @@ _SCHEMA = (
 
 
 def _align(batches: Iterator[pa.RecordBatch], vocabulary: str, model: bytes) -> Iterator[pa.RecordBatch]:
-    aligner, block = Aligner(vocabulary, model), _Block()
+    aligner, block = _aligner(vocabulary, model), _Block()
     next_block = TaskContext.get().partitionId() << 32
     id_kind = None
     for batch in batches:
         id_kind = batch["id"].type
-        for at in range(batch.num_rows):
-            _add_document(aligner, block, batch["id"][at], batch["text"][at].as_py())
-            if block.full():
+        for group in units.batches(batch["text"]):
+            if group.begins[0] and block.full():
                 block.compact()
                 if block.full():
                     yield from _runs(block, next_block, id_kind)
                     block, next_block = _Block(), next_block + 1
+            block.add(group, aligner(group.units), batch["id"])
     if block.ids:
         yield from _runs(block, next_block, id_kind)
 
 
-def _add_document(aligner: Aligner, block: _Block, doc_id: pa.Scalar, text: str) -> None:
-    here, numbers, digest, parts, held = len(block.ids), np.zeros(4, np.int64), hashlib.sha256(), [], 0
-    good = bool(text)
-    for k, stretch in enumerate(units.slices(text) if good else ()):
-        if len(aligner.known) > REMEMBERED:
-            aligner.forget()
-        at = aligner(units.split(stretch))
-        if at is None:
-            good = False
-            break
-        numbers += aligner.numbers[at].sum(axis=0)
-        digest.update((b";" if k else b"") + b";".join(map(aligner.names.__getitem__, at.tolist())))
-        parts.append(aligner.expand(np.full(len(at), here), at))
-    block.ids.append(doc_id)
-    block.numbers.append(tuple(numbers.tolist()) if good else (0, 0, 0, 0))
-    block.digests.append(digest.hexdigest() if good else "")
-    if good:
-        for found in parts:
-            block.add(found)
-
-
 def _runs(block: _Block, name: int, id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     n = len(block.ids)
-    numbers = np.array(block.numbers, np.int64)
+    radix, key, doc, links = block.compact()
+    bad = list(block.bad)
+    block.numbers[bad] = 0
+    digests = [x.hexdigest() for x in block.digests]
+    for i in bad:
+        digests[i] = ""
     no = lambda kind, size: pa.nulls(size, kind)
     names = ["block", "at", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "radix", "head", "body"]
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array(np.full(n, name)), pa.array(np.arange(n), pa.int32()), pa.array([x.as_py() for x in block.ids], id_kind),
-            *[pa.array(numbers[:, k]) for k in range(4)], pa.array(block.digests, pa.string()),
+            pa.array(np.full(n, name)), pa.array(np.arange(n), pa.int32()), pa.array(block.ids, id_kind),
+            *[pa.array(block.numbers[:, k].copy()) for k in range(4)], pa.array(digests, pa.string()),
             no(pa.int32(), n), no(pa.binary(), n), no(pa.binary(), n),
         ],
         names,
     )
-    radix, key, doc, links = block.compact()
     for r in np.unique(radix):
         part = slice(*np.searchsorted(radix, [r, r + 1]))
         pairs, counts = np.unique(key[part], return_counts=True)

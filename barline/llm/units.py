@@ -9,53 +9,183 @@ their ids are kept in a table; what is long, or cannot be cut, is encoded all th
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
-#: Units remembered by one task, and characters from which a unit is not worth it.
-REMEMBERED, LONG_UNIT = 200_000, 80
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Units that a worker remembers, and characters from which a unit is not worth it.
+REMEMBERED, LONG_UNIT = 400_000, 80
 #: Characters of a text that are cut into units at a time.
 SLICE_CHARS = 1 << 20
+#: Characters of texts whose units are looked up together.
+GROUP_CHARS = 1 << 22
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_IRREGULAR = re.compile(r"\s | \s|\A | \Z")
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_IRREGULAR = f"{_SPACE} | {_SPACE}|^ | $"
+
+
+@lru_cache(2)
+def byte_bpe(vocabulary: str, specials_are_text: bool = False):
+    """The tokenizer of a vocabulary's JSON, once for each worker; it encodes in one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_str(vocabulary)
+    out.encode_special_tokens = specials_are_text
+    return out
+
+
+#: Fixed ranges of Latin letters, the same in every version of the character tables.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+"
+_PLAIN = re.compile(f"({_LETTERS})([.,;:!?]*)(?:\n({_LETTERS})([.,;:!?]*))?")
+_HIDDEN = [b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b < 0xAD or 0xAE <= b)]
+_SHOWN = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
+
+
+class SpacedUnits:
+    """Ids of units behind a space, as unsigned 32-bit bytes.
+
+    What the byte-level splitter makes of Latin words with marks behind them is plain: the
+    words, the marks and a line break are tokens' limits. Such words go straight to the
+    merges and are remembered; all other units go through the whole tokenizer."""
+
+    def __init__(self, coder):
+        self.coder = coder
+        self.word = Remembered(self._merge)
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        merge = self.coder.model.tokenize
+        shown = [w.encode().decode("latin-1").translate(_SHOWN) for w in words]
+        return [array("I", [t.id for t in merge(w)]).tobytes() for w in shown]
+
+    def __call__(self, found: list[str]) -> list[bytes]:
+        out: list = [None] * len(found)
+        words, where, rest = [], [], []
+        for i, u in enumerate(found):
+            plain = _PLAIN.fullmatch(u)
+            if plain is None:
+                rest.append(i)
+                continue
+            word, marks, second, more = plain.groups()
+            words += [" " + word, marks] if second is None else [" " + word, marks, "\n", second, more]
+            where.append((i, len(words)))
+        coded, at = self.word(words), 0
+        for i, end in where:
+            out[i] = b"".join(coded[at:end])
+            at = end
+        if rest:
+            for i, e in zip(rest, self.coder.encode_batch_fast([" " + found[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = array("I", e.ids).tobytes()
+        return out
 
 
-def split(text: str) -> list[str]:
+def irregular(texts: pa.Array) -> list[bool]:
+    """Whether a text has a space beside white space or at an end, where it is not cut."""
+    return pc.match_substring_regex(texts, _IRREGULAR).to_pylist()
+
+
+def cut(text: str, irregular: bool = True) -> list[str]:
     """Units without the space in front of all but the first; joined by spaces they are the text."""
-    return text.split(" ") if not _IRREGULAR.search(text) else _CUT.split(text)
+    return _CUT.split(text) if irregular else text.split(" ")
 
 
 def slices(text: str, chars: int = SLICE_CHARS) -> Iterator[str]:
     """The text in stretches of about ``chars`` characters, cut like units."""
     at = 0
     while len(text) - at > chars:
-        cut = _CUT.search(text, at + chars)
-        if cut is None:
+        end = _CUT.search(text, at + chars)
+        if end is None:
             break
-        yield text[at : cut.start()]
-        at = cut.end()
+        yield text[at : end.start()]
+        at = end.end()
     yield text[at:] if at else text
 
 
-class Remembered:
-    """``encode`` of units, a list of strings at a time, with a table of known ones.
+@dataclass
+class Group:
+    """Stretches of texts as units: ``units`` are the distinct ones, ``at`` the place of
+    each occurrence in them, and stretch i has the occurrences ``bounds[i]`` to
+    ``bounds[i + 1]``, belongs to row ``rows[i]`` and begins its text where ``begins[i]``."""
+
+    rows: list[int]
+    begins: list[bool]
+    bounds: np.ndarray
+    units: list[str]
+    at: np.ndarray
+
+
+def batches(texts: pa.Array, chars: int = GROUP_CHARS) -> Iterator[Group]:
+    """Groups of about ``chars`` characters; texts and their stretches follow in order."""
+    odd, sizes = irregular(texts), pc.binary_length(texts).to_pylist()
+    rows: list[int] = []
+    begins: list[bool] = []
+    counts: list[int] = []
+    held: list[pa.Array] = []
 
-    The table starts anew when it is full; units over ``LONG_UNIT`` characters never enter.
-    """
+    def group() -> Group:
+        coded = pa.concat_arrays(held).dictionary_encode()
+        return Group(rows, begins, np.cumsum([0, *counts]), coded.dictionary.to_pylist(), coded.indices.to_numpy())
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+    row = size = 0
+    while row < len(texts):
+        if odd[row] or sizes[row] > SLICE_CHARS:
+            for k, stretch in enumerate(slices(texts[row].as_py())):
+                parts = cut(stretch, odd[row])
+                rows.append(row)
+                begins.append(k == 0)
+                counts.append(len(parts))
+                held.append(pa.array(parts, pa.string()))
+                size += len(stretch)
+                if size >= chars:
+                    yield group()
+                    rows, begins, counts, held, size = [], [], [], [], 0
+            row += 1
+        else:
+            first = row
+            while row < len(texts) and size < chars and not odd[row] and sizes[row] <= SLICE_CHARS:
+                size += sizes[row]
+                row += 1
+            parts = pc.split_pattern(texts.slice(first, row - first), " ")
+            rows += range(first, row)
+            begins += [True] * (row - first)
+            counts += pc.list_value_length(parts).to_pylist()
+            held.append(parts.flatten().cast(pa.string()))
+        if size >= chars:
+            yield group()
+            rows, begins, counts, held, size = [], [], [], [], 0
+    if rows:
+        yield group()
+
+
+class Remembered:
+    """What ``encode`` gives for units, with a table of known ones in two generations: when
+    the young one is full, the old one goes. Units over ``LONG_UNIT`` characters stay out."""
+
+    def __init__(self, encode: Callable[[list[str]], list]):
         self.encode = encode
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, parts: list[str]) -> Iterator[bytes]:
-        new = set(parts).difference(self.known)
-        if not new:
-            return map(self.known.__getitem__, parts)
-        found = sorted(new)
-        if len(self.known) + len(found) > REMEMBERED:
-            self.known.clear()
-            found = sorted(set(parts))
-        fresh = dict(zip(found, self.encode(found), strict=True))
-        self.known.update((u, x) for u, x in fresh.items() if len(u) <= LONG_UNIT)
-        return (fresh[u] if u in fresh else self.known[u] for u in parts)
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def __call__(self, parts: list[str]) -> list:
+        out = list(map(self.young.get, parts))
+        if None not in out:
+            return out
+        missed = [i for i, x in enumerate(out) if x is None]
+        found = {u: self.old.get(u) for u in {parts[i] for i in missed}}
+        new = sorted(u for u, x in found.items() if x is None)
+        if new:
+            found.update(zip(new, self.encode(new), strict=True))
+        for i in missed:
+            out[i] = found[parts[i]]
+        if len(self.young) + len(found) > REMEMBERED // 2:
+            self.young, self.old = {}, self.young
+        self.young.update((u, x) for u, x in found.items() if len(u) <= LONG_UNIT)
+        return out

@@ -21,8 +21,10 @@ the rule and weights that need the fewest sequences are kept.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,44 +52,52 @@ class Capacity:
         return np.array([self.tokens, self.documents, self.attention], np.int64)
 
 
-def byte_bpe(text: str, specials_are_text: bool = False):
-    """The tokenizer of a vocabulary's JSON."""
-    from tokenizers import Tokenizer
-
-    out = Tokenizer.from_str(text)
-    out.encode_special_tokens = specials_are_text
-    return out
+@lru_cache(1)
+def _coders(vocabulary: str) -> tuple[units.Remembered, units.Remembered]:
+    """Ids of first units and of those behind a space, as bytes; kept by the worker."""
+    coder = units.byte_bpe(vocabulary)
+    encode = lambda found: [array("I", e.ids).tobytes() for e in coder.encode_batch_fast(found, add_special_tokens=False)]
+    return units.Remembered(encode), units.Remembered(units.SpacedUnits(coder))
+
+
+def _documents(texts: pa.Array, vocabulary: str, end: int) -> Iterator[tuple[int, bytes]]:
+    """(row, ids with the end as bytes) of each text."""
+    first, later = _coders(vocabulary)
+    last = array("I", [end]).tobytes()
+    row, coded = 0, []
+    for group in units.batches(texts):
+        spaced = later(group.units)
+        heads = iter(first([group.units[i] for i in group.at[group.bounds[:-1][group.begins]].tolist()]))
+        all_ids = list(map(spaced.__getitem__, group.at.tolist()))
+        for here, begins, low, high in zip(group.rows, group.begins, group.bounds[:-1].tolist(), group.bounds[1:].tolist(), strict=True):
+            if here != row:
+                yield row, b"".join([*coded, last])
+                row, coded = here, []
+            if begins:
+                coded.append(next(heads))
+            coded.append(b"".join(all_ids[low + begins : high]))
+    if len(texts):
+        yield row, b"".join([*coded, last])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], vocabulary: str, tokens: int, end: int) -> Iterator[pa.RecordBatch]:
-    coder = byte_bpe(vocabulary)
-    encode = lambda found: [np.array(e.ids, "<u4").tobytes() for e in coder.encode_batch_fast(found, add_special_tokens=False)]
-    first = units.Remembered(encode)
-    later = units.Remembered(lambda found: encode([" " + u for u in found]))
     task = TaskContext.get().partitionId()
     seen = np.zeros(tokens + 1, np.int64)
     for batch in batches:
-        ids, texts = batch["id"], batch["text"]
         rows: list[tuple[int, int, int, bytes]] = []
         held = 0
-        for at in range(batch.num_rows):
-            coded = bytearray()
-            for stretch in units.slices(texts[at].as_py()):
-                parts = units.split(stretch)
-                coded += b"".join((later if coded else first)(parts[:1]))
-                coded += b"".join(later(parts[1:]))
-            coded += np.array([end], "<u4").tobytes()
-            total = len(coded) // 4
+        for at, data in _documents(batch["text"], vocabulary, end):
+            total = len(data) // 4
             head = total % tokens or tokens
             for piece, start in enumerate([0, *range(head, total, tokens)]):
                 stop = head if piece == 0 else start + tokens
-                rows.append((at, piece, start, bytes(coded[4 * start : 4 * stop])))
-            held += len(coded)
-            if held > 1 << 24:
-                yield _pieces(ids, rows, task, seen)
+                rows.append((at, piece, start, data[4 * start : 4 * stop]))
+            held += len(data)
+            if held > 1 << 22:
+                yield _pieces(batch["id"], rows, task, seen)
                 rows, held = [], 0
         if rows:
-            yield _pieces(ids, rows, task, seen)
+            yield _pieces(batch["id"], rows, task, seen)
 
 
 def _pieces(ids: pa.Array, rows: list[tuple], task: int, seen: np.ndarray) -> pa.RecordBatch:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -32,7 +33,7 @@ STRANGE = ["a", "b c", " ", "  ", "\n", "\t", "é", "▁", "😀", "中文", "12
 @given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(STRANGE), max_size=14).map("".join)), st.integers(1, 9))
 def test_units_encode_like_the_whole(text, chars):
     plain, special, pieces = (coder for coder in _coders())
-    parts = units.split(text)
+    parts = units.cut(text, units.irregular(pa.array([text]))[0])
     assert " ".join(parts) == text and " ".join(units.slices(text, chars)) == text
     for coder in (plain, special):
         one_by_one = [i for k, u in enumerate(parts) for i in coder.encode((" " if k else "") + u, add_special_tokens=False).ids]
@@ -111,9 +112,15 @@ def test_alignment_matches_brute_force(frame, coders, nasty, monkeypatch):
 def test_large_groups_are_paired_without_all_cells():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 9, 3000), rng.integers(0, 7, 2000)
-    keys, counts = token_alignment.linked_pairs(a, b, np.zeros(3000, int), np.zeros(2000, int), 1)
-    ca, cb = Counter(a.tolist()), Counter(b.tolist())
-    assert dict(zip(keys.tolist(), counts.tolist())) == {x << 24 | y: ca[x] * cb[y] for x in ca for y in cb}
+    # a large group between small ones of the same unit, and other units around them
+    group_a, group_b = np.r_[0, 0, 1, np.full(2996, 2), 3], np.r_[0, 1, 1, np.full(1996, 2), 3]
+    keys, counts, of = token_alignment.linked_pairs(a, b, group_a, group_b, 4, np.array([0, 1, 1, 2]))
+    want = Counter()
+    for g, unit in enumerate([0, 1, 1, 2]):
+        ca, cb = Counter(a[group_a == g].tolist()), Counter(b[group_b == g].tolist())
+        want.update({(unit, x << 24 | y): ca[x] * cb[y] for x in ca for y in cb})
+    assert dict(zip(zip(of.tolist(), keys.tolist()), counts.tolist())) == want
+    assert sorted(zip(of.tolist(), keys.tolist())) == list(zip(of.tolist(), keys.tolist()))
 
 
 def test_alignment_of_nothing(frame):
