@@ -11,8 +11,11 @@ surrounding white space; those of fewer than ``min_chars`` code points always st
    substrings that could be a segment of a line up to ``max_edits`` shorter
    (multi-match-aware selection).
 3. Under each signature all lines are first checked against the earliest one there, which
-   settles a large group of near copies with one pair each. Only lines still unsettled are
-   paired with the other earlier ones.
+   settles a large group of near copies with one pair each. Lines still unsettled are paired
+   with the other earlier ones while a group is small. What lines of a large group have
+   besides the shared segment is again within ``max_edits`` edits for a near pair, so it is
+   cut into segments in its turn and the group falls apart into groups that share more,
+   again and again until nearly all is shared.
 4. Pairs are verified by a banded bit-parallel edit distance, as a fold over the
    characters with bit operations on longs, after a cheap count of segments in place.
 
@@ -33,6 +36,8 @@ from barline.llm.common import drop_tables, keep_table, whole
 MAX_EDITS = 1
 MIN_CHARS = 20
 IDENT = ["at", "pos", "k1"]
+#: Groups of up to so many lines are paired; larger ones are cut by what else they share.
+GROUP_LINES, LEVELS = 64, 8
 
 
 def _segment(length: Column, i: int, n: int) -> tuple[Column, Column]:
@@ -42,26 +47,31 @@ def _segment(length: Column, i: int, n: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), F.lit(i) - short), base + (F.lit(i) >= short).cast("int")
 
 
-def signatures(line: Column, length: Column, max_edits: int) -> tuple[list[Column], list[Column]]:
-    """Hashes to file a line under, and further ones to look under; null where out of range.
+def _shared_at(line: Column, length: Column, gap: int, max_edits: int) -> list[tuple[int, Column]]:
+    """(shift, signature) for each place at which a line may have a segment of a line
+    ``gap`` characters shorter; a signature tells also where the segment lies here."""
+    n = max_edits + 1
+    out = []
+    for i in range(n):
+        start, size = _segment(length - gap, i, n)
+        low, high = max(-i, gap - (max_edits - i)), min(i, gap + (max_edits - i))
+        for shift in range(low, high + 1):
+            at = start + shift
+            sig = F.struct(F.xxhash64(length - gap, F.lit(i), line.substr(at + 1, size)).alias("sig"), at.cast("int").alias("start"), size.cast("int").alias("size"))
+            out.append((shift, F.when((at >= 0) & (at + size <= length), sig)))
+    return out
+
+
+def signatures(line: Column, length: Column, max_edits: int) -> tuple[list[Column], list[tuple[int, Column]]]:
+    """Signatures to file a line under, and (gap, signature) of further ones to look under;
+    null where out of range.
 
     Filing at the line's own length is also its look-up among lines of that length at
     shift 0, so that one is not repeated."""
-    n = max_edits + 1
-    sig = lambda l, i, start, size: F.xxhash64(l, F.lit(i), line.substr(start + 1, size))
-    filed = [sig(length, i, *_segment(length, i, n)) for i in range(n)]
-    looked = []
-    for gap in range(n):
-        other = length - gap
-        for i in range(n):
-            start, size = _segment(other, i, n)
-            low, high = max(-i, gap - (max_edits - i)), min(i, gap + (max_edits - i))
-            for shift in range(low, high + 1):
-                if gap == 0 and shift == 0:
-                    continue
-                at = start + shift
-                looked.append(F.when((at >= 0) & (at + size <= length), sig(other, i, at, size)))
-    return filed, looked
+    own = _shared_at(line, length, 0, max_edits)
+    looked = [(0, sig) for shift, sig in own if shift]
+    looked += [(gap, sig) for gap in range(1, max_edits + 1) for _, sig in _shared_at(line, length, gap, max_edits)]
+    return [sig for shift, sig in own if not shift], looked
 
 
 def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
@@ -153,6 +163,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
     return rows.filter(near).select(*IDENT).distinct()
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Rows whose signature others share and somebody is filed under, with the earliest line
+    (``leader``) and the size of the group."""
+    shared = rows.groupBy("sig").agg(
+        F.min(F.struct(*IDENT)).alias("leader"), F.count(F.lit(1)).alias("group_size"), F.bool_or("filed").alias("any_filed")
+    ).filter("group_size > 1 AND any_filed")
+    return rows.join(shared.select("sig", "leader", "group_size"), "sig")
+
+
+def _cut_further(members: DataFrame, max_edits: int) -> DataFrame:
+    """Members of large groups, grouped by the segment shared so far and one of the rest."""
+    rest = F.concat(F.substring("line", F.lit(1), F.col("start")), F.col("line").substr(F.col("start") + F.col("size") + 1, F.length("line")))
+    rows = members.select(*IDENT, "sig", "start", "size", "gap", "filed", "line").withColumn("line", rest)
+    rows = rows.withColumn("length", F.length("line"))
+    found = []
+    for gap in range(max_edits + 1):
+        for shift, sig in _shared_at(F.col("line"), F.col("length"), gap, max_edits):
+            found.append(F.when(F.col("gap") == gap, F.struct(sig.alias("s"), (F.col("filed") & F.lit(gap == 0 and shift == 0)).alias("filed"))))
+    rows = rows.select(*IDENT, F.col("sig").alias("above"), "gap", "line", F.explode(F.array(*found)).alias("e"))
+    rows = rows.filter("e.s IS NOT NULL").select(
+        *IDENT, F.xxhash64("above", "e.s.sig").alias("sig"), "e.s.start", "e.s.size", "gap", "e.filed", "line")
+    return _grouped(rows)
+
+
+def _later_lines(members: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
+    """Identities of the lines near to an earlier one; drops both tables."""
+    me = F.struct(*IDENT)
+    settled, kept, level = None, [members, texts], 1
+    while True:
+        to_leader = members.filter(me > F.col("leader"))
+        to_leader = to_leader if settled is None else to_leader.join(settled, IDENT, "left_anti")
+        to_leader = to_leader.select(*[F.col(f"leader.{c}").alias(f"x_{c}") for c in IDENT], *IDENT).distinct()
+        found = _verified(to_leader, texts, max_edits)
+        settled = keep_table(found if settled is None else settled.unionByName(found).distinct(), "settled")
+        kept.append(settled)
+
+        paired = members if level == LEVELS else members.filter(F.col("group_size") <= GROUP_LINES)
+        open_ = paired.join(settled, IDENT, "left_anti").filter(me > F.col("leader"))
+        others = paired.filter(me > F.col("leader")).select("sig", F.col("filed").alias("x_filed"), *[F.col(c).alias(f"x_{c}") for c in IDENT])
+        earlier = F.struct(*[f"x_{c}" for c in IDENT]) < me
+        rest = open_.join(others, "sig").filter(earlier & (F.col("filed") | F.col("x_filed")))
+        rest = rest.select(*[f"x_{c}" for c in IDENT], *IDENT).distinct()
+        settled = keep_table(settled.unionByName(_verified(rest, texts, max_edits)).distinct(), "settled")
+        kept.append(settled)
+
+        large = members.filter(F.col("group_size") > GROUP_LINES)
+        if level == LEVELS or not large.join(settled, IDENT, "left_anti").take(1):
+            drop_tables(*kept[:-1])
+            return settled
+        if level == 1:
+            large = large.join(texts, IDENT)
+        members = keep_table(_cut_further(large, max_edits), "members")
+        kept.append(members)
+        level += 1
+
+
 def removed_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS
 ) -> DataFrame:
@@ -161,40 +227,20 @@ def removed_lines(
         raise ValueError("lines must be longer than the number of segments")
     occ = _occurrences(docs, id_col, text_col, min_chars)
     filed, looked = signatures(F.col("line"), F.col("length"), max_edits)
-    first = F.struct("at", "pos", *[s.alias(f"f{i}") for i, s in enumerate(filed)], *[s.alias(f"l{i}") for i, s in enumerate(looked)])
+    first = F.struct("at", "pos", *[s.alias(f"f{i}") for i, s in enumerate(filed)], *[s.alias(f"l{i}") for i, (_, s) in enumerate(looked)])
     lines = occ.groupBy("k1", "k2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
     lines = keep_table(lines.select("k1", "k2", "n", "first.*"), "lines")
 
-    rows = lines.select(
-        *IDENT,
-        F.explode(F.array(
-            *[F.struct(F.col(f"f{i}").alias("sig"), F.lit(True).alias("filed")) for i in range(len(filed))],
-            *[F.struct(F.col(f"l{i}").alias("sig"), F.lit(False).alias("filed")) for i in range(len(looked))],
-        )).alias("s"),
-    ).select(*IDENT, "s.sig", "s.filed").filter("sig IS NOT NULL")
-    shared = rows.groupBy("sig").agg(
-        F.min(F.struct(*IDENT)).alias("leader"), F.count(F.lit(1)).alias("n"), F.bool_or("filed").alias("any_filed")
-    ).filter("n > 1 AND any_filed")
-    members = keep_table(rows.join(shared.select("sig", "leader"), "sig"), "members")
+    entry = lambda c, gap, is_filed: F.struct(F.col(c).alias("s"), F.lit(gap).alias("gap"), F.lit(is_filed).alias("filed"))
+    entries = [entry(f"f{i}", 0, True) for i in range(len(filed))] + [entry(f"l{i}", gap, False) for i, (gap, _) in enumerate(looked)]
+    rows = lines.select(*IDENT, F.explode(F.array(*entries)).alias("e")).select(*IDENT, "e.s.*", "e.gap", "e.filed")
+    members = keep_table(_grouped(rows.filter("sig IS NOT NULL")), "members")
 
     # texts of the lines that share a signature, found where they lie
     wanted = members.select(*IDENT).distinct()
     near = with_test(occ.select(*IDENT, "line"), IDENT, filter_of(wanted, IDENT), "hit").filter("hit")
     texts = keep_table(near.join(wanted, IDENT, "left_semi").dropDuplicates(IDENT).select(*IDENT, "line"), "texts")
-
-    me = F.struct(*IDENT)
-    to_leader = members.filter(me > F.col("leader")).select(*[F.col(f"leader.{c}").alias(f"x_{c}") for c in IDENT], *IDENT).distinct()
-    settled = keep_table(_verified(to_leader, texts, max_edits), "settled")
-
-    open_ = members.join(settled, IDENT, "left_anti").filter(me > F.col("leader"))
-    others = members.filter(me > F.col("leader")).select(
-        "sig", F.col("filed").alias("x_filed"), *[F.col(c).alias(f"x_{c}") for c in IDENT]
-    )
-    earlier = F.struct(*[f"x_{c}" for c in IDENT]) < me
-    rest = open_.join(others, "sig").filter(earlier & (F.col("filed") | F.col("x_filed")))
-    rest = rest.select(*[f"x_{c}" for c in IDENT], *IDENT).distinct()
-    later = keep_table(settled.unionByName(_verified(rest, texts, max_edits)).distinct(), "later")
-    drop_tables(members, texts, settled)
+    later = _later_lines(members, texts, max_edits)
 
     gone = later.select(*IDENT, F.lit(True).alias("near"))
     affected = lines.join(gone, IDENT, "left").filter("near OR n > 1").select(

@@ -63,7 +63,7 @@ class SpacedUnits:
 
     def _merge(self, words: list[str]) -> list[bytes]:
         merge = self.coder.model.tokenize
-        shown = [w.encode().decode("latin-1").translate(_SHOWN) for w in words]
+        shown = [w.replace(" ", _SHOWN[0x20]) if w.isascii() and w != "\n" else w.encode().decode("latin-1").translate(_SHOWN) for w in words]
         return [array("I", [t.id for t in merge(w)]).tobytes() for w in shown]
 
     def __call__(self, found: list[str]) -> list[bytes]:
@@ -180,7 +180,7 @@ class Remembered:
             return out
         missed = [i for i, x in enumerate(out) if x is None]
         found = {u: self.old.get(u) for u in {parts[i] for i in missed}}
-        new = sorted(u for u, x in found.items() if x is None)
+        new = [u for u, x in found.items() if x is None]
         if new:
             found.update(zip(new, self.encode(new), strict=True))
         for i in missed:

@@ -112,3 +112,31 @@ def test_lines_edge_tables(frame):
     got = sorted((str(r.doc_id), r.n_exact, r.text) for r in line_dedup.dedup_lines(docs).collect())
     assert got == [("5", 1, ""), ("5", 1, ""), ("7", 2, ""), ("None", 0, line)]
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("max_edits", [1, 2])
+def test_large_groups_that_share_a_segment_fall_apart(spark, monkeypatch, max_edits):
+    """Many lines with one half, three quarters or all but a number in common."""
+    monkeypatch.setattr(line_dedup, "GROUP_LINES", 3)
+    rng = random.Random(max_edits)
+    half, most = "the same first half of a line, ", "nearly all of this line is always as it was: "
+    lines = [half + "".join(rng.choice("abcdefgh ") for _ in range(30)) for _ in range(40)]
+    lines += [most + f"{rng.randrange(10**5):05d}" for _ in range(40)] + [f"{rng.randrange(100)} " + most for _ in range(20)]
+    for line in rng.sample(lines, 50):
+        at = rng.randrange(len(line))
+        lines.append(line[:at] + rng.choice(["", "xy", "x", "x" + line[at]]) + line[at + 1 :])
+    lines = list(dict.fromkeys(x.strip() for x in lines))
+    rng.shuffle(lines)
+    docs = [(i, x) for i, x in enumerate(lines)]
+    want = {i for i, x in docs if any(abs(len(x) - len(y)) <= max_edits and edit_distance(x, y) <= max_edits for y in lines[:i])}
+    got = line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), max_edits=max_edits)
+    assert {r["at"] for r in got.collect()} == want and len(want) > 30
