@@ -11,6 +11,7 @@ from barline.operators import kernel_ops as KO
 from barline.operators import windows as W
 from barline.operators.events import swing_table
 from barline.operators.joins import panel
+from barline.plans import orderstats as O
 from barline.plans import scan as S
 from barline.plans.series import Series
 
@@ -112,14 +113,29 @@ def w07(spark, sf):
 @query("w08_rolling_quantile", "series_id:s ts:t med:f p90:f",
        sqlw("SELECT series_id, ts, CASE WHEN count(*) OVER w = 15 THEN quantile_cont(close, 0.5) OVER w END AS med, CASE WHEN count(*) OVER w = 15 THEN quantile_cont(close, 0.9) OVER w END AS p90 FROM bars WINDOW w AS $W", 15))
 def w08(spark, sf):
-    return hourly_series(spark, sf).columns(lambda fr: {"med": W.percentile(fr, C(), 15, 0.5), "p90": W.percentile(fr, C(), 15, 0.9)}, back_rows=15)
+    stats = {"med": O.OrderStat("quantile", "close", 15), "p90": O.OrderStat("quantile", "close", 15, 0.9)}
+    return hourly_series(spark, sf).map(lambda d, fr: O.order_statistics(d, fr, stats), back_rows=15)
+
+
+@query("w08_tick_order_statistics", "series_id:s tie:i med:f p90:f pr:f z:f",
+       with_sql(TICKS_SQL, """r AS (SELECT event_type AS series_id, tie, ts, price, row_number() OVER w AS rn, quantile_cont(price, 0.5) OVER w60 AS med, quantile_cont(price, 0.9) OVER w60 AS p90
+         FROM ticks WINDOW w AS (PARTITION BY event_type ORDER BY ts, tie), w60 AS (PARTITION BY event_type ORDER BY ts, tie ROWS 59 PRECEDING))""",
+         """f AS (SELECT t.series_id, t.tie, any_value(t.med) AS med, any_value(t.p90) AS p90, any_value(t.price) AS price, any_value(t.rn) AS rn,
+         count(*) FILTER (WHERE i.price < t.price) AS below, count(*) FILTER (WHERE i.price = t.price) AS same, quantile_cont(abs(i.price - t.med), 0.5) AS mad
+         FROM r t JOIN r i ON t.series_id = i.series_id AND i.rn BETWEEN t.rn - 59 AND t.rn GROUP BY 1, 2)""",
+         body="""SELECT series_id, tie, CASE WHEN rn >= 60 THEN med END AS med, CASE WHEN rn >= 60 THEN p90 END AS p90, CASE WHEN rn >= 60 THEN (below + (same + 1) / 2.0) / 60 END AS pr,
+         CASE WHEN rn >= 60 AND mad > 0 THEN (price - med) / (1.4826 * mad) END AS z FROM f"""))
+def w08t(spark, sf):
+    stats = {"med": O.OrderStat("quantile", "price", 60), "p90": O.OrderStat("quantile", "price", 60, 0.9), "pr": O.OrderStat("rank", "price", 60)}
+    s = Series(ticks(spark, sf, "event_type"), "series_id", ["ts", "tie"])
+    return s.map(lambda d, fr: O.robust_zscores(O.order_statistics(d, fr, stats), fr, {"z": "price"}, 60), back_rows=60)
 
 
 @query("w09_percent_rank", "series_id:s ts:t pr:f",
        with_sql(HOURLY_SQL, body="""SELECT t.series_id, t.ts, CASE WHEN t.rn >= 20 THEN (count(*) FILTER (WHERE i.close < t.close) + (count(*) FILTER (WHERE i.close = t.close) + 1) / 2.0) / 20 END AS pr
          FROM bars t JOIN bars i ON t.series_id = i.series_id AND i.rn BETWEEN t.rn - 19 AND t.rn GROUP BY 1, 2, t.rn"""))
 def w09(spark, sf):
-    return hourly_series(spark, sf).columns(lambda fr: {"pr": W.percent_rank(fr, C(), 20)}, back_rows=20)
+    return hourly_series(spark, sf).map(lambda d, fr: O.order_statistics(d, fr, {"pr": O.OrderStat("rank", "close", 20)}), back_rows=20)
 
 
 @query("w10_zscore", "series_id:s ts:t z0:f z1:f",
@@ -133,7 +149,7 @@ def w10(spark, sf):
        body="""SELECT t.series_id, t.ts, CASE WHEN t.rn >= 25 AND quantile_cont(abs(i.close - t.med), 0.5) > 0 THEN (t.close - t.med) / (1.4826 * quantile_cont(abs(i.close - t.med), 0.5)) END AS z
          FROM m t JOIN bars i ON t.series_id = i.series_id AND i.rn BETWEEN t.rn - 24 AND t.rn GROUP BY 1, 2, t.rn, t.close, t.med"""))
 def w11(spark, sf):
-    return hourly_series(spark, sf).columns(lambda fr: {"z": W.mad_zscore(fr, "close", 25)}, back_rows=25)
+    return hourly_series(spark, sf).map(lambda d, fr: O.robust_zscores(d, fr, {"z": "close"}, 25), back_rows=25)
 
 
 @query("w12_regression", "series_id:s ts:t slope:f forecast:f",

@@ -13,6 +13,7 @@ from barline.operators import kernels as K
 from barline.operators import windows as W
 from barline.operators.asof import asof
 from barline.operators.indicators.special import swings
+from barline.plans.orderstats import robust_zscores
 from barline.plans.sequential import run_kernel
 from barline.plans.series import Frame, Series, as_list
 
@@ -197,8 +198,8 @@ def velocity_shock(series: Series, w: int, n: int, threshold: float, after: int,
 
     def stage(d: DataFrame, fr: Frame) -> DataFrame:
         d = d.withColumn("velocity", W.diff(fr, F.col(price), w))
-        d = d.withColumn("vz", W.mad_zscore(fr, "velocity", n))
         d = d.withColumn("follow_up", F.lead(price, after).over(fr.w()) - F.col(price))
+        d = robust_zscores(d, fr, {"vz": "velocity"}, n)
         return d.withColumn("shock", F.when(F.abs("vz") > threshold, F.signum("vz")).otherwise(F.when(F.col("vz").isNotNull(), 0)))
 
     return series.map(stage, back_rows=w + n + 1, fwd_rows=after)

@@ -20,6 +20,7 @@ from barline.operators.indicators.frames import c, h, hh, l, ll, o, ready, v
 from barline.operators.indicators.levels import LIMIT_ATR, add_limited_index
 from barline.operators.indicators.scans import wrows
 from barline.operators.kernel_ops import asi_consensus
+from barline.plans.orderstats import OrderStat, order_statistics
 from barline.plans.scan import ema_rows, emas
 from barline.plans.sequential import run_kernel
 from barline.plans.series import Frame, Series
@@ -188,14 +189,16 @@ def causal_features(series: Series, median_rows: int = 2016, consensus_steps: tu
         })
         d = d.withColumn("__slope", F.abs(F.col("__e24") - F.lag("__e24", 12).over(fr.w())) / 12.0)
         w = fr.last_n(median_rows)
-        smed, amed = F.percentile("__slope", F.lit(0.5)).over(w), F.percentile("__atr", F.lit(0.5)).over(w)
-        enough = F.count("__slope").over(w) >= 50
-        d = d.select("*", F.when(enough, (F.col("__slope") > smed).cast("int")).alias("trending"), F.when(enough, (F.col("__atr") > amed).cast("int")).alias("high_vol"),
-                     F.when(enough & (amed > 1e-12), F.col("__atr") / amed).alias("vol_regime"))
+        d = d.withColumn("__enough", F.count("__slope").over(w) >= 50)
         # every 12th bar completes a coarse bar: its close against the one three coarse bars before
         coarse = F.when((F.col("__rn") % 12 == 0) & (F.col("__rn") >= 48), (c() - F.lag("close", 36).over(fr.w())) / 3.0 * F.try_divide(F.lit(1e4), c()))
         d = d.withColumn("__h1", squashed(coarse, 20.0))
         d = d.withColumn("h1_slope", F.last("__h1", ignorenulls=True).over(fr.last_n(12)))
+        d = d.drop(*[x for x in d.columns if x.startswith("__") and x not in keep and x not in ("__blk", "__own", "__atr10", "__atr", "__slope", "__enough")])
+        d = order_statistics(d, fr, {f"{x}_mid": OrderStat("quantile", x, median_rows, partial=True) for x in ("__slope", "__atr")})
+        enough, smed, amed = F.col("__enough"), F.col("__slope_mid"), F.col("__atr_mid")
+        d = d.select("*", F.when(enough, (F.col("__slope") > smed).cast("int")).alias("trending"), F.when(enough, (F.col("__atr") > amed).cast("int")).alias("high_vol"),
+                     F.when(enough & (amed > 1e-12), F.col("__atr") / amed).alias("vol_regime"))
         return d.drop(*[x for x in d.columns if x.startswith("__") and x not in keep and x not in ("__blk", "__own", "__atr10")])
 
     need = median_rows + ema_rows(26) + wrows(14) * 2 + 250

@@ -12,6 +12,7 @@ from barline.functions.shape import true_range
 from barline.operators import windows as W
 from barline.operators.indicators.frames import c, divergence_of, h, hh, l, ll, ready, v
 from barline.operators.indicators.registry import indicator
+from barline.plans.orderstats import OrderStat, order_statistics
 from barline.plans.scan import affine, ema_first, ema_rows, ema_seeded, lookback, wilder
 from barline.plans.series import Frame
 
@@ -97,11 +98,11 @@ def _hidden_adx(d, fr, n):
 @indicator(lambda n=14, window=200: wrows(n) + window)
 def vol_regime(d, fr, n=14, window=200):
     d = add_atr(d, fr, "__atr", n).withColumn("__pct", F.when(c() > 0, F.col("__atr") / c() * 100.0))
-    w = fr.last_n(window)
-    lo, hi = F.percentile("__pct", F.lit(0.33)).over(w), F.percentile("__pct", F.lit(0.67)).over(w)
-    val = F.when(F.col("__pct") < lo, -1).when(F.col("__pct") > hi, 1).otherwise(0)
-    ok = (F.count("__pct").over(w) >= 20) & F.col("__pct").isNotNull()
-    return d.withColumn("vol_regime", F.when(ok, val)).drop("__atr", "__pct")
+    d = d.withColumn("__seen", F.count("__pct").over(fr.last_n(window)))
+    d = order_statistics(d, fr, {f"__q{p}": OrderStat("quantile", "__pct", window, p / 100, partial=True) for p in (33, 67)})
+    val = F.when(F.col("__pct") < F.col("__q33"), -1).when(F.col("__pct") > F.col("__q67"), 1).otherwise(0)
+    ok = (F.col("__seen") >= 20) & F.col("__pct").isNotNull()
+    return d.withColumn("vol_regime", F.when(ok, val)).drop("__atr", "__pct", "__seen", "__q33", "__q67")
 
 
 @indicator(lambda n=14, k=3.0: wrows(n))

@@ -15,6 +15,7 @@ from barline.functions.clock import HOUR_US, shift
 from barline.operators import windows as W
 from barline.operators.asof import asof
 from barline.operators.joins import backward_path, path
+from barline.plans.orderstats import robust_zscores
 from barline.plans.series import Frame, Series, as_list
 
 
@@ -167,7 +168,7 @@ def coactivation(series: Series, price: str, levels: Sequence[int], n: int, thre
 
     def stage(d: DataFrame, fr: Frame) -> DataFrame:
         d = d.select("*", *[F.abs(W.haar(fr, F.col(price), k)).alias(f"__h{k}") for k in levels])
-        d = d.select("*", *[W.mad_zscore(fr, f"__h{k}", n).alias(f"__z{k}") for k in levels])
+        d = robust_zscores(d, fr, {f"__z{k}": f"__h{k}" for k in levels}, n)
         count = sum((F.coalesce((F.col(f"__z{k}") > threshold).cast("int"), F.lit(0)) for k in levels), F.lit(0))
         return d.withColumn("n_active", count).drop(*[f"__h{k}" for k in levels], *[f"__z{k}" for k in levels])
 

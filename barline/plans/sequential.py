@@ -147,7 +147,7 @@ def measure(kernel: SequentialKernel, parts: Sequence[str]):
     return apply
 
 
-def _sorted_runs(df: DataFrame, parts: Sequence[str], order: Sequence[str]) -> DataFrame:
+def sorted_runs(df: DataFrame, parts: Sequence[str], order: Sequence[str]) -> DataFrame:
     cols = [F.col(p) for p in parts]
     clustered = df.repartition(*cols) if cols else df.repartition(1)
     return clustered.sortWithinPartitions(*cols, *[F.col(o) for o in order])
@@ -167,7 +167,7 @@ def run_kernel(series: Series, kernel: SequentialKernel, halo_rows: int = HALO_R
     slim = series.with_df(series.df.select(*slim_cols))
     if not split:
         parts = list(series.key)
-        return _sorted_runs(slim.df, parts, order).mapInPandas(runs(kernel, parts, keep, names, None), schema)
+        return sorted_runs(slim.df, parts, order).mapInPandas(runs(kernel, parts, keep, names, None), schema)
 
     df, fr = slim.blocks(back_rows=min(halo_rows, series.block_rows))
     parts, key_cols = list(fr.parts), list(series.key)
@@ -179,7 +179,7 @@ def run_kernel(series: Series, kernel: SequentialKernel, halo_rows: int = HALO_R
     )
     spark = series.df.sparkSession
     base = shared_dir(spark, f"kernel-{uuid.uuid4().hex}")
-    _sorted_runs(df, parts, order).mapInPandas(measure(kernel, parts), state_schema).write.parquet(f"{base}/0")
+    sorted_runs(df, parts, order).mapInPandas(measure(kernel, parts), state_schema).write.parquet(f"{base}/0")
     states = spark.read.parquet(f"{base}/0")
     agrees = F.udf(lambda a, b: b is None or (a is not None and same_state(a, b)), "boolean")
     by_key = Window.partitionBy(*[F.col(k) for k in key_cols]) if key_cols else Window.partitionBy(F.lit(0))
@@ -190,10 +190,10 @@ def run_kernel(series: Series, kernel: SequentialKernel, halo_rows: int = HALO_R
         if not wrong.take(1):
             break
         rnd += 1
-        again = _sorted_runs(df.join(wrong, parts), parts, order).mapInPandas(measure(kernel, parts), state_schema)
+        again = sorted_runs(df.join(wrong, parts), parts, order).mapInPandas(measure(kernel, parts), state_schema)
         kept = states.join(wrong.select(*parts), parts, "left_anti")
         kept.unionByName(again).write.parquet(f"{base}/{rnd}")
         states = spark.read.parquet(f"{base}/{rnd}")
     start = states.select(*parts, F.col("__entry").alias("__given"))
     own = df.filter(F.col("__own")).join(start, parts)
-    return _sorted_runs(own, parts, order).mapInPandas(runs(kernel, parts, keep, names, "__given"), schema)
+    return sorted_runs(own, parts, order).mapInPandas(runs(kernel, parts, keep, names, "__given"), schema)
