@@ -68,15 +68,25 @@ class SpacedUnits:
 
     def __call__(self, found: list[str]) -> list[bytes]:
         out: list = [None] * len(found)
-        words, where, rest = [], [], []
+        alone, words, where, rest = [], [], [], []
+        match = _PLAIN.fullmatch
         for i, u in enumerate(found):
-            plain = _PLAIN.fullmatch(u)
+            if u.isascii() and u.isalpha():
+                alone.append(i)
+                continue
+            plain = match(u)
             if plain is None:
                 rest.append(i)
                 continue
             word, marks, second, more = plain.groups()
-            words += [" " + word, marks] if second is None else [" " + word, marks, "\n", second, more]
+            words += (" " + word, marks) if second is None else (" " + word, marks, "\n", second, more)
             where.append((i, len(words)))
+        if alone:  # seldom known with marks behind, so not looked up, but remembered
+            spaced = [" " + found[i] for i in alone]
+            coded = self._merge(spaced)
+            self.word.put(dict(zip(spaced, coded, strict=True)))
+            for i, x in zip(alone, coded, strict=True):
+                out[i] = x
         coded, at = self.word(words), 0
         for i, end in where:
             out[i] = b"".join(coded[at:end])
@@ -174,18 +184,24 @@ class Remembered:
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
+    def put(self, found: dict[str, object]) -> None:
+        if len(self.young) + len(found) > REMEMBERED // 2:
+            self.young, self.old = {}, self.young
+        self.young.update(found if max(map(len, found)) <= LONG_UNIT else {u: x for u, x in found.items() if len(u) <= LONG_UNIT})
+
     def __call__(self, parts: list[str]) -> list:
         out = list(map(self.young.get, parts))
-        if None not in out:
-            return out
         missed = [i for i, x in enumerate(out) if x is None]
-        found = {u: self.old.get(u) for u in {parts[i] for i in missed}}
+        if not missed:
+            return out
+        found = dict.fromkeys([parts[i] for i in missed])
+        known = self.old.get
+        for u in found:
+            found[u] = known(u)
         new = [u for u, x in found.items() if x is None]
         if new:
             found.update(zip(new, self.encode(new), strict=True))
         for i in missed:
             out[i] = found[parts[i]]
-        if len(self.young) + len(found) > REMEMBERED // 2:
-            self.young, self.old = {}, self.young
-        self.young.update((u, x) for u, x in found.items() if len(u) <= LONG_UNIT)
+        self.put(found)
         return out
