@@ -45,7 +45,7 @@ from barline.llm.common import drop_tables, keep_table, whole
 RADIXES = 32
 FAN_IN = 64
 #: A block is full at so many records or documents.
-BLOCK_RECORDS, BLOCK_DOCS = 2_000_000, 50_000
+BLOCK_RECORDS, BLOCK_DOCS = 1_000_000, 50_000
 #: Units learnt at a time, and cells of a group's outer product made at a time.
 LEARNT, CELLS = 8192, 1 << 20
 _BITS = 24  # of an id inside a key

@@ -21,11 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units that a worker remembers, and characters from which a unit is not worth it.
-REMEMBERED, LONG_UNIT = 400_000, 80
+REMEMBERED, LONG_UNIT = 300_000, 80
 #: Characters of a text that are cut into units at a time.
 SLICE_CHARS = 1 << 20
 #: Characters of texts whose units are looked up together.
-GROUP_CHARS = 1 << 22
+GROUP_CHARS = 1 << 21
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
