@@ -162,7 +162,7 @@ class Aligner:
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         # names of ids with what follows them: A inside, A last, B inside, B last
         self.names = [f"{i}{end}" for end, n in ((",", size), ("|", size), (",", len(pieces)), (";", len(pieces))) for i in range(n)]
-        self.spaced = units.SpacedUnits(self.a)
+        self.spaced = units.UnitIds(self.a)
         self.learn = units.Remembered(self._learn)
 
     def __call__(self, parts: list[str]) -> list:
@@ -226,7 +226,7 @@ class _Block:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.records = 0
 
-    def add(self, group: units.Group, known: list, ids: pa.Array) -> None:
+    def add(self, group: units.Group, place: np.ndarray, known: list, ids: pa.Array) -> None:
         """Takes the stretches of a group, of which the first may go on with the last document.
         A unit whose tokens are not its bytes takes the tokens of its document away."""
         failed = np.fromiter((x is False for x in known), bool, len(known))
@@ -234,11 +234,11 @@ class _Block:
         owner = len(self.ids) - 1 + np.cumsum(group.begins)
         self.ids += ids.take(pa.array(np.array(group.rows)[group.begins])).to_pylist()
         low = group.bounds[:-1]
-        totals = np.add.reduceat(np.frombuffer(b"".join([x[0] for x in known]), np.int64).reshape(-1, 4)[group.at], low)
+        totals = np.add.reduceat(np.frombuffer(b"".join([x[0] for x in known]), np.int64).reshape(-1, 4)[place], low)
         self.numbers = np.r_[self.numbers, np.zeros((len(self.ids) - len(self.numbers), 4), np.int64)]
         np.add.at(self.numbers, owner, totals)
-        self.bad.update(owner[np.add.reduceat(failed[group.at].astype(np.int64), low) > 0].tolist())
-        texts = list(map([x[1] for x in known].__getitem__, group.at.tolist()))
+        self.bad.update(owner[np.add.reduceat(failed[place].astype(np.int64), low) > 0].tolist())
+        texts = list(map([x[1] for x in known].__getitem__, place.tolist()))
         for begins, start, stop in zip(group.begins, low.tolist(), group.bounds[1:].tolist(), strict=True):
             text = b";".join(texts[start:stop])
             if begins:
@@ -246,7 +246,7 @@ class _Block:
             else:
                 self.digests[-1].update(b";" + text)
         # each distinct unit of a document once, with its number there
-        own = np.repeat(owner, np.diff(group.bounds)) * len(known) + group.at
+        own = np.repeat(owner, np.diff(group.bounds)) * len(known) + place
         own, times = np.unique(own, return_counts=True)
         doc, at = own // len(known), own % len(known)
         keys, links = (np.frombuffer(b"".join([x[k] for x in known]), np.int64) for k in (2, 3))
@@ -295,7 +295,8 @@ def _align(batches: Iterator[pa.RecordBatch], vocabulary: str, model: bytes) ->
                 if block.full():
                     yield from _runs(block, next_block, id_kind)
                     block, next_block = _Block(), next_block + 1
-            block.add(group, aligner(group.units), batch["id"])
+            distinct, at = group.coded()
+            block.add(group, at, aligner(distinct), batch["id"])
     if block.ids:
         yield from _runs(block, next_block, id_kind)
 

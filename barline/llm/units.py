@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units that a worker remembers, and characters from which a unit is not worth it.
-REMEMBERED, LONG_UNIT = 300_000, 80
+REMEMBERED, LONG_UNIT = 200_000, 80
 #: Characters of a text that are cut into units at a time.
 SLICE_CHARS = 1 << 20
 #: Characters of texts whose units are looked up together.
@@ -50,15 +50,15 @@ _HIDDEN = [b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b < 0xAD or
 _SHOWN = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
 
 
-class SpacedUnits:
-    """Ids of units behind a space, as unsigned 32-bit bytes.
+class UnitIds:
+    """Ids of units behind ``lead`` (a space, or nothing), as unsigned 32-bit bytes.
 
     What the byte-level splitter makes of Latin words with marks behind them is plain: the
     words, the marks and a line break are tokens' limits. Such words go straight to the
     merges and are remembered; all other units go through the whole tokenizer."""
 
-    def __init__(self, coder):
-        self.coder = coder
+    def __init__(self, coder, lead: str = " "):
+        self.coder, self.lead = coder, lead
         self.word = Remembered(self._merge)
 
     def _merge(self, words: list[str]) -> list[bytes]:
@@ -69,20 +69,26 @@ class SpacedUnits:
     def __call__(self, found: list[str]) -> list[bytes]:
         out: list = [None] * len(found)
         alone, words, where, rest = [], [], [], []
-        match = _PLAIN.fullmatch
+        match, lead = _PLAIN.fullmatch, self.lead
         for i, u in enumerate(found):
-            if u.isascii() and u.isalpha():
-                alone.append(i)
-                continue
+            if u.isascii():
+                word = u.rstrip(".,;:!?")
+                if word.isalpha():
+                    if len(word) == len(u):
+                        alone.append(i)
+                    else:
+                        words += (lead + word, u[len(word) :])
+                        where.append((i, len(words)))
+                    continue
             plain = match(u)
             if plain is None:
                 rest.append(i)
                 continue
             word, marks, second, more = plain.groups()
-            words += (" " + word, marks) if second is None else (" " + word, marks, "\n", second, more)
+            words += (lead + word, marks) if second is None else (lead + word, marks, "\n", second, more)
             where.append((i, len(words)))
         if alone:  # seldom known with marks behind, so not looked up, but remembered
-            spaced = [" " + found[i] for i in alone]
+            spaced = [lead + found[i] for i in alone]
             coded = self._merge(spaced)
             self.word.put(dict(zip(spaced, coded, strict=True)))
             for i, x in zip(alone, coded, strict=True):
@@ -92,7 +98,7 @@ class SpacedUnits:
             out[i] = b"".join(coded[at:end])
             at = end
         if rest:
-            for i, e in zip(rest, self.coder.encode_batch_fast([" " + found[i] for i in rest], add_special_tokens=False), strict=True):
+            for i, e in zip(rest, self.coder.encode_batch_fast([lead + found[i] for i in rest], add_special_tokens=False), strict=True):
                 out[i] = array("I", e.ids).tobytes()
         return out
 
@@ -121,71 +127,51 @@ def slices(text: str, chars: int = SLICE_CHARS) -> Iterator[str]:
 
 @dataclass
 class Group:
-    """Stretches of texts as units: ``units`` are the distinct ones, ``at`` the place of
-    each occurrence in them, and stretch i has the occurrences ``bounds[i]`` to
-    ``bounds[i + 1]``, belongs to row ``rows[i]`` and begins its text where ``begins[i]``."""
+    """Stretches of texts as units: stretch i has the units ``bounds[i]`` to
+    ``bounds[i + 1]`` of ``units``, belongs to row ``rows[i]`` and begins its text where
+    ``begins[i]``."""
 
     rows: list[int]
     begins: list[bool]
     bounds: np.ndarray
     units: list[str]
-    at: np.ndarray
+
+    def coded(self) -> tuple[list[str], np.ndarray]:
+        """The distinct units, and the place in them of each."""
+        place = {u: i for i, u in enumerate(dict.fromkeys(self.units))}
+        return list(place), np.fromiter(map(place.__getitem__, self.units), np.int64, len(self.units))
 
 
 def batches(texts: pa.Array, chars: int = GROUP_CHARS) -> Iterator[Group]:
     """Groups of about ``chars`` characters; texts and their stretches follow in order."""
-    odd, sizes = irregular(texts), pc.binary_length(texts).to_pylist()
-    rows: list[int] = []
-    begins: list[bool] = []
-    counts: list[int] = []
-    held: list[pa.Array] = []
-
-    def group() -> Group:
-        coded = pa.concat_arrays(held).dictionary_encode()
-        return Group(rows, begins, np.cumsum([0, *counts]), coded.dictionary.to_pylist(), coded.indices.to_numpy())
-
-    row = size = 0
-    while row < len(texts):
-        if odd[row] or sizes[row] > SLICE_CHARS:
-            for k, stretch in enumerate(slices(texts[row].as_py())):
-                parts = cut(stretch, odd[row])
-                rows.append(row)
-                begins.append(k == 0)
-                counts.append(len(parts))
-                held.append(pa.array(parts, pa.string()))
-                size += len(stretch)
-                if size >= chars:
-                    yield group()
-                    rows, begins, counts, held, size = [], [], [], [], 0
-            row += 1
-        else:
-            first = row
-            while row < len(texts) and size < chars and not odd[row] and sizes[row] <= SLICE_CHARS:
-                size += sizes[row]
-                row += 1
-            parts = pc.split_pattern(texts.slice(first, row - first), " ")
-            rows += range(first, row)
-            begins += [True] * (row - first)
-            counts += pc.list_value_length(parts).to_pylist()
-            held.append(parts.flatten().cast(pa.string()))
-        if size >= chars:
-            yield group()
-            rows, begins, counts, held, size = [], [], [], [], 0
+    odd = irregular(texts)
+    rows, begins, counts, units, held = [], [], [], [], 0
+    for row, text in enumerate(texts):
+        for k, stretch in enumerate(slices(text.as_py())):
+            parts = cut(stretch, odd[row])
+            rows.append(row)
+            begins.append(k == 0)
+            counts.append(len(parts))
+            units += parts
+            held += len(stretch)
+            if held >= chars:
+                yield Group(rows, begins, np.cumsum([0, *counts]), units)
+                rows, begins, counts, units, held = [], [], [], [], 0
     if rows:
-        yield group()
+        yield Group(rows, begins, np.cumsum([0, *counts]), units)
 
 
 class Remembered:
     """What ``encode`` gives for units, with a table of known ones in two generations: when
     the young one is full, the old one goes. Units over ``LONG_UNIT`` characters stay out."""
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list], size: int = REMEMBERED):
+        self.encode, self.size = encode, size
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
     def put(self, found: dict[str, object]) -> None:
-        if len(self.young) + len(found) > REMEMBERED // 2:
+        if len(self.young) + len(found) > self.size // 2:
             self.young, self.old = {}, self.young
         self.young.update(found if max(map(len, found)) <= LONG_UNIT else {u: x for u, x in found.items() if len(u) <= LONG_UNIT})
 

@@ -56,8 +56,7 @@ class Capacity:
 def _coders(vocabulary: str) -> tuple[units.Remembered, units.Remembered]:
     """Ids of first units and of those behind a space, as bytes; kept by the worker."""
     coder = units.byte_bpe(vocabulary)
-    encode = lambda found: [array("I", e.ids).tobytes() for e in coder.encode_batch_fast(found, add_special_tokens=False)]
-    return units.Remembered(encode), units.Remembered(units.SpacedUnits(coder))
+    return units.Remembered(units.UnitIds(coder, "")), units.Remembered(units.UnitIds(coder), 800_000)
 
 
 def _documents(texts: pa.Array, vocabulary: str, end: int) -> Iterator[tuple[int, bytes]]:
@@ -66,9 +65,8 @@ def _documents(texts: pa.Array, vocabulary: str, end: int) -> Iterator[tuple[int
     last = array("I", [end]).tobytes()
     row, coded = 0, []
     for group in units.batches(texts):
-        spaced = later(group.units)
-        heads = iter(first([group.units[i] for i in group.at[group.bounds[:-1][group.begins]].tolist()]))
-        all_ids = list(map(spaced.__getitem__, group.at.tolist()))
+        all_ids = later(group.units)
+        heads = iter(first([group.units[i] for i in group.bounds[:-1][group.begins].tolist()]))
         for here, begins, low, high in zip(group.rows, group.begins, group.bounds[:-1].tolist(), group.bounds[1:].tolist(), strict=True):
             if here != row:
                 yield row, b"".join([*coded, last])
