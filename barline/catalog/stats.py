@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barline.catalog.inputs import HOURLY_SQL, LEDGER_SQL, TICKS_SQL, hourly, hourly_series, ledger, with_sql
-from barline.catalog.joins import nation_pairs
+from barline.catalog.joins import BRIDGE_SQL, nation_pairs
 from barline.catalog.registry import query
 from barline.functions.clock import DAY_US, hour_of_week
 from barline.operators import stats as T
 from barline.operators.indicators import with_indicators
 from barline.operators.outcomes import first_passage, forward_return
+from barline.plans.bijection import permuted_sql
 from barline.plans.quantiles import group_quantiles
 from barline.sources.sinks import materialize
 
@@ -68,11 +69,33 @@ def pairs_panel(spark, sf):
     return Series(p, "pair", ["ts"]).columns(lambda fr: {"y": F.lead("x").over(fr.w()) - F.col("x")}, fwd_rows=1).filter("y IS NOT NULL")
 
 
-@query("t05_permutation_entities", "real:f null_mean:f n:i p_value:f")
+PERMUTED = "real:f null_mean:f n:i p_value:f"
+
+
+def permutation_sql(rows: str, group: str, member: str, reps: int, beyond: str) -> str:
+    """``rows`` has columns x and y; slots are permuted in each group and replicate."""
+    slots = f"(SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {member}) - 1 AS slot, count(*) OVER (PARTITION BY {group}) AS size FROM {rows})"
+    drawn = permuted_sql(f"(SELECT *, unnest(range({reps})) AS rep FROM {slots})", "slot", "size", f"('7|' || rep || '|' || {group})", 6)
+    return f"""null0 AS (SELECT d.rep, corr(s.x, d.y) AS chance FROM {drawn} d JOIN {slots} s ON d.{group} = s.{group} AND d.partner = s.slot GROUP BY 1),
+      real0 AS (SELECT corr(x, y) AS real FROM {rows})
+      SELECT any_value(real) AS real, avg(chance) AS null_mean, count(*) AS n, (count(*) FILTER (WHERE {beyond}) + 1) / (count(*) + 1) AS p_value FROM null0, real0"""
+
+
+PANEL_SQL = """panel AS (SELECT *, CAST(CAST(ts AS TIMESTAMP) AS VARCHAR) AS month, c * 100 + s AS pair, lead(x) OVER (PARTITION BY c, s ORDER BY ts) - x AS y FROM daily),
+    rows0 AS (SELECT * FROM panel WHERE y IS NOT NULL)"""
+
+
+@query("t05_permutation_entities", PERMUTED, with_sql(BRIDGE_SQL, PANEL_SQL, body="," + permutation_sql("rows0", "month", "pair", 20, "chance >= real")))
 def t05(spark, sf):
     return T.permutation_p(pairs_panel(spark, sf), "pair", "ts", "x", F.corr("x_perm", "y"), "entities", 20)
 
 
+@query("t05_permutation_time", PERMUTED, with_sql(HOURLY_SQL, SIG_SQL, "rows0 AS (SELECT series_id, ts, s AS x, y FROM ok)", body="," + permutation_sql("rows0", "series_id", "ts", 40, "abs(chance) >= abs(real)")))
+def t05t(spark, sf):
+    d = signal(spark, sf).filter("s IS NOT NULL AND y IS NOT NULL")
+    return T.permutation_p(d, "series_id", "ts", "s", F.corr("x_perm", "y"), "time", 40, tail="both")
+
+
 @query("t05_permutation_blocks", "real:f null_mean:f n:i p_value:f")
 def t05b(spark, sf):
     d = signal(spark, sf).filter("s IS NOT NULL AND y IS NOT NULL")

@@ -15,6 +15,7 @@ from barline.operators.indicators.levels import limited_asi
 from barline.plans.scan import ema_first, lookback
 from barline.plans.sequential import SequentialKernel, run_kernel
 from barline.plans.series import Series, as_list
+from barline.sources.sinks import materialize
 
 # fixed values: coarse steps in base bars and the weight log2(step) + 1
 CONSENSUS_STEPS = (1, 2, 6, 12, 24, 60, 120, 360, 720)
@@ -22,17 +23,46 @@ CONSENSUS_LAGS = 5
 
 
 def time_since_visit(series: Series, grid: float, high: str = "high", low: str = "low", close: str = "close") -> DataFrame:
-    """Bars since an earlier bar's range covered the price bin of this close."""
-    d = series.numbered("__rn")
+    """Bars since an earlier bar's range covered the price bin of this close.
+
+    A range of bins is the union of its canonical dyadic nodes, at most two on each of
+    log2(bins) levels; a price looks under the nodes above its bin, one a level.
+    """
+    d = materialize(series.numbered("__rn"), "numbered")
     key = list(series.key)
 
     def bin_of(x: str) -> Column:
         return F.floor(F.col(x) / F.lit(grid)).cast("long")
 
-    visits = d.select(*key, F.col("__rn").alias("seen"), F.explode(F.sequence(bin_of(low), bin_of(high))).alias("__bin"))
-    left = d.withColumn("__bin", bin_of(close))
-    j = asof(left, visits, [*key, "__bin"], left_ts="__rn", right_ts="seen", strict=True, keep_right_ts="__seen")
-    return j.withColumn("bars_since_visit", F.col("__rn") - F.col("__seen")).drop("__rn", "__bin", "__seen")
+    widest = d.agg(F.max(bin_of(high) - bin_of(low) + 1)).collect()[0][0] or 1
+    nodes = F.explode(dyadic_cover(bin_of(low), bin_of(high))).alias("__n")
+    visits = d.filter(bin_of(low) <= bin_of(high)).select(*key, F.col("__rn").alias("seen"), nodes).select(*key, "seen", "__n.*")
+    above = F.explode(dyadic_ancestors(bin_of(close), int(widest).bit_length())).alias("__n")
+    looks = d.select(*key, "__rn", above).select(*key, "__rn", "__n.*")
+    found = asof(looks, visits, [*key, "level", "node"], left_ts="__rn", right_ts="seen", strict=True, keep_right_ts="__seen")
+    latest = found.groupBy(*key, "__rn").agg(F.max("__seen").alias("__seen"))
+    return d.join(latest, [*key, "__rn"], "left").withColumn("bars_since_visit", F.col("__rn") - F.col("__seen")).drop("__rn", "__seen")
+
+
+def dyadic_cover(low: Column, high: Column) -> Column:
+    """Array of (level, node): the fewest dyadic intervals [node, node + 1) * 2**level whose
+    union is the whole numbers from ``low`` to ``high``."""
+
+    def at(k: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        first, stop = F.ceil(low / width).cast("long"), F.floor((high + 1) / width).cast("long")
+        node = lambda n: F.struct(k.alias("level"), n.alias("node"))
+        left = F.when((first < stop) & (F.pmod(first, F.lit(2)) == 1), node(first))
+        right = F.when((first < stop) & (F.pmod(stop, F.lit(2)) == 1), node(stop - 1))
+        return F.array(left, right)
+
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((high - low + 2).cast("double"))).cast("int"))
+    return F.array_compact(F.flatten(F.transform(levels, at)))
+
+
+def dyadic_ancestors(value: Column, levels: int) -> Column:
+    """Array of the (level, node) that hold a whole number, ``levels`` up."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.floor(value / F.lit(1 << k)).cast("long").alias("node")) for k in range(levels + 1)])
 
 
 def level_density(events: DataFrame, key: str | Sequence[str], bin_size: float, half_life_days: float, ts: str = "ts", price: str = "value") -> DataFrame:

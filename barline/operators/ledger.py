@@ -180,12 +180,25 @@ def floating_equity(ledger: DataFrame, bars: DataFrame, key: str, entry: str, ex
     ``ledger``: key, entry/exit times, entry_price, side, pnl; longs are marked at
     bid_c, shorts at ask_c.  A trade's mark counts from its entry until its exit;
     the realised part is a running sum of exits per instant.
+
+    A book is known from running sums: trades open and their entry value, for each key and
+    side, change at entries and exits only. A bar looks them up as of its time and marks
+    them at once, so there is no row per open trade and bar.
     """
-    marks = point_in_interval(
-        ledger, bars.select(key, "ts", "bid_c", "ask_c"), key, F.unix_micros(entry), F.unix_micros(exit_),
-        F.unix_micros("ts"), width_us, include_end=False)
-    mark = F.when(F.col("side") > 0, F.col("bid_c") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("ask_c"))
-    open_now = marks.groupBy("ts").agg(F.sum(mark).alias("floating"), F.count(F.lit(1)).alias("n_open"))
+    long, price = F.col("side") > 0, F.col("entry_price")
+    priced = F.when(price.isNotNull(), 1).otherwise(0)
+    book = {"__open": F.lit(1), "__longs": F.when(long, priced).otherwise(0), "__shorts": F.when(long, 0).otherwise(priced),
+            "__paid": F.when(long, price).otherwise(-price)}
+    lasting = ledger.filter(F.col(entry) < F.col(exit_))
+    changes = lasting.select(key, F.explode(F.array(*[
+        F.struct(F.col(at).alias("__at"), *[(F.lit(sign) * c).cast("double").alias(n) for n, c in book.items()]) for at, sign in ((entry, 1), (exit_, -1))
+    ])).alias("c")).select(key, "c.*")
+    changes = changes.groupBy(key, "__at").agg(*[F.sum(n).alias(n) for n in book])
+    held = Series(changes, key, ["__at"]).running({f"{n}_now": ("sum", F.coalesce(F.col(n), F.lit(0.0))) for n in book}).drop(*book)
+    marks = asof(bars.select(key, "ts", "bid_c", "ask_c"), held, key, right_ts="__at")
+    part = lambda n, at: F.when(F.col(n) != 0, F.col(n) * F.col(at)).otherwise(F.lit(0.0))
+    mark = part("__longs_now", "bid_c") - part("__shorts_now", "ask_c") - F.col("__paid_now")
+    open_now = marks.groupBy("ts").agg(F.sum(mark).alias("floating"), F.sum("__open_now").cast("long").alias("n_open"))
     closed = ledger.groupBy(F.col(exit_).alias("available_at")).agg(F.sum("pnl").alias("__p"))
     realised = Series(closed, None, ["available_at"]).running({"realised": ("sum", F.col("__p"))}).drop("__p")
     times = bars.select("ts").distinct()

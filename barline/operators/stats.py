@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.operators.cleaning import hash_uniform
+from barline.plans.bijection import permuted
 from barline.plans.quantiles import average_ranks, group_quantiles, ntile_labels
 from barline.plans.series import Series, as_list
 from barline.sources.sinks import materialize
@@ -101,11 +102,14 @@ def permutation_p(df: DataFrame, key: str, ts: str, x: str, score: Column, mode:
     reps = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")
     if mode in ("entities", "time"):
         group, member = (ts, key) if mode == "entities" else (key, ts)
-        slots = Series(rows, [group], [member]).numbered("__slot").withColumn("__id", F.struct(key, ts))
-        base = slots.select("*", reps)
-        shuffled = base.select("rep", group, F.col(x).alias("x_perm"), hash_uniform([F.lit(seed), "rep", key, ts], seed).alias("__u"), F.col(member).alias("__t"))
-        ranked = Series(shuffled, ["rep", group], ["__u", "__t"]).numbered("__slot").select("rep", group, "__slot", "x_perm")
-        perm = base.join(ranked, ["rep", group, "__slot"])
+        # numbered once; a replicate's partner slot is computed, so nothing is sorted for it
+        slots = Series(rows, [group], [member]).numbered("__slot").withColumn("__slot", F.col("__slot") - 1)
+        slots = materialize(slots, "slots")
+        sizes = slots.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
+        base = slots.join(sizes, group).select("*", reps)
+        base = base.withColumn("__partner", permuted(F.col("__slot"), F.col("__size"), F.lit(seed), F.col("rep"), F.col(group)))
+        moved = slots.select(F.col(group).alias("__group"), F.col("__slot").alias("__from"), F.col(x).alias("x_perm"))
+        perm = base.join(moved, (F.col(group) == F.col("__group")) & (F.col("__partner") == F.col("__from")))
     else:
         # a block keeps its inside order; only the block order is drawn
         blk = F.floor(F.unix_micros(ts) / block_us)
