@@ -139,7 +139,39 @@ def a17(spark, sf):
     return A.weighted_mean(e, "user_id", {"click": 1.0, "view": 0.5, "purchase": 2.0}, "event_type", "v", "wmean")
 
 
-@query("a18_vote_rating", "series_id:s ts:t rating:f n_votes:i",
+@query("a18_frame_votes", "series_id:s ts:t sma200:i base_line:i vwma:i hull:i stochastic:i awesome:i momentum:i williams_r:i ultimate:i",
+       with_sql(HOURLY_SQL, """k0 AS (SELECT *, lag(close) OVER w AS pc, lag(close, 10) OVER w AS c10, avg(close) OVER w200 AS s200, (max(high) OVER w26 + min(low) OVER w26) / 2 AS base,
+         sum(close * volume) OVER w20 / nullif(sum(volume) OVER w20, 0) AS vw, max(high) OVER w14 AS hi14, min(low) OVER w14 AS lo14,
+         avg((high + low) / 2) OVER w5 - avg((high + low) / 2) OVER w34 AS ao FROM bars
+         WINDOW w AS (PARTITION BY series_id ORDER BY ts), w5 AS (PARTITION BY series_id ORDER BY ts ROWS 4 PRECEDING), w14 AS (PARTITION BY series_id ORDER BY ts ROWS 13 PRECEDING),
+         w20 AS (PARTITION BY series_id ORDER BY ts ROWS 19 PRECEDING), w26 AS (PARTITION BY series_id ORDER BY ts ROWS 25 PRECEDING),
+         w34 AS (PARTITION BY series_id ORDER BY ts ROWS 33 PRECEDING), w200 AS (PARTITION BY series_id ORDER BY ts ROWS 199 PRECEDING))""",
+         """k1 AS (SELECT *, CASE WHEN rn >= 14 THEN CASE WHEN hi14 > lo14 THEN 100 * (close - lo14) / (hi14 - lo14) ELSE 50 END END AS raw,
+         CASE WHEN rn >= 14 THEN CASE WHEN hi14 > lo14 THEN -100 * (hi14 - close) / (hi14 - lo14) ELSE 0 END END AS wr,
+         close - c10 AS mom, CASE WHEN rn >= 34 THEN ao END AS aw, CASE WHEN pc IS NOT NULL THEN close - least(low, pc) END AS bp, CASE WHEN pc IS NOT NULL THEN greatest(high, pc) - least(low, pc) END AS tr,
+         CASE WHEN rn >= 9 THEN 2 * (4 * close + 3 * lag(close, 1) OVER w + 2 * lag(close, 2) OVER w + lag(close, 3) OVER w) / 10
+           - (9 * close + 8 * lag(close, 1) OVER w + 7 * lag(close, 2) OVER w + 6 * lag(close, 3) OVER w + 5 * lag(close, 4) OVER w + 4 * lag(close, 5) OVER w + 3 * lag(close, 6) OVER w + 2 * lag(close, 7) OVER w + lag(close, 8) OVER w) / 45 END AS hx
+         FROM k0 WINDOW w AS (PARTITION BY series_id ORDER BY ts))""",
+         """k2 AS (SELECT *, CASE WHEN rn >= 16 THEN avg(raw) OVER w3 END AS sk, CASE WHEN rn >= 11 THEN (3 * hx + 2 * lag(hx) OVER w + lag(hx, 2) OVER w) / 6 END AS hull,
+         CASE WHEN rn >= 29 THEN 100 * (4 * sum(bp) OVER w7 / nullif(sum(tr) OVER w7, 0) + 2 * sum(bp) OVER w14 / nullif(sum(tr) OVER w14, 0) + sum(bp) OVER w28 / nullif(sum(tr) OVER w28, 0)) / 7 END AS uo
+         FROM k1 WINDOW w AS (PARTITION BY series_id ORDER BY ts), w3 AS (PARTITION BY series_id ORDER BY ts ROWS 2 PRECEDING), w7 AS (PARTITION BY series_id ORDER BY ts ROWS 6 PRECEDING),
+         w14 AS (PARTITION BY series_id ORDER BY ts ROWS 13 PRECEDING), w28 AS (PARTITION BY series_id ORDER BY ts ROWS 27 PRECEDING))""",
+         "k3 AS (SELECT *, CASE WHEN rn >= 18 THEN avg(sk) OVER (PARTITION BY series_id ORDER BY ts ROWS 2 PRECEDING) END AS sd FROM k2)",
+         """k4 AS (SELECT *, lag(sk) OVER w AS sk1, lag(sd) OVER w AS sd1, lag(aw) OVER w AS aw1, lag(mom) OVER w AS mom1, lag(wr) OVER w AS wr1, lag(uo) OVER w AS uo1, lag(hull) OVER w AS hull1 FROM k3 WINDOW w AS (PARTITION BY series_id ORDER BY ts))""",
+         body="""SELECT series_id, ts, CASE WHEN rn >= 200 THEN sign(close - s200) END AS sma200, CASE WHEN rn >= 26 THEN sign(close - base) END AS base_line, CASE WHEN rn >= 20 THEN sign(close - vw) END AS vwma,
+         sign(hull - hull1) AS hull, CASE WHEN sd1 IS NOT NULL AND sk1 IS NOT NULL AND sd IS NOT NULL THEN CASE WHEN sk < 20 AND sd < 20 AND sk > sd THEN 1 WHEN sk > 80 AND sd > 80 AND sk < sd THEN -1 ELSE 0 END END AS stochastic,
+         CASE WHEN aw1 IS NOT NULL THEN CASE WHEN aw > 0 AND aw > aw1 THEN 1 WHEN aw < 0 AND aw < aw1 THEN -1 ELSE 0 END END AS awesome,
+         CASE WHEN mom1 IS NOT NULL THEN sign(mom - mom1) END AS momentum, CASE WHEN wr1 IS NOT NULL THEN CASE WHEN wr < -80 AND wr > wr1 THEN 1 WHEN wr > -20 AND wr < wr1 THEN -1 ELSE 0 END END AS williams_r,
+         CASE WHEN uo1 IS NOT NULL AND uo IS NOT NULL THEN CASE WHEN uo > 70 THEN 1 WHEN uo < 30 THEN -1 ELSE 0 END END AS ultimate FROM k4"""))
+def a18f(spark, sf):
+    from barline.operators.indicators import votes
+
+    d = votes(hourly_series(spark, sf))
+    names = {"sma_200": "sma200"} | {n: n for n in ("base_line", "vwma", "hull", "stochastic", "awesome", "momentum", "williams_r", "ultimate")}
+    return d.select("series_id", "ts", *[F.col(f"vote_{n}").alias(x) for n, x in names.items()])
+
+
+@query("a18_vote_rating", "series_id:s ts:t ma_rating:f osc_rating:f rating:f n_votes:i",
        None)
 def a18(spark, sf):
     from barline.operators.indicators import vote_rating

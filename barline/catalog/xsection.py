@@ -111,7 +111,7 @@ def x07(spark, sf):
     return X.transition_signal(hourly_series(spark, sf), 4, 0.2)
 
 
-@query("x08_eigen_residual", "ts:t s_r_click:f s_r_view:f s_r_error:f s_r_signup:f")
+@query("x08_eigen_residual", "ts:t s_r_click:f s_r_view:f s_r_error:f s_r_signup:f k_r_click:f k_r_view:f k_r_error:f k_r_signup:f")
 def x08(spark, sf):
     w = Series(wide(spark, sf), None, ["ts"]).columns(lambda fr: {f"r_{k}": F.col(f"p_{k}") - F.lag(f"p_{k}").over(fr.w()) for k in KEYS}, back_rows=1)
     return X.eigen_residual(w.filter("r_click IS NOT NULL"), "ts", [f"r_{k}" for k in KEYS], 60, 1)

@@ -306,6 +306,35 @@ def vwma(d, fr, n=20):
     return d.withColumn("vwma", W.full(fr, c(), n, F.when(vol > 0, F.sum(c() * v()).over(fr.last_n(n)) / vol)))
 
 
+@indicator(lambda n=9: n + int(n**0.5) + 1)
+def hull(d, fr, n=9):
+    """Weighted mean, over the root of ``n`` rows, of twice the half-length weighted mean
+    less the whole one."""
+    d = d.withColumn("__hull", 2 * W.wma(fr, c(), n // 2) - W.wma(fr, c(), n))
+    return d.withColumn("hull", W.wma(fr, F.col("__hull"), int(n**0.5))).drop("__hull")
+
+
+@indicator(lambda short=5, long=34: long + 1)
+def awesome(d, fr, short=5, long=34):
+    mid = (h() + l()) / 2.0
+    return d.withColumn("awesome", W.roll(fr, mid, short, "mean") - W.roll(fr, mid, long, "mean"))
+
+
+@indicator(span)
+def base_line(d, fr, n=26):
+    return d.withColumn("base_line", ready(fr, n, (hh(fr, n) + ll(fr, n)) / 2.0))
+
+
+@indicator(lambda n=7: 4 * n + 1)
+def ultimate(d, fr, n=7):
+    """Buying pressure over true range in frames of n, 2n and 4n rows, weighted 4, 2 and 1."""
+    before = F.lag("close").over(fr.w())
+    low = F.least(l(), before)
+    d = d.withColumn("__bp", F.when(before.isNotNull(), c() - low)).withColumn("__tr", F.when(before.isNotNull(), F.greatest(h(), before) - low))
+    part = lambda m: F.try_divide(W.roll(fr, F.col("__bp"), m, "sum"), W.roll(fr, F.col("__tr"), m, "sum"))
+    return d.withColumn("ultimate", 100.0 * (4 * part(n) + 2 * part(2 * n) + part(4 * n)) / 7.0).drop("__bp", "__tr")
+
+
 @indicator(span)
 def highs_and_lows(d, fr, n=20):
     hi, lo = ready(fr, n, hh(fr, n)), ready(fr, n, ll(fr, n))

@@ -245,41 +245,73 @@ def transfer_entropy(series: Series, src: str, dst: str, lag: int = 1) -> DataFr
     return out.select(*keys, (F.col("__ha") + F.col("__hb") - F.col("__hc") - F.col("__he")).alias("te"))
 
 
+def eigen_scores(x: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and reversion speeds (windows by series) of every window of rows.
+
+    Moments of all windows come from prefix sums, factors from one stacked eigen
+    decomposition of the correlations. Factors are weighted by risk (vectors over
+    deviations) and each series is regressed on them with an intercept. An AR(1) is fitted
+    to the running sum of its residuals: the score is the distance of the last value from
+    the equilibrium a / (1 - b) in equilibrium deviations, the speed -ln b. Both are NaN
+    unless 0 < b < 1.
+    """
+    length, n = x.shape
+    ends = length - window + 1
+    if ends <= 0:
+        return np.empty((0, n)), np.empty((0, n))
+    centred = x - x.mean(axis=0)
+    first, second = (np.concatenate((np.zeros((1, *p.shape[1:])), np.cumsum(p, axis=0))) for p in (centred, centred[:, :, None] * centred[:, None, :]))
+    mean = (first[window:] - first[:-window]) / window
+    cov = (second[window:] - second[:-window]) / window - mean[:, :, None] * mean[:, None, :]
+    risk = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0))
+    risk = np.where(risk > 0, risk, 1e-12)
+    _, vectors = np.linalg.eigh(cov / risk[:, :, None] / risk[:, None, :])
+    q = np.swapaxes(vectors[:, :, -k:], 1, 2) / risk[:, None, :]
+    loads = np.linalg.pinv(q @ cov @ np.swapaxes(q, 1, 2), hermitian=True) @ q @ cov
+    keep = np.eye(n) - np.swapaxes(q, 1, 2) @ loads
+    scores, speeds = np.empty((ends, n)), np.empty((ends, n))
+    frames = np.swapaxes(np.lib.stride_tricks.sliding_window_view(centred, window, axis=0), 1, 2)
+    for at in range(0, ends, 256):
+        part = slice(at, min(at + 256, ends))
+        path = np.cumsum((frames[part] - mean[part, None, :]) @ keep[part], axis=1)
+        before, after = path[:, :-1], path[:, 1:]
+        mb, ma, vb = before.mean(axis=1), after.mean(axis=1), before.var(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            b = ((before - mb[:, None]) * (after - ma[:, None])).mean(axis=1) / vb
+            a = ma - b * mb
+            noise = (after - a[:, None] - b[:, None] * before).var(axis=1)
+            spread = np.sqrt(noise / (1 - b * b))
+            good = (vb > 1e-18) & (b > 0) & (b < 1) & (spread > 0) & (window > 10)
+            scores[part] = np.where(good, (path[:, -1] - a / (1 - b)) / spread, np.nan)
+            speeds[part] = np.where(good, -np.log(b), np.nan)
+    return scores, speeds
+
+
 def eigen_residual(wide: DataFrame, ts: str, cols: Sequence[str], window: int, k: int) -> DataFrame:
-    """Residual of each series after removing the top-k factors of a trailing covariance, as an s-score.
+    """Score ``s_`` and reversion speed ``k_`` of each series after taking out the top-k
+    risk-weighted factors of the trailing window (see ``eigen_scores``); null where the
+    residual does not revert.
 
-    A row is sent to the windows that end within the next ``window`` rows of its
-    block; each Arrow group is one block of ends plus its halo.
+    Rows are numbered over all blocks; a row goes to its block and, as halo, to the next
+    one, and an Arrow group solves the windows of one block together.
     """
-    block = 4 * window
+    block = max(4 * window, 2048)
     d = Series(wide, None, [ts]).numbered("__rn").select(ts, *cols, "__rn")
     own = F.floor((F.col("__rn") - 1) / block)
-    rows = d.withColumn("__b", F.explode(F.array_distinct(F.array(own, F.floor((F.col("__rn") - 1 + window) / block)))))
+    rows = d.withColumn("__b", F.explode(F.array_distinct(F.array(own, F.floor((F.col("__rn") - 2 + window) / block)))))
     names = list(cols)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__rn", kind="stable")
-        b = int(pdf["__b"].iloc[0])
-        x = pdf[names].to_numpy(dtype=float)
-        rn = pdf["__rn"].to_numpy()
-        out = []
-        for i in range(len(pdf)):
-            if (rn[i] - 1) // block != b or i + 1 < window:
-                continue
-            seg = x[i + 1 - window : i + 1]
-            mu, sd = seg.mean(0), seg.std(0)
-            sd[sd == 0] = 1.0
-            z = (seg - mu) / sd
-            _, vec = np.linalg.eigh(np.cov(z.T))
-            top = vec[:, -k:]
-            level = np.cumsum(z - z @ top @ top.T, axis=0)
-            s = level.std(0)
-            score = np.where(s > 0, (level[-1] - level.mean(0)) / np.where(s > 0, s, 1.0), 0.0)
-            out.append((pdf[ts].iloc[i], *score.tolist()))
-        return pd.DataFrame(out, columns=[ts, *[f"s_{c}" for c in names]])
-
-    schema = f"{ts} timestamp, " + ", ".join(f"s_{c} double" for c in names)
-    return rows.groupBy("__b").applyInPandas(run, schema)
+        scores, speeds = eigen_scores(pdf[names].to_numpy(dtype=float), window, k)
+        ends = pdf.iloc[window - 1 :] if len(scores) else pdf.iloc[:0]
+        out = pd.concat([ends[[ts]].reset_index(drop=True), pd.DataFrame(np.hstack((scores, speeds)), columns=outputs)], axis=1)
+        return out[((ends["__rn"] - 1) // block == int(pdf["__b"].iloc[0])).to_numpy()]
+
+    outputs = [f"{p}_{c}" for p in ("s", "k") for c in names]
+    schema = f"{ts} timestamp, " + ", ".join(f"{c} double" for c in outputs)
+    out = rows.groupBy("__b").applyInPandas(run, schema)
+    return out.select(ts, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in outputs])
 
 
 def feature_importance(df: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
