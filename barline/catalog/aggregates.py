@@ -9,7 +9,9 @@ from barline.catalog.registry import query
 from barline.functions.clock import hour_of_week
 from barline.operators import aggregates as A
 from barline.operators import ordering as O
+from barline.operators import sketches as S
 from barline.sources.readers import read_table
+from barline.sources.sinks import materialize
 
 HOW = "(isodow(ts) - 1) * 24 + hour(ts)"
 
@@ -41,6 +43,30 @@ def a04(spark, sf):
     return read_table(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("n_users"))
 
 
+@query("a03_sketch_rollup", "series_id:s n:i near25:b near50:b near99:b",
+       with_sql(TICKS_SQL, body="SELECT event_type AS series_id, count(*) AS n, true AS near25, true AS near50, true AS near99 FROM ticks GROUP BY 1 UNION ALL SELECT 'all', count(*), true, true, true FROM ticks"))
+def a03s(spark, sf):
+    """Quantiles of stored day sketches, merged; each has its rank within 3 % of the exact one."""
+    t = ticks(spark, sf, "event_type")
+    stored = materialize(S.build(t.withColumn("day", F.to_date("ts")), ["series_id", "day"], ["price"]), "day-sketches")
+    ps = {"25": 0.25, "50": 0.5, "99": 0.99}
+    est = S.read(S.roll_up(stored, "series_id").unionByName(S.roll_up(stored).withColumn("series_id", F.lit("all"))), {f"q{n}": ("price", p) for n, p in ps.items()})
+    rows = t.select("series_id", "price").withColumn("series_id", F.explode(F.array("series_id", F.lit("all"))))
+    share = lambda n, p: (F.abs(F.avg((F.col("price") <= F.col(f"q{n}")).cast("double")) - p) < 0.03).alias(f"near{n}")
+    return rows.join(est, "series_id").groupBy("series_id", "n").agg(*[share(n, p) for n, p in ps.items()])
+
+
+@query("a04_sketch_distinct", "event_type:s n_users:i near:b",
+       "SELECT event_type, count(DISTINCT user_id) AS n_users, true AS near FROM events GROUP BY 1 UNION ALL SELECT 'all', count(DISTINCT user_id), true FROM events")
+def a04s(spark, sf):
+    """Distinct users of stored day sketches, merged; each within 5 % of the exact count."""
+    e = read_table(spark, sf, "events")
+    stored = materialize(S.build(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], distinct_of=["user_id"]), "day-sketches")
+    est = S.read(S.roll_up(stored, "event_type").unionByName(S.roll_up(stored).withColumn("event_type", F.lit("all"))), distinct={"about": "user_id"})
+    exact = e.select("user_id", F.explode(F.array("event_type", F.lit("all"))).alias("event_type")).groupBy("event_type").agg(F.count_distinct("user_id").alias("n_users"))
+    return exact.join(est, "event_type").withColumn("near", F.abs(F.col("about") / F.col("n_users") - 1) < 0.05)
+
+
 @query("a05_last_by", "series_id:i day:t last_price:f",
        with_sql(TICKS_SQL, body="SELECT series_id, date_trunc('day', ts) AS day, last(price ORDER BY ts, tie) AS last_price FROM ticks GROUP BY 1, 2"))
 def a05(spark, sf):

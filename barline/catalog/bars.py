@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barline.catalog.inputs import HOURLY_SQL, TICKS_SQL, hourly, ticks, with_sql
 from barline.catalog.registry import query
 from barline.functions.clock import DAY_US, HOUR_US, MINUTE_US
+from barline.operators import table_functions
 from barline.operators import bars as B
 from barline.operators import eventbars as EB
 from barline.operators.asof import asof
@@ -122,6 +123,13 @@ def b09(spark, sf):
     return EB.box_columns(ticks(spark, sf), "series_id", 10.0, 3)
 
 
+@query("b09_box_table_function", "series_id:i ts:t box_id:i column_id:i direction:i level:f")
+def b09t(spark, sf):
+    table_functions.register(spark)
+    ticks(spark, sf).select("series_id", "ts", "tie", "price").createOrReplaceTempView("box_ticks")
+    return spark.sql("SELECT * FROM price_boxes(TABLE(box_ticks) PARTITION BY series_id ORDER BY (ts, tie), 10.0D, 3)")
+
+
 @query("b10_heiken_ashi", "series_id:s ts:t ha_open:f ha_high:f ha_low:f ha_close:f",
        with_sql(HOURLY_SQL, """
        x AS (SELECT *, (open + high + low + close) / 4 AS hc FROM bars),
