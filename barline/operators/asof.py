@@ -27,6 +27,7 @@ def asof(
     left_order: Sequence[str] = (),
     keep_right_ts: str | None = None,
     allow_open_stamp: bool = False,
+    instants: bool = False,
 ) -> DataFrame:
     """Attach to each left row the latest right row known at its time.
 
@@ -34,6 +35,9 @@ def asof(
     opening stamp leaks the future, so a right side stamped ``ts`` is refused
     unless ``allow_open_stamp`` says the rows are instantaneous.
     Unmatched left rows keep null right columns.
+
+    An instant that holds more rows than a block is looked up once and joined back to its
+    left rows; ``instants`` says that both sides have one row per key and instant.
     """
     if right_ts == "ts" and not allow_open_stamp:
         raise ValueError("as-of join needs the right side's available_at, not its opening stamp")
@@ -61,10 +65,10 @@ def asof(
         F.lit(None).cast(lrows.schema["__l"].dataType).alias("__l"),
         F.struct(F.col(right_ts).alias("__rt"), *[F.col(c) for c in payload]).alias("__r"),
     )
-    both = lrows.unionByName(rrows)
-    found = Series(both, keys, ["__t", "__side"]).running(
-        {"__m": ("last", F.col("__r"))}, reverse=(direction == "forward")
-    )
+    both = Series(lrows.unionByName(rrows), keys, ["__t", "__side"])
+    if not instants and both.crowded():
+        return _asof_by_instant(left, right, keys, left_ts, right_ts, direction, strict, tolerance_us, keep_right_ts, payload)
+    found = both.running({"__m": ("last", F.col("__r"))}, reverse=(direction == "forward"))
     out = found.filter(F.col("__l").isNotNull())
     if tolerance_us is not None:
         dist = F.abs(F.unix_micros("__t") - F.unix_micros("__m.__rt"))
@@ -75,6 +79,29 @@ def asof(
     return out.select(*keys, *cols)
 
 
+#: Shares into which the left rows of an instant are dealt.
+SALTS = 16
+
+
+def _asof_by_instant(left, right, keys, left_ts, right_ts, direction, strict, tolerance_us, keep_right_ts, payload) -> DataFrame:
+    """The join by instants: one right row per (key, instant), found from distinct left
+    instants; left rows then fetch it by (key, instant), an instant's rows in ``SALTS`` shares."""
+    row = F.struct(*[F.col(c) for c in payload])
+    one = right.filter(F.col(right_ts).isNotNull()).groupBy(*keys, right_ts).agg(F.max_by(row, F.xxhash64(*payload)).alias("__row"))
+    asked = left.select(*keys, F.col(left_ts).alias("__at")).distinct()
+    kept = keep_right_ts or "__found_at"
+    found = asof(asked, one, keys, "__at", right_ts, direction, strict, tolerance_us, keep_right_ts=kept, allow_open_stamp=True, instants=True)
+    copies = found.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__at", "__row", F.col(kept).alias("__kept"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__share"))
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    cond = F.col(left_ts).eqNullSafe(F.col("__at")) & (F.col("__salt") == F.col("__share"))
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    cols = [F.col(f"__row.{c}").alias(c) for c in payload] + ([F.col("__kept").alias(keep_right_ts)] if keep_right_ts else [])
+    return dealt.join(copies, cond, "left").select(*keys, *[c for c in left.columns if c not in keys], *cols)
+
+
 def next_after(left: DataFrame, calendar: DataFrame, left_ts: str, cal_ts: str, out: str) -> DataFrame:
     """First calendar instant strictly after each left instant."""
     right = calendar.select(F.col(cal_ts).alias("__cal")).distinct()

@@ -150,6 +150,10 @@ class Series:
                 self._measure()
         return self._layout is not None
 
+    def crowded(self) -> bool:
+        """Whether some place of the order holds more rows than a block and cannot be cut."""
+        return self.is_split() and self._layout.max_bucket > self.block_rows
+
     def _measure(self) -> None:
         sizes = self.df.groupBy(*self._key_cols()).agg(F.count(F.lit(1)).alias("__n"))
         self.max_rows = sizes.agg(F.max("__n")).collect()[0][0] or 0
