@@ -13,6 +13,7 @@ from barline.functions.scalar import clip_scale, to_base, to_pips
 from barline.operators import bars as B
 from barline.operators import cleaning as P
 from barline.operators.asof import asof
+from barline.sources.history import History
 from barline.sources import readers as R
 from barline.sources import sinks as K
 from barline.session import shared_dir
@@ -191,6 +192,28 @@ def s13(spark, sf):
     return spark.read.parquet(path)
 
 
+def by_week(spark, sf):
+    """Ticks stored as a history, a batch for each week."""
+    h = History(spark, scratch(spark, "history"), "series_id", "ts", ["tie"])
+    t = ticks(spark, sf).select("series_id", "tie", "ts", "price").withColumn("week", F.date_trunc("week", "ts"))
+    for week in [r[0] for r in t.select("week").distinct().orderBy("week").collect()]:
+        h.append_new(t.filter(F.col("week") == F.lit(week)).drop("week"))
+    return h, t.drop("week")
+
+
+@query("s03_tail_by_index", "series_id:i tie:i ts:t price:f",
+       with_sql(TICKS_SQL, body="SELECT series_id, tie, ts, price FROM ticks QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, tie DESC) <= 5"))
+def s03i(spark, sf):
+    return by_week(spark, sf)[0].tail(5)
+
+
+@query("s13_append_by_index", "series_id:i tie:i ts:t price:f", with_sql(TICKS_SQL, body="SELECT series_id, tie, ts, price FROM ticks"))
+def s13i(spark, sf):
+    h, t = by_week(spark, sf)
+    h.append_new(t.unionAll(t))  # nothing of it is new
+    return h.all()
+
+
 # ----- projections, filters, cleaning -----------------------------------------
 
 QUOTES_SQL = """
