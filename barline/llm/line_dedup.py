@@ -37,7 +37,9 @@ MAX_EDITS = 1
 MIN_CHARS = 20
 IDENT = ["at", "pos", "k1"]
 #: Groups of up to so many lines are paired; larger ones are cut by what else they share.
-GROUP_LINES, LEVELS = 64, 8
+GROUP_LINES, LEVELS = 64, 4
+#: Segments added to a signature from one level to the next.
+CUTS = 2
 
 
 def _segment(length: Column, i: int, n: int) -> tuple[Column, Column]:
@@ -173,18 +175,24 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def _cut_further(members: DataFrame, max_edits: int) -> DataFrame:
-    """Members of large groups, grouped by the segment shared so far and one of the rest."""
+    """Members of large groups, grouped by the segments shared so far and ``CUTS`` of the rest."""
+    rows = members.select(*IDENT, "sig", "start", "size", "gap", "filed", "line")
+    for _ in range(CUTS):
+        rows = _cut_once(rows, max_edits)
+    return _grouped(rows)
+
+
+def _cut_once(rows: DataFrame, max_edits: int) -> DataFrame:
     rest = F.concat(F.substring("line", F.lit(1), F.col("start")), F.col("line").substr(F.col("start") + F.col("size") + 1, F.length("line")))
-    rows = members.select(*IDENT, "sig", "start", "size", "gap", "filed", "line").withColumn("line", rest)
+    rows = rows.withColumn("line", rest)
     rows = rows.withColumn("length", F.length("line"))
     found = []
     for gap in range(max_edits + 1):
         for shift, sig in _shared_at(F.col("line"), F.col("length"), gap, max_edits):
             found.append(F.when(F.col("gap") == gap, F.struct(sig.alias("s"), (F.col("filed") & F.lit(gap == 0 and shift == 0)).alias("filed"))))
     rows = rows.select(*IDENT, F.col("sig").alias("above"), "gap", "line", F.explode(F.array(*found)).alias("e"))
-    rows = rows.filter("e.s IS NOT NULL").select(
+    return rows.filter("e.s IS NOT NULL").select(
         *IDENT, F.xxhash64("above", "e.s.sig").alias("sig"), "e.s.start", "e.s.size", "gap", "e.filed", "line")
-    return _grouped(rows)
 
 
 def _later_lines(members: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
@@ -193,18 +201,20 @@ def _later_lines(members: DataFrame, texts: DataFrame, max_edits: int) -> DataFr
     settled, kept, level = None, [members, texts], 1
     while True:
         to_leader = members.filter(me > F.col("leader"))
-        to_leader = to_leader if settled is None else to_leader.join(settled, IDENT, "left_anti")
+        to_leader = to_leader if level == 1 else to_leader.join(settled, IDENT, "left_anti")
         to_leader = to_leader.select(*[F.col(f"leader.{c}").alias(f"x_{c}") for c in IDENT], *IDENT).distinct()
-        found = _verified(to_leader, texts, max_edits)
-        settled = keep_table(found if settled is None else settled.unionByName(found).distinct(), "settled")
-        kept.append(settled)
+        if level == 1:
+            settled = keep_table(_verified(to_leader, texts, max_edits), "settled")
+            kept.append(settled)
 
         paired = members if level == LEVELS else members.filter(F.col("group_size") <= GROUP_LINES)
         open_ = paired.join(settled, IDENT, "left_anti").filter(me > F.col("leader"))
         others = paired.filter(me > F.col("leader")).select("sig", F.col("filed").alias("x_filed"), *[F.col(c).alias(f"x_{c}") for c in IDENT])
         earlier = F.struct(*[f"x_{c}" for c in IDENT]) < me
         rest = open_.join(others, "sig").filter(earlier & (F.col("filed") | F.col("x_filed")))
-        rest = rest.select(*[f"x_{c}" for c in IDENT], *IDENT).distinct()
+        rest = rest.select(*[f"x_{c}" for c in IDENT], *IDENT)
+        # further groups are few, so leaders and others are verified in one job
+        rest = (rest if level == 1 else rest.unionByName(to_leader)).distinct()
         settled = keep_table(settled.unionByName(_verified(rest, texts, max_edits)).distinct(), "settled")
         kept.append(settled)
 
