@@ -26,6 +26,7 @@ HEADLINE = [
     "w05_affine_scan",
     "w09_percent_rank",
     "w11_mad_zscore",
+    "w08_tick_order_statistics",
     "ind_tick_bollinger",
     "ind_wide_features",
     "feat_causal_set",
