@@ -21,6 +21,7 @@ the rule and weights that need the fewest sequences are kept.
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.llm import units
-from barline.llm.common import drop_tables, keep_table, whole
+from barline.llm.common import keep_table, whole
 
 TOKENS = 1024
 END = 2
@@ -78,7 +79,7 @@ def _documents(texts: pa.Array, vocabulary: str, end: int) -> Iterator[tuple[int
         yield row, b"".join([*coded, last])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], vocabulary: str, tokens: int, end: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], vocabulary: str, tokens: int, end: int, digests: bool) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     seen = np.zeros(tokens + 1, np.int64)
     for batch in batches:
@@ -89,17 +90,18 @@ def _cut(batches: Iterator[pa.RecordBatch], vocabulary: str, tokens: int, end: i
             head = total % tokens or tokens
             for piece, start in enumerate([0, *range(head, total, tokens)]):
                 stop = head if piece == 0 else start + tokens
-                rows.append((at, piece, start, data[4 * start : 4 * stop]))
+                ids = data[4 * start : 4 * stop]
+                rows.append((at, piece, start, stop - start, zlib.crc32(ids) if digests else ids))
             held += len(data)
             if held > 1 << 22:
-                yield _pieces(batch["id"], rows, task, seen)
+                yield _pieces(batch["id"], rows, task, seen, digests)
                 rows, held = [], 0
         if rows:
-            yield _pieces(batch["id"], rows, task, seen)
+            yield _pieces(batch["id"], rows, task, seen, digests)
 
 
-def _pieces(ids: pa.Array, rows: list[tuple], task: int, seen: np.ndarray) -> pa.RecordBatch:
-    length = np.array([len(r[3]) // 4 for r in rows], np.int64)
+def _pieces(ids: pa.Array, rows: list[tuple], task: int, seen: np.ndarray, digests: bool) -> pa.RecordBatch:
+    length = np.array([r[3] for r in rows], np.int64)
     order = np.argsort(length, kind="stable")
     run = length[order]
     place = np.empty(len(rows), np.int64)
@@ -111,17 +113,19 @@ def _pieces(ids: pa.Array, rows: list[tuple], task: int, seen: np.ndarray) -> pa
             pa.array([r[1] for r in rows], pa.int32()),
             pa.array([r[2] for r in rows], pa.int64()),
             pa.array(length),
-            pa.array([r[3] for r in rows], pa.binary()),
+            pa.array([r[4] for r in rows], pa.int64() if digests else pa.binary()),
             pa.array(np.full(len(rows), task), pa.int32()),
             pa.array(place),
         ],
-        ["id", "piece", "start", "length", "ids", "task", "place"],
+        ["id", "piece", "start", "length", "ids_crc32" if digests else "ids", "task", "place"],
     )
 
 
-def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS, end: int = END) -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS, end: int = END, digests: bool = False) -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids`` (unsigned 32-bit,
     little-endian), and the ``task`` and ``place`` that number the pieces of a length.
+    With ``digests`` the task that encodes a piece takes the CRC of its ids, and
+    ``ids_crc32`` stands in place of ``ids``.
 
     ``vocabulary`` is the path of a tokenizer's JSON, read on the driver. A null text counts
     as empty: its document is ``end`` alone. Strings of special tokens count as such.
@@ -131,8 +135,9 @@ def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         json = f.read()
     rows = docs.select(docs[id_col].alias("id"), whole(docs[text_col]).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids binary, task int, place long"
-    return keep_table(rows.mapInArrow(lambda b: _cut(b, json, tokens, end), schema), "pieces")
+    content = "ids_crc32 long" if digests else "ids binary"
+    schema = f"id {kind}, piece int, start long, length long, {content}, task int, place long"
+    return keep_table(rows.mapInArrow(lambda b: _cut(b, json, tokens, end, digests), schema), "pieces")
 
 
 def _best(residual: np.ndarray, need: np.ndarray, weight: np.ndarray, cap: np.ndarray, rule: str) -> int:
@@ -266,7 +271,5 @@ def sequences(packed: DataFrame, id_col: str = "id") -> DataFrame:
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: Capacity = Capacity(), end: int = END) -> DataFrame:
     """``cut`` and ``pack`` with the digest of each piece instead of its ids: one row per
     piece with id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``."""
-    pieces = cut(docs, vocabulary, id_col, text_col, capacity.tokens, end)
-    slim = keep_table(pieces.select("id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "task", "place"), "piece-digests")
-    drop_tables(pieces)
-    return pack(slim, capacity).withColumnRenamed("id", id_col)
+    pieces = cut(docs, vocabulary, id_col, text_col, capacity.tokens, end, digests=True)
+    return pack(pieces, capacity).withColumnRenamed("id", id_col)
