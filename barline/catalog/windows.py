@@ -286,7 +286,23 @@ def w25(spark, sf):
     return hourly_series(spark, sf).map(stage, back_rows=45)
 
 
-@query("w26_kalman_strength", "ts:t click:f view:f error:f signup:f")
+# the filter with one ratio taken in at a time, which equals taking all of an instant together
+@query("w26_kalman_strength", "ts:t click:f view:f error:f signup:f",
+       with_sql(HOURLY_SQL, """
+       wide AS (SELECT ts, max(close) FILTER (series_id = 'click') AS c, max(close) FILTER (series_id = 'view') AS v,
+         max(close) FILTER (series_id = 'error') AS e, max(close) FILTER (series_id = 'signup') AS s FROM bars GROUP BY ts),
+       g AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS t, ln(c / v / lag(c / v) OVER o) AS cv, ln(e / s / lag(e / s) OVER o) AS es,
+         ln(c / e / lag(c / e) OVER o) AS ce, ln(v / s / lag(v / s) OVER o) AS vs
+         FROM wide WHERE c / v > 0 AND e / s > 0 AND c / e > 0 AND v / s > 0 WINDOW o AS (ORDER BY ts)),
+       u AS (SELECT (t - 1) * 4 + m AS k, m, ts, [cv, es, ce, vs][m + 1] AS y, [1, 2, 1, 4][m + 1] AS i, [4, 3, 2, 3][m + 1] AS j
+         FROM g, unnest([0, 1, 2, 3]) AS l(m) WHERE t >= 1)""", """
+       r AS (SELECT -1::BIGINT AS k, [CASE WHEN n % 5 = 0 THEN 0.01 ELSE 0 END::DOUBLE FOR n IN range(16)] AS p, [0, 0, 0, 0]::DOUBLE[] AS x
+         UNION ALL SELECT k, [p[n + 1] - d[n // 4 + 1] * d[n % 4 + 1] / z FOR n IN range(16)] AS p,
+           [x[n] + d[n] / z * (y - x[i] + x[j]) - CASE WHEN m = 3 THEN (list_sum(x) + list_sum(d) / z * (y - x[i] + x[j])) / 4 ELSE 0 END FOR n IN range(1, 5)] AS x
+         FROM (SELECT *, d[i] - d[j] + 1e-3 AS z FROM (SELECT *, [p[4 * n + i] - p[4 * n + j] FOR n IN range(4)] AS d
+           FROM (SELECT u.*, x, CASE WHEN m = 0 THEN [p[n + 1] + CASE WHEN n % 5 = 0 THEN 1e-5 ELSE 0 END FOR n IN range(16)] ELSE p END AS p
+             FROM r JOIN u ON u.k = r.k + 1) a) b) c)""",
+       body="SELECT u.ts, x[1] AS click, x[2] AS error, x[3] AS signup, x[4] AS view FROM r JOIN u ON u.k = r.k WHERE m = 3", recursive=True))
 def w26(spark, sf):
     wide = panel(hourly(spark, sf), "series_id", "ts", "close", ["click", "view", "error", "signup"], "p_")
     ratios = wide.select("ts", *[(F.col(f"p_{a}") / F.col(f"p_{b}")).alias(f"{a}_{b}") for a, b in PAIRS])

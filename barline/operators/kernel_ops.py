@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from barline.operators.asof import asof
 from barline.operators.indicators.levels import limited_asi
+from barline.plans.matrixscan import matrix_scan
 from barline.plans.scan import ema_first, lookback
-from barline.plans.sequential import SequentialKernel, run_kernel
 from barline.plans.series import Series, as_list
 from barline.sources.sinks import materialize
 
@@ -301,8 +301,8 @@ def kalman_strength(panel: DataFrame, ts: str, legs: dict[str, tuple[str, str]],
     """Zero-mean entity strengths from pair log returns.
 
     ``panel`` holds one close column per pair; ``legs`` maps it to (base, quote).
-    With gains known in advance the filter is a vector recurrence with bounded
-    memory, walked in blocks.
+    With gains known in advance the filter is a vector recurrence with matrices that
+    depend on the row number alone, scanned in blocks.
     """
     pairs = sorted(legs)
     entities = sorted({e for legs_ in legs.values() for e in legs_})
@@ -310,20 +310,19 @@ def kalman_strength(panel: DataFrame, ts: str, legs: dict[str, tuple[str, str]],
     for i, p in enumerate(pairs):
         h[i, entities.index(legs[p][0])] += 1.0
         h[i, entities.index(legs[p][1])] -= 1.0
-    gains = kalman_gains(h, q, r)
     n = len(entities)
+    centre = np.eye(n) - 1.0 / n
+    pull = centre @ np.stack(kalman_gains(h, q, r))
+    keep = centre - pull @ h
+    names = [f"__y{i}" for i in range(len(pairs))]
 
-    def step(state, *ys):
-        t, x = int(state[0]), np.asarray(state[1:])
-        y = np.nan_to_num(np.asarray(ys))
-        x = x + gains[min(t, len(gains) - 1)] @ (y - h @ x)
-        x = x - x.mean()
-        return [float(min(t + 1, len(gains))), *x.tolist()], [tuple(x.tolist())]
+    def terms(cols: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(cols["__rn"].astype(int) - 1, len(pull) - 1)
+        y = np.nan_to_num(np.stack([cols[c] for c in names], axis=1))
+        return keep[at], (pull[at] @ y[:, :, None])[:, :, 0]
 
     returns = Series(panel, None, [ts]).columns(
         lambda fr: {f"__y{i}": F.log(F.col(p) / F.lag(p).over(fr.w())) for i, p in enumerate(pairs)}, back_rows=1
     ).filter(F.col("__y0").isNotNull())
-    kernel = SequentialKernel(
-        tuple(f"__y{i}" for i in range(len(pairs))), ", ".join(f"{e} double" for e in entities),
-        lambda: [0.0] * (n + 1), step)
-    return run_kernel(Series(returns, None, [ts]), kernel)
+    series = Series(returns, None, [ts])
+    return matrix_scan(series.with_df(series.numbered("__rn")), [*names, "__rn"], entities, terms, [0.0] * n)

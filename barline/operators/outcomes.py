@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from barline.functions.clock import HOUR_US, shift
 from barline.operators import windows as W
 from barline.operators.asof import asof
 from barline.operators.joins import backward_path, path
+from barline.plans.matrixscan import matrix_fold
 from barline.plans.orderstats import robust_zscores
 from barline.plans.series import Frame, Series, as_list
 
@@ -178,44 +180,21 @@ def coactivation(series: Series, price: str, levels: Sequence[int], n: int, thre
 def ceiling(series: Series, price: str, cost: float) -> DataFrame:
     """Best total of non-overlapping long/short segments with perfect foresight, net of cost.
 
-    The best position follows from turning points: with states flat, long and
-    short a bar is a 3x3 max-plus matrix.  Matrices are folded per block in
-    Arrow and the few block matrices of a key folded again.
+    With the states flat, long and short a bar is a 3x3 max-plus matrix: the best total
+    in each state follows from those before it. Matrices are folded per block and the
+    blocks of a key in a tree.
     """
-    import numpy as np
-    import pandas as pd
+    turn = np.array([[0.0, cost, cost], [0.0, 0.0, cost], [0.0, cost, 0.0]])
+
+    def terms(cols: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        x = cols["__d"]
+        gain = np.stack((np.zeros_like(x), x, -x), axis=1)
+        return gain[:, :, None] - turn.T, np.full((len(x), 3), -np.inf)
 
-    key = list(series.key)
     d = series.columns(lambda fr: {"__d": F.col(price) - F.lag(price).over(fr.w())}, back_rows=1)
-    s = series.with_df(d.select(*key, *series.order, "__d"))
-    numbered = s.numbered("__rn").filter(F.col("__d").isNotNull()).withColumn("__g", F.floor(F.col("__rn") / 4096))
-    cols = [f"m{i}{j}" for i in range(3) for j in range(3)]
-    names = [*key, "__g"]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rn")
-        m = np.full((3, 3), -np.inf)
-        np.fill_diagonal(m, 0.0)
-        turn = np.array([[0.0, cost, cost], [0.0, 0.0, cost], [0.0, cost, 0.0]])
-        for x in pdf["__d"].to_numpy():
-            step = np.array([0.0, x, -x])[None, :] - turn
-            m = (m[:, :, None] + step[None, :, :]).max(axis=1)
-        out = pdf[names].iloc[[0]].reset_index(drop=True)
-        for i in range(3):
-            for j in range(3):
-                out[f"m{i}{j}"] = m[i, j]
-        return out
-
-    schema = ", ".join([f"{k} {series.df.schema[k].dataType.simpleString()}" for k in key] + ["__g long"] + [f"{x} double" for x in cols])
-    blocks = numbered.groupBy(*names).applyInPandas(fold, schema)
-    arr = F.array_sort(F.collect_list(F.struct("__g", *cols)))
-    g = blocks.groupBy(*key).agg(arr.alias("__a"))
-    start = F.array(F.lit(0.0), F.lit(float("-inf")), F.lit(float("-inf")))
-
-    def merge(acc, x):
-        return F.array(*[F.greatest(*[acc[i] + x[f"m{i}{j}"] for i in range(3)]) for j in range(3)])
-
-    return g.select(*key, F.array_max(F.aggregate("__a", start, merge)).alias("ceiling"))
+    steps = series.with_df(d.filter(F.col("__d").isNotNull()))
+    best = matrix_fold(steps, ["__d"], ["__flat", "__long", "__short"], terms, [0.0, -np.inf, -np.inf], "max")
+    return best.select(*series.key, F.greatest("__flat", "__long", "__short").alias("ceiling"))
 
 
 def outcome_by(events: DataFrame, bars: DataFrame, key, at: str) -> DataFrame:

@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.plans.matrixscan import block_starts, with_starts
 from barline.plans.series import Frame, Series
 
 # -ln of the weight at which a past row no longer changes a double
@@ -105,8 +106,8 @@ def affine_scan(series: Series, out: str, a: Column, b: Column, init: float = 0.
     """Public scan for any ``a`` in [0, 1], exact also where ``a`` stays at 1.
 
     A split key needs a carry: each block is folded to (A, B) with
-    ``end = A * start + B``; those few rows per hot key are chained and the
-    start value of each block is joined back.
+    ``end = A * start + B``; a tree over these maps gives the start value of each
+    block, which is joined back.
     """
     df, fr = series.blocks()
     d = df.withColumn("__a", a.cast("double")).withColumn("__b", b.cast("double"))
@@ -120,28 +121,9 @@ def affine_scan(series: Series, out: str, a: Column, b: Column, init: float = 0.
     folds = own.groupBy(*[F.col(p) for p in fr.parts]).agg(
         F.max_by("__w", pos).alias("__A"), F.max_by("__y", pos).alias("__B")
     )
-    # one row per block of a key: small, so the fold over blocks is an array fold
-    key = list(series.key)
-    rows = F.array_sort(F.collect_list(F.struct("__blk", "__A", "__B")))
-    chained = folds.groupBy(*[F.col(k) for k in key]).agg(rows.alias("__f"))
-    state = F.aggregate(
-        "__f",
-        F.struct(F.lit(float(init)).alias("y"), F.array().cast("array<double>").alias("starts")),
-        lambda acc, x: F.struct(
-            (x["__A"] * acc["y"] + x["__B"]).alias("y"),
-            F.concat(acc["starts"], F.array(acc["y"])).alias("starts"),
-        ),
-    )
-    starts = chained.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)],
-        F.explode(F.arrays_zip(F.col("__f.__blk").alias("blk"), state["starts"].alias("y0"))).alias("__s"),
-    ).select(*[f"__k{i}" for i in range(len(key))], F.col("__s.blk").alias("__cb"), F.col("__s.y0").alias("__y0"))
-    cond = F.col("__blk") == F.col("__cb")
-    for i, k in enumerate(key):
-        cond = cond & (F.col(k) == F.col(f"__k{i}"))
-    return own.join(starts, cond, "left").select(
-        *series.df.columns, (F.col("__y") + F.col("__w") * F.col("__y0")).alias(out)
-    )
+    maps = folds.select(*series.key, "__blk", F.array("__A").alias("__A"), F.array("__B").alias("__b"))
+    rows = with_starts(own, block_starts(maps, series.key, [init]), series.key)
+    return rows.select(*series.df.columns, (F.col("__y") + F.col("__w") * F.col("__x0")[0]).alias(out))
 
 
 def ema_seeded(d: DataFrame, fr: Frame, out: str, x: Column, n: int, alpha: float | None = None) -> DataFrame:

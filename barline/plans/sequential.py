@@ -75,7 +75,7 @@ def runs(kernel: SequentialKernel, parts: Sequence[str], keep: Sequence[str], na
         for pdf in batches:
             if not len(pdf):
                 continue
-            fresh = _new_run_flags(pdf, parts, last_key)
+            fresh = new_run_flags(pdf, parts, last_key)
             last_key = tuple(pdf[p].iloc[-1] for p in parts)
             starts = pdf[start_column].tolist() if start_column else None
             columns = [pdf[c].astype("float64").tolist() for c in kernel.inputs]
@@ -95,7 +95,7 @@ def runs(kernel: SequentialKernel, parts: Sequence[str], keep: Sequence[str], na
     return apply
 
 
-def _new_run_flags(pdf: pd.DataFrame, parts: Sequence[str], last_key: tuple | None) -> list[bool]:
+def new_run_flags(pdf: pd.DataFrame, parts: Sequence[str], last_key: tuple | None) -> list[bool]:
     first = last_key is None or tuple(pdf[p].iloc[0] for p in parts) != last_key
     if not parts:
         flags = np.zeros(len(pdf), dtype=bool)
@@ -123,7 +123,7 @@ def measure(kernel: SequentialKernel, parts: Sequence[str]):
         for pdf in batches:
             if not len(pdf):
                 continue
-            fresh = _new_run_flags(pdf, parts, last_key)
+            fresh = new_run_flags(pdf, parts, last_key)
             keys = list(zip(*[pdf[p].tolist() for p in parts]))
             own = pdf["__own"].tolist()
             given = pdf["__given"].tolist() if "__given" in pdf.columns else [None] * len(pdf)
