@@ -59,10 +59,11 @@ class UnitIds:
 
     def __init__(self, coder, lead: str = " "):
         self.coder, self.lead = coder, lead
+        self.merge = coder.model.tokenize
         self.word = Remembered(self._merge)
 
     def _merge(self, words: list[str]) -> list[bytes]:
-        merge = self.coder.model.tokenize
+        merge = self.merge
         shown = [w.replace(" ", _SHOWN[0x20]) if w.isascii() and w != "\n" else w.encode().decode("latin-1").translate(_SHOWN) for w in words]
         return [array("I", [t.id for t in merge(w)]).tobytes() for w in shown]
 
@@ -180,14 +181,15 @@ class Remembered:
         missed = [i for i, x in enumerate(out) if x is None]
         if not missed:
             return out
-        found = dict.fromkeys([parts[i] for i in missed])
-        known = self.old.get
-        for u in found:
-            found[u] = known(u)
-        new = [u for u, x in found.items() if x is None]
+        asked = parts if len(missed) == len(parts) else [parts[i] for i in missed]
+        found = dict.fromkeys(asked)
+        new = list(found)
+        if self.old:
+            found = dict(zip(new, map(self.old.get, new), strict=True))
+            new = [u for u, x in found.items() if x is None]
         if new:
             found.update(zip(new, self.encode(new), strict=True))
-        for i in missed:
-            out[i] = found[parts[i]]
+        for i, x in zip(missed, map(found.__getitem__, asked), strict=True):
+            out[i] = x
         self.put(found)
         return out
