@@ -126,3 +126,46 @@ def test_parts_hold_each_row_once_and_in_order(spark, tmp_path, monkeypatch):
     rows = [(r.part, r.event_id) for r in spark.read.parquet(base).collect()]
     assert sorted(i for _, i in rows) == list(range(300))
     assert [i for _, i in sorted(rows)] == list(range(300)) and {p for p, _ in rows} == {0, 1, 2}
+
+
+class _Calls:
+    """States in memory that count their calls."""
+
+    def __init__(self):
+        self.map, self.value, self.n, self.timers = {}, None, 0, set()
+
+    def __getattr__(self, name):
+        act = {
+            "getValueState": lambda *a: self, "getMapState": lambda *a: self, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v),
+            "keys": lambda: iter(list(self.map)), "getValue": lambda k: self.map[tuple(k)], "updateValue": lambda k, v: self.map.__setitem__(tuple(k), v),
+            "containsKey": lambda k: tuple(k) in self.map, "removeKey": lambda k: self.map.pop(tuple(k)),
+            "registerTimer": self.timers.add, "deleteTimer": self.timers.discard, "getCurrentWatermarkInMs": lambda: self.now,
+        }[name]
+
+        def call(*a):
+            self.n += 1
+            return act(*a)
+
+        return call
+
+
+@pytest.mark.parametrize("waits", [False, True])
+def test_state_calls_do_not_follow_the_rows(waits):
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    state = _Calls()
+    m = KS._Machine(BN.kernel("ema", "price", 2), [T.StructField("tie", T.LongType())], ["ema"], waits, None, None)
+    m.init(state)
+    rng = np.random.default_rng(1)
+    # 60,000 rows in disorder: more than are held, so runs are cut and merged again
+    us = rng.permutation(60_000) * 1_000
+    found = []
+    for lot in (us[:30_000], us[30_000:]) if waits else (us,):
+        frames = [pd.DataFrame({"us__": f, "tie": 1, "price": f.astype(float)}) for f in np.array_split(lot, 3)]
+        found += list(m.handleInputRows((1,), iter(frames), state))
+    if waits:
+        for state.now in (20_000, 100_000):
+            found += list(m.handleExpiredTimer((1,), state, None))
+    got = [u for f in found for u in f["us__"]]
+    assert got == sorted(us.tolist()) and not state.map and state.n < 2_000
