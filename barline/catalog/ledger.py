@@ -10,6 +10,7 @@ from barline.functions.clock import DAY_US, HOUR_US
 from barline.operators import ledger as L
 from barline.operators.joins import pair_bridge
 from barline.sources.readers import read_table
+from barline.sources.sinks import materialize
 
 # line numbers repeat inside an order, so the result itself is the last tie-breaker
 ORDER = ["exit_time", "l_orderkey", "l_linenumber", "pnl"]
@@ -43,14 +44,14 @@ def l02(spark, sf):
 @query("l03_equity_curve", "l_orderkey:i l_linenumber:i strategy:s equity:f trade_no:i",
        with_sql(LEDGER_SQL, body=f"SELECT l_orderkey, l_linenumber, strategy, sum(pnl) OVER {W} AS equity, count(*) OVER {W} AS trade_no FROM ledger"))
 def l03(spark, sf):
-    return L.equity_curve(ledger(spark, sf), "strategy", ORDER)
+    return L.equity_curve(ledger(spark, sf).select("strategy", *ORDER), "strategy", ORDER)
 
 
 @query("l04_max_drawdown", "strategy:s max_drawdown:f final:f",
        with_sql(LEDGER_SQL, f"e AS (SELECT strategy, exit_time, l_orderkey, l_linenumber, pnl, sum(pnl) OVER {W} AS q FROM ledger)", f"p AS (SELECT *, max(q) OVER {W} AS pk FROM e)",
                 body="SELECT strategy, min(q - greatest(pk, 0)) AS max_drawdown, last(q ORDER BY exit_time, l_orderkey, l_linenumber, pnl) AS final FROM p GROUP BY 1"))
 def l04(spark, sf):
-    return L.max_drawdown(L.equity_curve(ledger(spark, sf), "strategy", ORDER), "strategy", ORDER)
+    return L.max_drawdown(L.equity_curve(ledger(spark, sf).select("strategy", *ORDER), "strategy", ORDER), "strategy", ORDER)
 
 
 LAST_SQL = "lt AS (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY pair ORDER BY exit_time DESC, l_orderkey DESC, l_linenumber DESC, pnl DESC) <= 50)"
@@ -65,7 +66,7 @@ def l05(spark, sf):
 @query("l06_blend", "pair:i blended:f",
        with_sql(LEDGER_SQL, LAST_SQL, PERF_SQL, "lf AS (SELECT pair, avg(pnl) AS prior FROM ledger GROUP BY 1)", body="SELECT pair, pow(0.5, n / 30.0) * prior + (1 - pow(0.5, n / 30.0)) * mean AS blended FROM lf JOIN pf USING (pair)"))
 def l06(spark, sf):
-    led = ledger(spark, sf)
+    led = materialize(ledger(spark, sf).select("pair", *ORDER), "trades")
     prior = led.groupBy("pair").agg(F.avg("pnl").alias("prior"))
     return prior.join(L.rolling_perf(led, "pair", ORDER, 50), "pair", "left").select(
         "pair", L.blend(F.col("prior"), F.col("mean"), F.col("n"), 30.0).alias("blended"))

@@ -149,3 +149,13 @@ def test_quantiles_and_ranks_without_gathering(spark, small_blocks):
     labels = ntile_labels(df, None, ["ts", "tie"], 7, "f")
     sizes = sorted(r["count"] for r in labels.groupBy("f").count().collect())
     assert max(sizes) - min(sizes) <= 1
+
+
+def test_a_hot_derived_series_is_written_once(spark, small_blocks):
+    from barline.plans.series import Series, reads_files_alone
+
+    a = spark.range(300).selectExpr("id % 2 AS k", "id AS i")
+    s = Series(a.join(spark.range(300).withColumnRenamed("id", "i"), "i").select("k", "i"), "k", ["i"])
+    assert not reads_files_alone(s.df)
+    got = s.numbered("rn").collect()
+    assert reads_files_alone(s.df) and sorted(r.rn for r in got if r.k == 0) == list(range(1, 151))
