@@ -22,6 +22,7 @@ from barline.operators.ordering import circular_extreme
 from barline.plans.quantiles import group_quantiles
 from barline.plans.rangejoin import point_in_interval
 from barline.plans.series import Series, as_list
+from barline.sources.sinks import materialize
 
 
 def cost_profile(df: DataFrame, key, cost: str, ts: str = "ts", liquid_share: float = 0.5) -> DataFrame:
@@ -48,6 +49,7 @@ def equity_curve(ledger: DataFrame, by, order: Sequence[str], pnl: str = "pnl")
 def daily_curve(ledger: DataFrame, by, ts: str = "exit_time", pnl: str = "pnl") -> DataFrame:
     keys = as_list(by)
     d = ledger.groupBy(*keys, F.date_trunc("day", ts).alias("day")).agg(F.sum(pnl).alias("pnl"), F.count(F.lit(1)).alias("n"))
+    d = materialize(d, "daily")  # small, and callers read it in several branches
     return Series(d, keys, ["day"]).running({"equity": ("sum", F.col("pnl"))})
 
 
@@ -225,6 +227,7 @@ def financing(ledger: DataFrame, rates: DataFrame, ids: Sequence[str], entry: st
         return F.to_date(F.from_utc_timestamp(F.col(c), tz) - F.expr(f"INTERVAL {hour} HOURS"))
 
     led = ledger.select(*dict.fromkeys([*ids, units]), last_rollover(entry).alias("__d0"), last_rollover(exit_).alias("__d1"))
+    led = materialize(led, "rollovers")  # for the span and for the charges
     span = led.agg(F.min("__d0").alias("a"), F.max("__d1").alias("b"))
     days = span.select(F.explode(F.sequence("a", "b")).alias("__d")).withColumn("__roll", local_instant("__d", tz, hour))
     table = F.array(*[F.lit(x) for x in ROLLOVER_DAYS])
@@ -233,7 +236,7 @@ def financing(ledger: DataFrame, rates: DataFrame, ids: Sequence[str], entry: st
     cum = Series(priced, None, ["__d"], bounded_rows=CALENDAR_DAYS).running({"__cum": ("sum", F.col("__c"))})
 
     def at(day: str, name: str) -> DataFrame:
-        return cum.select(F.col("__d").alias(day), F.col("__cum").alias(name))
+        return F.broadcast(cum.select(F.col("__d").alias(day), F.col("__cum").alias(name)))  # a calendar's days
 
     j = led.join(at("__d0", "__a"), "__d0").join(at("__d1", "__z"), "__d1")
     return j.select(*ids, (F.col(units) * (F.col("__z") - F.col("__a"))).alias("financing"), F.date_diff("__d1", "__d0").alias("n_rollovers"))
