@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from barline.operators.cleaning import hash_uniform
 from barline.plans.bijection import permuted
 from barline.plans.quantiles import average_ranks, group_quantiles, ntile_labels
-from barline.plans.series import Series, as_list
+from barline.plans.series import DEFAULT_BROADCAST_ROWS, Series, as_list
 from barline.sources.sinks import materialize
 
 
@@ -191,8 +191,9 @@ def folds(df: DataFrame, order: Sequence[str], n: int, name: str = "fold") -> Da
 
 def is_oos(df: DataFrame, order: Sequence[str], frac: float, name: str = "split") -> DataFrame:
     """First ``frac`` of rows in time are in-sample."""
-    numbered = Series(df, None, list(order)).numbered("__rn")
-    total = df.agg(F.count(F.lit(1)).alias("__t"))
+    s = Series(df, None, list(order))
+    numbered = s.numbered("__rn")
+    total = s.df.agg(F.count(F.lit(1)).alias("__t"))
     j = numbered.join(F.broadcast(total))  # one row
     return j.withColumn(name, F.when(F.col("__rn") <= F.floor(F.col("__t") * frac), F.lit("IS")).otherwise(F.lit("OOS"))).drop("__rn", "__t")
 
@@ -287,11 +288,14 @@ def check_causal(op: Callable[[DataFrame], DataFrame], df: DataFrame, ts: str, c
 
 def equity_paths(ledger: DataFrame, pnl: str, order: Sequence[str], n: int, horizon: int, seed: int = 7) -> DataFrame:
     """Quartiles of final return and worst drawdown over resampled trade sequences."""
-    trades = Series(ledger.select(*order, pnl), None, list(order)).numbered("__i").select((F.col("__i") - 1).alias("__pick"), F.col(pnl).alias("__x"))
-    size = ledger.agg(F.count(F.lit(1)).alias("__t"))
+    s = Series(ledger.select(*order, pnl), None, list(order))
+    trades = s.numbered("__i").select((F.col("__i") - 1).alias("__pick"), F.col(pnl).alias("__x"))
+    size = s.df.agg(F.count(F.lit(1)).alias("__t"))
     draws = size.select("__t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")).select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("__k"))
     draws = draws.withColumn("__pick", F.floor(hash_uniform([F.lit(seed), "rep", "__k"], seed) * F.col("__t")))
-    seq = draws.join(trades, "__pick").select("rep", "__k", "__x")
+    if n * horizon <= DEFAULT_BROADCAST_ROWS:
+        draws = F.broadcast(draws)  # n * horizon rows: the numbered trades do not move
+    seq = materialize(draws.join(trades, "__pick").select("rep", "__k", "__x"), "paths")
     eq = Series(seq, "rep", ["__k"], bounded_rows=horizon)
     eq = eq.with_df(eq.running({"__eq": ("sum", F.col("__x"))}))
     dd = eq.running({"__peak": ("max", F.col("__eq"))})

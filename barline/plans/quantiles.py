@@ -68,8 +68,9 @@ def average_ranks(df: DataFrame, by: str | Sequence[str] | None, col: str, name:
 def ntile_labels(df: DataFrame, by: str | Sequence[str] | None, order: Sequence[str], n: int, name: str) -> DataFrame:
     """``ntile(n)`` per group with the running row number instead of one sorted task."""
     keys = as_list(by)
-    numbered = Series(df, keys, list(order)).numbered("__rn")
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__t"))
+    s = Series(df, keys, list(order))
+    numbered = s.numbered("__rn")
+    totals = s.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__t"))
     joined = numbered.join(totals, keys) if keys else numbered.join(F.broadcast(totals))
     base, extra = F.floor(F.col("__t") / n), F.col("__t") % n
     big = (base + 1) * extra
