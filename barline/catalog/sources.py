@@ -12,7 +12,7 @@ from barline.functions.clock import HOUR_US, clock_features, session_label
 from barline.functions.scalar import clip_scale, to_base, to_pips
 from barline.operators import bars as B
 from barline.operators import cleaning as P
-from barline.operators.asof import asof
+from barline.operators.asof import asof_instants
 from barline.sources.history import History
 from barline.sources import readers as R
 from barline.sources import sinks as K
@@ -123,7 +123,7 @@ def s07(spark, sf):
     ).select(F.lit("ALL").alias("entity"), F.concat(F.col("y") + 1, F.lit("-01-01 00:00:00")).alias("date"), "rate"
              ).write.option("header", True).csv(path)
     rates = R.read_rates(spark, path, "entity", "date", "rate").drop("entity")
-    return asof(ledger(spark, sf), rates, None, left_ts="entry_time")
+    return asof_instants(ledger(spark, sf).select("l_orderkey", "l_linenumber", "entry_time"), rates, "entry_time")
 
 
 @query(

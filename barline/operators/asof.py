@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.clock import floor_ts
-from barline.plans.series import Series, as_list
+from barline.plans.series import Series, as_list, reads_files_alone
+from barline.sources.sinks import materialize
 
 
 def asof(
@@ -102,10 +103,20 @@ def _asof_by_instant(left, right, keys, left_ts, right_ts, direction, strict, to
     return dealt.join(copies, cond, "left").select(*keys, *[c for c in left.columns if c not in keys], *cols)
 
 
+def asof_instants(left: DataFrame, right: DataFrame, left_ts: str = "ts", right_ts: str = "available_at", **more) -> DataFrame:
+    """The join without a key for a left table that repeats few instants, such as dates: they
+    are looked up once and its rows fetch what was found, so rows are not sorted as one series.
+    The right side has one row per instant."""
+    if not reads_files_alone(left):
+        left = materialize(left, "left")
+    asked = left.select(left_ts).distinct()
+    return left.join(asof(materialize(asked, "instants"), materialize(right, "known"), None, left_ts, right_ts, instants=True, **more), left_ts, "left")
+
+
 def next_after(left: DataFrame, calendar: DataFrame, left_ts: str, cal_ts: str, out: str) -> DataFrame:
     """First calendar instant strictly after each left instant."""
     right = calendar.select(F.col(cal_ts).alias("__cal")).distinct()
-    return asof(left, right, None, left_ts, "__cal", direction="forward", strict=True, keep_right_ts=out)
+    return asof_instants(left, right, left_ts, "__cal", direction="forward", strict=True, keep_right_ts=out)
 
 
 def contain(fine: DataFrame, coarse: DataFrame, key: str | Sequence[str], width_us: int, coarse_id: str) -> DataFrame:

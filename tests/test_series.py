@@ -159,3 +159,16 @@ def test_a_hot_derived_series_is_written_once(spark, small_blocks):
     assert not reads_files_alone(s.df)
     got = s.numbered("rn").collect()
     assert reads_files_alone(s.df) and sorted(r.rn for r in got if r.k == 0) == list(range(1, 151))
+
+
+def test_dates_are_looked_up_once(spark):
+    """Next calendar day of rows that repeat few instants; none after the last one or for null."""
+    import datetime as dt
+
+    from barline.operators.asof import next_after
+
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    left = spark.createDataFrame([(i, day(i % 5) if i % 7 else None) for i in range(40)], "i int, t timestamp")
+    cal = spark.createDataFrame([(day(1),), (day(3),), (day(3),)], "c timestamp")
+    got = {r.i: r.nxt for r in next_after(left, cal, "t", "c", "nxt").collect()}
+    assert got == {i: ([day(1), day(3), day(3), None, None][i % 5] if i % 7 else None) for i in range(40)}
