@@ -128,6 +128,22 @@ def test_parts_hold_each_row_once_and_in_order(spark, tmp_path, monkeypatch):
     assert [i for _, i in sorted(rows)] == list(range(300)) and {p for p, _ in rows} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("delayed_hours", [0])
+def test_parts_survive_cuts_that_change_with_each_job(spark, tmp_path, monkeypatch, delayed_hours):
+    """A seeded draw repeats from job to job; these cuts come from the JVM's own random source."""
+    from pyspark.sql import functions as F
+
+    from barline.catalog import streaming as C
+
+    spark.range(3000).selectExpr("id AS event_id", "timestamp_seconds(id div 3 * 60) AS ts", "0L AS user_id", "1D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    draw = lambda: F.expr("CAST(java_method('java.lang.Math', 'random') AS double)")
+    unsteady = lambda c, q: F.array(*[F.timestamp_seconds((F.max(F.unix_seconds(c)) * x * (F.lit(0.5) + draw())).cast("long")) for x in q])
+    monkeypatch.setattr(C.F, "percentile_approx", unsteady)
+    base, schema = C.parts(spark, str(tmp_path), delayed_hours)
+    found = [r.event_id for r in spark.read.schema(schema).parquet(f"{base}/*").collect()]
+    assert sorted(found) == list(range(3000))
+
+
 class _Calls:
     """States in memory that count their calls."""
 
