@@ -128,7 +128,7 @@ def test_parts_hold_each_row_once_and_in_order(spark, tmp_path, monkeypatch):
     assert [i for _, i in sorted(rows)] == list(range(300)) and {p for p, _ in rows} == {0, 1, 2}
 
 
-@pytest.mark.parametrize("delayed_hours", [0])
+@pytest.mark.parametrize("delayed_hours", [0, 12])
 def test_parts_survive_cuts_that_change_with_each_job(spark, tmp_path, monkeypatch, delayed_hours):
     """A seeded draw repeats from job to job; these cuts come from the JVM's own random source."""
     from pyspark.sql import functions as F
