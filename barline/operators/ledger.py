@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.clock import DAY_US, hour_of_week, local_instant
+from barline.functions.clock import DAY_US, HOUR_US, hour_of_week, local_instant
 from barline.functions.scalar import clip
 from barline.operators.aggregates import cut
 from barline.operators.asof import asof
@@ -21,7 +21,7 @@ from barline.operators.joins import signed_explode
 from barline.operators.ordering import circular_extreme
 from barline.plans.quantiles import group_quantiles
 from barline.plans.rangejoin import point_in_interval
-from barline.plans.series import Series, as_list
+from barline.plans.series import BROADCAST_ROWS_CONF, DEFAULT_BROADCAST_ROWS, Series, as_list
 from barline.sources.sinks import materialize
 
 
@@ -176,6 +176,29 @@ def excursion_ratios(df: DataFrame, pnl: str, mfe: str, mae: str) -> DataFrame:
         "pnl_over_mae", F.when(F.col(mae) < 0, F.col(pnl) / -F.col(mae)))
 
 
+#: Width of the cells of time in which bars are looked for.
+CELL_US = HOUR_US
+
+
+def at_next_bar(rows: DataFrame, at: str, bars: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with ``at`` moved up to the first bar of their key at or after it, or, if their
+    cell of time has none, to the end of the cell. What a bar sees as of its time stays the
+    same, and rows have no more instants than there are bars and cells."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    cell = lambda c: us(c) - F.pmod(us(c), F.lit(CELL_US))
+    stops = bars.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], cell("ts").alias("__k")).agg(
+        F.sort_array(F.collect_set("ts")).alias("__stops"))
+    stops = materialize(stops, "stops")
+    if stops.count() <= int(rows.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS))):
+        stops = F.broadcast(stops)
+    cond = cell(at) == F.col("__k")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    end = F.timestamp_micros(cell(at) + F.lit(CELL_US)).cast(rows.schema[at].dataType)
+    moved = F.coalesce(F.get(F.filter("__stops", lambda s: s >= F.col(at)), F.lit(0)), end)
+    return rows.join(stops, cond, "left").select(*[moved.alias(c) if c == at else F.col(c) for c in rows.columns])
+
+
 def floating_equity(ledger: DataFrame, bars: DataFrame, key: str, entry: str, exit_: str, width_us: int) -> DataFrame:
     """Open trades marked on bars plus realised results, one total per bar time.
 
@@ -185,8 +208,12 @@ def floating_equity(ledger: DataFrame, bars: DataFrame, key: str, entry: str, ex
 
     A book is known from running sums: trades open and their entry value, for each key and
     side, change at entries and exits only. A bar looks them up as of its time and marks
-    them at once, so there is no row per open trade and bar.
+    them at once, so there is no row per open trade and bar. Changes are added up over the
+    time from one bar to the next before anything is sorted, so what is sorted follows the
+    bars.
     """
+    bars = materialize(bars.select(key, "ts", "bid_c", "ask_c"), "marks")  # for marks, stops and times
+    times = bars.select("ts").distinct()
     long, price = F.col("side") > 0, F.col("entry_price")
     priced = F.when(price.isNotNull(), 1).otherwise(0)
     book = {"__open": F.lit(1), "__longs": F.when(long, priced).otherwise(0), "__shorts": F.when(long, 0).otherwise(priced),
@@ -195,15 +222,15 @@ def floating_equity(ledger: DataFrame, bars: DataFrame, key: str, entry: str, ex
     changes = lasting.select(key, F.explode(F.array(*[
         F.struct(F.col(at).alias("__at"), *[(F.lit(sign) * c).cast("double").alias(n) for n, c in book.items()]) for at, sign in ((entry, 1), (exit_, -1))
     ])).alias("c")).select(key, "c.*")
-    changes = changes.groupBy(key, "__at").agg(*[F.sum(n).alias(n) for n in book])
+    changes = at_next_bar(changes, "__at", bars, [key]).groupBy(key, "__at").agg(*[F.sum(n).alias(n) for n in book])
     held = Series(changes, key, ["__at"]).running({f"{n}_now": ("sum", F.coalesce(F.col(n), F.lit(0.0))) for n in book}).drop(*book)
-    marks = asof(bars.select(key, "ts", "bid_c", "ask_c"), held, key, right_ts="__at")
+    marks = asof(bars, held, key, right_ts="__at")
     part = lambda n, at: F.when(F.col(n) != 0, F.col(n) * F.col(at)).otherwise(F.lit(0.0))
     mark = part("__longs_now", "bid_c") - part("__shorts_now", "ask_c") - F.col("__paid_now")
     open_now = marks.groupBy("ts").agg(F.sum(mark).alias("floating"), F.sum("__open_now").cast("long").alias("n_open"))
-    closed = ledger.groupBy(F.col(exit_).alias("available_at")).agg(F.sum("pnl").alias("__p"))
+    closed = ledger.filter(F.col(exit_).isNotNull()).select(F.col(exit_).alias("available_at"), "pnl")
+    closed = at_next_bar(closed, "available_at", times, []).groupBy("available_at").agg(F.sum("pnl").alias("__p"))
     realised = Series(closed, None, ["available_at"]).running({"realised": ("sum", F.col("__p"))}).drop("__p")
-    times = bars.select("ts").distinct()
     d = asof(times, realised, None).join(open_now, "ts", "left")
     return d.select("ts", F.coalesce("floating", F.lit(0.0)).alias("floating"), F.coalesce("realised", F.lit(0.0)).alias("realised"),
                     F.coalesce("n_open", F.lit(0)).alias("n_open"), (F.coalesce("floating", F.lit(0.0)) + F.coalesce("realised", F.lit(0.0))).alias("equity"))
