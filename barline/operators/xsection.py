@@ -314,12 +314,22 @@ def eigen_residual(wide: DataFrame, ts: str, cols: Sequence[str], window: int, k
     return out.select(ts, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in outputs])
 
 
+#: Rows of a task while a model is fitted; each boosting round reads its cached points again.
+FIT_ROWS = 500_000
+
+
+def fit_rows(rows: DataFrame) -> DataFrame:
+    """The rows dealt over enough tasks that none holds many more than ``FIT_ROWS``."""
+    tasks = -(-rows.count() // FIT_ROWS)
+    return rows.repartition(tasks) if tasks > rows.rdd.getNumPartitions() else rows
+
+
 def feature_importance(df: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
     """Importance of each feature in a gradient-boosted tree model of the label."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = df.select(*features, F.col(label).cast("double").alias("__y")).dropna()
+    rows = fit_rows(df.select(*features, F.col(label).cast("double").alias("__y")).dropna())
     x = VectorAssembler(inputCols=list(features), outputCol="__x").transform(rows)
     model = GBTRegressor(featuresCol="__x", labelCol="__y", maxIter=trees, maxDepth=depth, seed=seed).fit(x)
     vals = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]

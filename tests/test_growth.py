@@ -23,3 +23,16 @@ def test_floating_equity_sorts_bars_not_trades(spark, monkeypatch):
         marks = [(b[2] - 3.0 if x[4] > 0 else 3.0 - b[3]) for b in bars if b[1] == r.ts for x in trades if x[0] == b[0] and x[1] <= r.ts < x[2]]
         assert (r.n_open, round(r.floating, 6), r.realised) == (len(marks), round(sum(marks), 6), sum(x[5] for x in trades if x[2] <= r.ts))
     assert max(seen) < 30
+
+
+def test_a_model_is_fitted_on_bounded_tasks(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    from barline.operators import xsection as X
+
+    fit, tasks = GBTRegressor.fit, []
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, x: tasks.append(x.rdd.getNumPartitions()) or fit(self, x))
+    monkeypatch.setattr(X, "FIT_ROWS", 50, raising=False)
+    df = spark.range(0, 1000, 1, 2).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    found = {r.feature: r.importance for r in X.feature_importance(df.withColumn("y", F.col("a") * 2), ["a", "b"], "y", trees=2, depth=2).collect()}
+    assert tasks == [20] and found["a"] > 0.9
