@@ -115,12 +115,17 @@ def overlap_counts(a: DataFrame, b: DataFrame, key: str, a_span: tuple[str, str]
     those that start by its end less those that end before its start."""
     nothing = [F.lit(None).cast(a.schema[c].dataType).alias(c) for c in a_ids]
 
-    def marks(df: DataFrame, at: str, side: str, rank: int, weight: int | None) -> DataFrame:
-        ids = list(a_ids) if weight is None else nothing
-        return df.select(key, F.lit(side).alias("__side"), F.col(at).alias("__t"), F.lit(rank).alias("__rank"), F.lit(weight).cast("long").alias("__w"), *ids)
-
-    rows = marks(b, b_span[0], "start", 0, 1).unionByName(marks(a, a_span[1], "start", 1, None))
-    rows = rows.unionByName(marks(b, b_span[1], "end", 1, 1)).unionByName(marks(a, a_span[0], "end", 0, None))
-    run = Series(rows, [key, "__side"], ["__t", "__rank", *a_ids]).running({"__n": ("sum", F.coalesce("__w", F.lit(0)))})
-    signed = F.when(F.col("__side") == "start", F.col("__n")).otherwise(-F.col("__n"))
-    return run.filter(F.col("__w").isNull()).groupBy(key, *a_ids).agg(F.sum(signed).alias("n"))
+    def marks(df: DataFrame, at: str, rank: int, is_start: bool, asks: bool) -> DataFrame:
+        one = lambda here: F.lit(int(here and not asks)).cast("long")
+        return df.select(key, F.col(at).alias("__t"), F.lit(rank).alias("__rank"), one(is_start).alias("__s"), one(not is_start).alias("__e"), *(a_ids if asks else nothing))
+
+    # at one instant: who asks for ends before it, what starts and ends, who asks for starts by it
+    rows = marks(a, a_span[0], 0, True, True).unionByName(marks(b, b_span[0], 1, True, False))
+    rows = rows.unionByName(marks(b, b_span[1], 2, False, False)).unionByName(marks(a, a_span[1], 3, False, True))
+    # a key's marks in one order, so an unsplit key's results are added up where they are
+    series = Series(rows, key, ["__t", "__rank"])
+    run = series.running({"__starts": ("sum", F.col("__s")), "__ends": ("sum", F.col("__e"))})
+    run = run.filter(F.col("__rank").isin(0, 3))
+    run = series.spread(run, [key, *a_ids]) if series.is_split() else run
+    signed = F.when(F.col("__rank") == 3, F.col("__starts")).otherwise(-F.col("__ends"))
+    return run.groupBy(key, *a_ids).agg(F.sum(signed).alias("n"))

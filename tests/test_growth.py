@@ -36,3 +36,20 @@ def test_a_model_is_fitted_on_bounded_tasks(spark, monkeypatch):
     df = spark.range(0, 1000, 1, 2).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
     found = {r.feature: r.importance for r in X.feature_importance(df.withColumn("y", F.col("a") * 2), ["a", "b"], "y", trees=2, depth=2).collect()}
     assert tasks == [20] and found["a"] > 0.9
+
+
+def test_overlaps_are_counted_by_bounded_tasks(spark):
+    from barline.operators import joins as J
+
+    spans = [(k, i, (i * 7) % 50, (i * 7) % 50 + i % 9) for k in range(3) for i in range(100)]
+    df = spark.createDataFrame(spans, "k long, i long, t0 long, t1 long")
+    spark.conf.set("spark.barline.measureBytes", "0")
+    spark.conf.set("spark.barline.taskRows", "50")
+    try:
+        out = J.overlap_counts(df, df.filter("i % 2 = 0").selectExpr("k", "t0 AS u0", "t1 AS u1"), "k", ("t0", "t1"), ("u0", "u1"), ["i"])
+        got, tasks = {(r.k, r.i): r.n for r in out.collect()}, out.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.barline.measureBytes")
+        spark.conf.unset("spark.barline.taskRows")
+    assert got == {(k, i): sum(x[0] == k and x[1] % 2 == 0 and a <= x[3] and b >= x[2] for x in spans) for k, i, a, b in spans}
+    assert tasks == 18  # of 900 marks; the session has 4
