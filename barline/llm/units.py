@@ -9,6 +9,7 @@ their ids are kept in a table; what is long, or cannot be cut, is encoded all th
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from array import array
@@ -47,7 +48,7 @@ def byte_bpe(vocabulary: str, specials_are_text: bool = False):
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+"
 _PLAIN = re.compile(f"({_LETTERS})([.,;:!?]*)(?:\n({_LETTERS})([.,;:!?]*))?")
 _HIDDEN = [b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b < 0xAD or 0xAE <= b)]
-_SHOWN = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
+_SHOWN = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
 
 
 class UnitIds:
@@ -63,9 +64,9 @@ class UnitIds:
         self.word = Remembered(self._merge)
 
     def _merge(self, words: list[str]) -> list[bytes]:
-        merge = self.merge
-        shown = [w.replace(" ", _SHOWN[0x20]) if w.isascii() and w != "\n" else w.encode().decode("latin-1").translate(_SHOWN) for w in words]
-        return [array("I", [t.id for t in merge(w)]).tobytes() for w in shown]
+        # all words at once: their bytes as the characters of byte-level tokens, between zeros
+        shown = codecs.charmap_decode("\0".join(words).encode(), "strict", _SHOWN)[0].split(_SHOWN[0])
+        return [array("I", [t.id for t in x]).tobytes() for x in map(self.merge, shown)] if words else []
 
     def __call__(self, found: list[str]) -> list[bytes]:
         out: list = [None] * len(found)
@@ -86,6 +87,9 @@ class UnitIds:
                 rest.append(i)
                 continue
             word, marks, second, more = plain.groups()
+            if second is None and not marks:
+                alone.append(i)
+                continue
             words += (lead + word, marks) if second is None else (lead + word, marks, "\n", second, more)
             where.append((i, len(words)))
         if alone:  # seldom known with marks behind, so not looked up, but remembered

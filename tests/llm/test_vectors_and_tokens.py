@@ -43,6 +43,20 @@ def test_units_encode_like_the_whole(text, chars):
         assert [i for u in parts for i in pieces.encode(u)] == pieces.encode(text) or not text
 
 
+def test_plain_words_are_merged_without_a_look_up():
+    """Latin words with no marks behind them, ASCII or not, go to the merges at once."""
+    coder = _coders()[0]
+    words = ["plain", "naïve", "Ærøskøbing", "straße", "x", "ʯ"]
+    for lead in (" ", ""):
+        ids = units.UnitIds(coder, lead)
+        ids.word.encode = None  # what the table would call
+        got = ids(words)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [coder.encode(lead + w, add_special_tokens=False).ids for w in words]
+    marked = ["naïve,", "one.\nÆon!", "Über\nunter"]
+    got = units.UnitIds(coder)(marked)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [coder.encode(" " + w, add_special_tokens=False).ids for w in marked]
+
+
 _CODERS = []
 
 
