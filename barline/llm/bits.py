@@ -2,7 +2,8 @@
 
 The filter is built and tested with Spark's own functions. It is a table of at most
 ``n_bits / 32768`` rows of 4 KB, so its broadcast is bounded by ``n_bits`` alone; when more
-keys are put in than it can tell apart it only lets more rows through.
+keys are put in than it can tell apart it only lets more rows through. Bits of few keys
+spread over all rows, so a filter of a counted table takes its size from ``bits_for``.
 """
 
 from __future__ import annotations
@@ -14,6 +15,12 @@ from pyspark.sql import functions as F
 
 #: Bits of one row of the filter: what Spark's bitmap aggregate holds.
 BLOCK_BITS = 32768
+MOST_BITS = 1 << 26
+
+
+def bits_for(n_keys: int, most: int = MOST_BITS) -> int:
+    """Bits of a filter of ``n_keys`` keys: 64 for each, one row at least, ``most`` at most."""
+    return min(most, max(BLOCK_BITS, 1 << (64 * n_keys - 1).bit_length()))
 
 
 def positions(key: list[Column], n_bits: int, n_hashes: int) -> list[Column]:
@@ -27,14 +34,14 @@ def as_bitmaps(bits: DataFrame) -> DataFrame:
     )
 
 
-def filter_of(df: DataFrame, key: list[str], n_bits: int = 1 << 26, n_hashes: int = 2, at_least: int = 1) -> DataFrame:
+def filter_of(df: DataFrame, key: list[str], n_bits: int = MOST_BITS, n_hashes: int = 2, at_least: int = 1) -> DataFrame:
     """Filter of the keys of ``df``; with ``at_least`` 2, of the bits that two rows hit."""
     bits = df.select(F.explode(F.array(*positions([F.col(c) for c in key], n_bits, n_hashes))).alias("bit"))
     counts = bits.groupBy("bit").agg(F.count(F.lit(1)).alias("hits"))
     return as_bitmaps(counts.filter(F.col("hits") >= at_least).select("bit"))
 
 
-def with_test(df: DataFrame, key: list[str], bitmaps: DataFrame, name: str, n_bits: int = 1 << 26, n_hashes: int = 2) -> DataFrame:
+def with_test(df: DataFrame, key: list[str], bitmaps: DataFrame, name: str, n_bits: int = MOST_BITS, n_hashes: int = 2) -> DataFrame:
     """Adds ``name``: false if the key is certainly not in the filter."""
     columns, tests = df.columns, []
     for i, at in enumerate(positions([F.col(c) for c in key], n_bits, n_hashes)):

@@ -25,12 +25,10 @@ pairs, found by a bounded bitmap filter, and the documents that lose lines are s
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.bits import filter_of, with_test
+from barline.llm.bits import bits_for, filter_of, with_test
 from barline.llm.common import drop_tables, keep_table, whole
 
 MAX_EDITS = 1
@@ -137,13 +135,17 @@ def may_be_near(a: Column, b: Column, max_edits: int) -> Column:
     each edit spoils one at most, and the others stand in ``b`` shifted by at most the edits."""
     parts = max_edits + 7
     m = F.length(a)
-    same = F.lit(0)
-    for i in range(parts):
-        start, size = _segment(m, i, parts)
-        piece = a.substr(start + 1, size)
-        hits = [(start + o >= 0) & (b.substr(F.greatest(start + o, F.lit(0)) + 1, size) == piece) for o in range(-max_edits, max_edits + 1)]
-        same = same + reduce(Column.__or__, hits).cast("int")
-    return same >= parts - max_edits
+    base = F.floor(m / parts).cast("int")
+    longer = F.lit(parts) - m % parts  # segments from this one on have one character more
+
+    def stays(i: Column) -> Column:
+        start = base * i + F.greatest(F.lit(0), i - longer)
+        size = base + (i >= longer).cast("int")
+        shifts = F.sequence(F.greatest(start - max_edits, F.lit(0)), start + max_edits)
+        return F.exists(shifts, lambda at: b.substr(at + 1, size) == a.substr(start + 1, size))
+
+    # segments and shifts are walked, not written out: the expression is planned anew in every job
+    return F.size(F.filter(F.sequence(F.lit(0), F.lit(parts - 1)), stays)) >= parts - max_edits
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -247,9 +249,11 @@ def removed_lines(
     members = keep_table(_grouped(rows.filter("sig IS NOT NULL")), "members")
 
     # texts of the lines that share a signature, found where they lie
-    wanted = members.select(*IDENT).distinct()
-    near = with_test(occ.select(*IDENT, "line"), IDENT, filter_of(wanted, IDENT), "hit").filter("hit")
+    wanted = keep_table(members.select(*IDENT).distinct(), "wanted")
+    n_bits = bits_for(wanted.count())
+    near = with_test(occ.select(*IDENT, "line"), IDENT, filter_of(wanted, IDENT, n_bits), "hit", n_bits).filter("hit")
     texts = keep_table(near.join(wanted, IDENT, "left_semi").dropDuplicates(IDENT).select(*IDENT, "line"), "texts")
+    drop_tables(wanted)
     later = _later_lines(members, texts, max_edits)
 
     gone = later.select(*IDENT, F.lit(True).alias("near"))

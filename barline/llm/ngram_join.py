@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from barline.llm.bits import filter_of, with_test
+from barline.llm.bits import bits_for, filter_of, with_test
 from barline.llm.common import drop_tables, keep_table, whole
 from barline.llm.components import components
 
@@ -272,11 +272,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = ["n", "fp1", "fp2"]
     equal = sets.filter("n > 0").groupBy(*prints).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     classes = keep_table(sets.join(equal, prints).select("id", "rep"), "classes")
-    copies = classes.filter("id <> rep").select("id").distinct()
+    copies = keep_table(classes.filter("id <> rep").select("id").distinct(), "copies")
 
     def with_text(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
         """Rows whose id is (not) wanted; only what the filter cannot tell is shuffled."""
-        tested = with_test(rows, ["id"], filter_of(wanted, ["id"]), "hit")
+        n_bits = bits_for(wanted.count())
+        tested = with_test(rows, ["id"], filter_of(wanted, ["id"], n_bits), "hit", n_bits)
         sure = tested.filter("hit").join(wanted, "id", how)
         return sure.drop("hit") if how == "left_semi" else sure.unionByName(tested.filter("NOT hit")).drop("hit")
 
@@ -310,12 +311,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     packed = with_text(texts, copies, "left_anti").mapInArrow(emit, "part int, sigs binary, ids binary, sizes binary, counts binary")
     members = keep_table(packed.groupBy("part").applyInArrow(_shared_in, "sig long, id long, n long, home boolean").distinct(), "members")
-    wanted = members.select("id").distinct()
+    wanted = keep_table(members.select("id").distinct(), "wanted")
     content = keep_table(
         with_text(texts, wanted, "left_semi").mapInArrow(
             _content_rows, "id long, sketch binary, elements binary, " + ", ".join(f"{w} long" for w in SHORT_NAMES)
         ), "content"
     )
+    drop_tables(copies, wanted)
 
     fits = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
     pair = ["a", "b", "n_a", "n_b"]
